@@ -6,6 +6,8 @@ braces hold the few spots where the dialects differ.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tellwise import Telemetry
@@ -180,5 +182,7 @@ def projected(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFr
     return {name: project(name) for name in names or _PROJECTIONS}
 
 
+@lru_cache(maxsize=4)
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
+    """All sources; only their definitions are kept, never data."""
     return Telemetry.from_frames(**projected(spark, sf_dir))

@@ -26,8 +26,7 @@ def fingerprint(statement: Column) -> Column:
 
 def join_parts(separator: str, *parts: Column) -> Column:
     """Join the parts that apply; NULL when none does."""
-    joined = F.concat_ws(separator, *parts)
-    return F.when(joined != "", joined)
+    return F.nullif(F.concat_ws(separator, *parts), F.lit(""))
 
 
 def rule_ladder(rules: Sequence[tuple[Column, object]]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, linear_score, nullif_zero, rule_ladder,
+    decimal_text, half_up, join_parts, linear_score, nullif_zero, rule_ladder, settle,
 )
 from tellwise.operators.latest import current_jobs
 from tellwise.operators.pricing import job_billing
@@ -113,7 +113,7 @@ def assess_jobs(scored: DataFrame, *, cfg: Thresholds) -> DataFrame:
     blocked = F.col("init_script_failure_count") > 0
     floors = ((F.col("classic_dbu_cost_30d") >= cfg.min_classic_dbu_cost_30d)
               & (F.col("run_count_30d") >= cfg.min_runs_30d))
-    return scored.where(floors).select(
+    assessed = scored.where(floors).select(
         "job_id", "job_name", "workspace_id", "creator_id",
         half_up(total, 0).cast("int").alias("fit_score"),
         "run_count_30d",
@@ -134,7 +134,8 @@ def assess_jobs(scored: DataFrame, *, cfg: Thresholds) -> DataFrame:
         F.when(blocked, CHECKLIST_BLOCKER).otherwise(CHECKLIST_GENERIC)
          .alias("migration_checklist"),
         F.when(blocked, "BLOCKER").otherwise("OK").alias("migration_risk"),
-    ).withColumn("fit_bucket", fit_bucket(F.col("fit_score"))).select(*COLUMNS)
+    ).withColumn("fit_bucket", fit_bucket(F.col("fit_score")))
+    return settle(assessed.select(*COLUMNS))
 
 
 def worth_reporting(assessed: DataFrame, *, cfg: Thresholds) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import SIZE_LADDER, Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, lookup, nullif_zero, rule_ladder, since,
+    decimal_text, half_up, join_parts, lookup, nullif_zero, rule_ladder, settle, since,
 )
 from tellwise.operators.intervals import activity, state_intervals
 from tellwise.operators.latest import current_warehouses
@@ -61,25 +63,25 @@ def warehouse_base(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
         }))
 
 
-def _needs_more_power(cfg: Thresholds) -> Column:
+def signals(cfg: Thresholds) -> dict[str, Column]:
+    """Intermediate signals the rules share: need for power, used share."""
     spill_per_query = F.col("spill_gb") / nullif_zero(F.col("query_count"))
-    return ((spill_per_query > cfg.size_up_min_spill_gb_per_query)
+    grow = ((spill_per_query > cfg.size_up_min_spill_gb_per_query)
             | (F.col("avg_queue_s") > cfg.size_up_min_avg_queue_s))
-
-
-def _used_share() -> Column:
-    return F.coalesce(F.col("hours_utilized") / nullif_zero(F.col("hours_on")), F.lit(0.0))
+    share = F.col("hours_utilized") / nullif_zero(F.col("hours_on"))
+    return {"_grow": F.coalesce(grow, F.lit(False)),
+            "_used_share": F.coalesce(share, F.lit(0.0))}
 
 
 def recommended_type(cfg: Thresholds) -> Column:
     """SERVERLESS where a managed type idles enough for the move to pay off."""
     kind = F.col("warehouse_type")
     idle_pct = F.coalesce(F.lit(100.0) - F.col("util_pct"), F.lit(100.0))
-    rates = {k: float(v) for k, v in cfg.type_rate.items()}
-    relative_rate = (F.lit(rates.get(SERVERLESS)).cast("double")
-                     / nullif_zero(lookup(rates, kind)))
+    target = float(cfg.type_rate[SERVERLESS]) if SERVERLESS in cfg.type_rate else None
+    # what a dollar on the current type costs on the target type
+    dearer = {k: target / r for k, r in cfg.type_rate.items() if target is not None and r}
     pays_off = ((idle_pct > cfg.migration_min_idle_pct)
-                & (relative_rate * _used_share() < cfg.migration_max_cost_ratio))
+                & (lookup(dearer, kind) * F.col("_used_share") < cfg.migration_max_cost_ratio))
     return F.when(kind.isin(*MANAGED_TYPES) & pays_off, SERVERLESS).otherwise(kind)
 
 
@@ -94,9 +96,8 @@ def recommended_size(cfg: Thresholds) -> Column:
              & (F.col("avg_queue_s") < cfg.size_down_max_avg_queue_s)
              & (F.coalesce("spill_gb", F.lit(0.0)) == 0)
              & (F.col("query_count") >= cfg.size_down_min_queries))
-    step_up = F.coalesce(lookup(bigger, size), size)
-    step_down = F.coalesce(lookup(smaller, size), size)
-    return F.when(_needs_more_power(cfg), step_up).when(light, step_down).otherwise(size)
+    step = F.when(F.col("_grow"), lookup(bigger, size)).when(light, lookup(smaller, size))
+    return F.coalesce(step, size)
 
 
 def recommended_clusters(cfg: Thresholds) -> Column:
@@ -105,34 +106,35 @@ def recommended_clusters(cfg: Thresholds) -> Column:
     clamped = F.least(F.lit(cfg.max_cluster_ceiling).cast("bigint"),
                       F.greatest(F.lit(1).cast("bigint"), wanted))
     return (F.when(peak == 0, F.lit(1).cast("bigint"))
-             .when(_needs_more_power(cfg), F.col("max_clusters"))
+             .when(F.col("_grow"), F.col("max_clusters"))
              .otherwise(clamped))
 
 
 def cost_multiplier(cfg: Thresholds) -> Column:
     """Projected over current cost; size, type and used share multiply."""
-    def ratio(card: dict[str, float], new: str, old: str) -> Column:
-        return F.coalesce(lookup(card, F.col(new)) / nullif_zero(lookup(card, F.col(old))),
+    def ratio(card: Mapping[str, float], new: str, old: str) -> Column:
+        rates = {k: float(v) for k, v in card.items()}
+        return F.coalesce(lookup(rates, F.col(new)) / nullif_zero(lookup(rates, F.col(old))),
                           F.lit(1.0))
 
-    size = ratio({k: float(v) for k, v in cfg.dbu_rate.items()}, "rec_size", "warehouse_size")
-    kind = ratio({k: float(v) for k, v in cfg.type_rate.items()}, "rec_type", "warehouse_type")
     migrates = (F.col("rec_type") == SERVERLESS) & (F.col("warehouse_type") != SERVERLESS)
-    share = F.when(migrates, _used_share()).otherwise(F.lit(1.0))
-    return F.greatest(F.lit(float(cfg.cost_multiplier_floor)), size * kind * share)
+    share = F.when(migrates, F.col("_used_share")).otherwise(F.lit(1.0))
+    return F.greatest(
+        F.lit(float(cfg.cost_multiplier_floor)),
+        ratio(cfg.dbu_rate, "rec_size", "warehouse_size")
+        * ratio(cfg.type_rate, "rec_type", "warehouse_type") * share)
 
 
-def _conditions(cfg: Thresholds) -> dict[str, Column]:
-    more = F.col("rec_max_clusters") > F.col("max_clusters")
-    fewer = F.col("rec_max_clusters") < F.col("max_clusters")
+def conditions(cfg: Thresholds) -> dict[str, Column]:
+    """Category -> its condition; the first that holds names the category."""
     return {
         "DECOMMISSION_CANDIDATE":
             (F.coalesce("query_count", F.lit(0)) == 0)
             & (F.coalesce("dollars_30d", F.lit(0.0)) >= cfg.decommission_min_cost_30d),
         "COST_REDUCE": F.col("cost_multiplier") < 1.0,
         "PERFORMANCE": F.col("cost_multiplier") > 1.0,
-        "CONCURRENCY": more,
-        "RIGHTSIZE": fewer,
+        "CONCURRENCY": F.col("rec_max_clusters") > F.col("max_clusters"),
+        "RIGHTSIZE": F.col("rec_max_clusters") < F.col("max_clusters"),
         "HOUSEKEEPING":
             (F.col("auto_stop_minutes") > cfg.auto_stop_threshold_minutes)
             & F.col("warehouse_type").isin(*MANAGED_TYPES),
@@ -141,49 +143,50 @@ def _conditions(cfg: Thresholds) -> dict[str, Column]:
 
 def recommended_action(cfg: Thresholds) -> Column:
     """What to do, as text; every part that applies, whatever the category."""
-    when = _conditions(cfg)
-    arrow = F.lit(" -> ")
-    retype = F.col("rec_type") != F.col("warehouse_type")
-    resize = F.col("rec_size") != F.col("warehouse_size")
-    sizes = F.concat(F.lit("RESIZE "), F.col("warehouse_size"), arrow, F.col("rec_size"))
-    migrate = F.concat(F.lit("MIGRATE "), F.col("warehouse_type"), arrow, F.lit(SERVERLESS))
-    clusters = F.concat(F.lit(" max_clusters "), F.col("max_clusters"), arrow,
-                        F.col("rec_max_clusters"))
-    busy = F.coalesce("util_pct", F.lit(0.0))
+    when = conditions(cfg)
+    arrow = " -> "
+    migrate = F.when(
+        F.col("rec_type") != F.col("warehouse_type"),
+        F.concat(F.lit("MIGRATE "), F.col("warehouse_type"), F.lit(arrow + SERVERLESS)))
+    resize = F.when(
+        F.col("rec_size") != F.col("warehouse_size"),
+        F.concat(F.lit("RESIZE "), F.col("warehouse_size"), F.lit(arrow), F.col("rec_size")))
+    busy = F.col("util_pct")
     warning = (
         F.when(busy >= cfg.raise_warn_high_util_pct, " (peak-cost may grow significantly)")
-         .when(busy >= cfg.raise_warn_modest_util_pct, " (peak-cost may grow modestly)")
-         .otherwise(""))
+         .when(busy >= cfg.raise_warn_modest_util_pct, " (peak-cost may grow modestly)"))
+    reclusters = F.concat_ws(
+        "",
+        rule_ladder([(when["CONCURRENCY"], F.lit("RAISE")), (when["RIGHTSIZE"], F.lit("CAP"))]),
+        F.lit(" max_clusters "), F.col("max_clusters"), F.lit(arrow), F.col("rec_max_clusters"),
+        F.when(when["CONCURRENCY"], warning))
     auto_stop = F.concat(F.lit("AUTO-STOP "), F.col("auto_stop_minutes"),
-                         F.lit(f"m -> {cfg.auto_stop_target_minutes}m"))
+                         F.lit(f"m{arrow}{cfg.auto_stop_target_minutes}m"))
     delete = F.concat(F.lit("DELETE - 0 queries / 30d, $"),
-                      decimal_text(F.coalesce("dollars_30d", F.lit(0.0)), 2),
-                      F.lit(" burned"))
+                      decimal_text(F.col("dollars_30d"), 2), F.lit(" burned"))
     changes = join_parts(
-        " + ",
-        rule_ladder([(retype & resize, F.concat(migrate, F.lit(" + "), sizes)),
-                     (retype, migrate), (resize, sizes)]),
-        rule_ladder([(when["CONCURRENCY"], F.concat(F.lit("RAISE"), clusters, warning)),
-                     (when["RIGHTSIZE"], F.concat(F.lit("CAP"), clusters))]),
+        " + ", migrate, resize,
+        F.when(F.col("rec_max_clusters") != F.col("max_clusters"), reclusters),
         F.when(when["HOUSEKEEPING"], auto_stop))
-    return F.when(when["DECOMMISSION_CANDIDATE"], delete).otherwise(changes)
+    return F.when(F.col("category") == "DECOMMISSION_CANDIDATE", delete).otherwise(changes)
 
 
 def assess_warehouses(base: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Recommendations for every base row, before any is filtered out."""
-    when = _conditions(cfg)
     dollars, multiplier = F.col("dollars_30d"), F.col("cost_multiplier")
     cost, delta = F.col("current_cost_30d"), F.col("projected_cost_delta_30d")
-    return (
-        base.withColumns({
+    assessed = (
+        base.withColumns(signals(cfg))
+        .withColumns({
             "rec_type": recommended_type(cfg),
             "rec_size": recommended_size(cfg),
             "rec_max_clusters": recommended_clusters(cfg)})
         .withColumn("cost_multiplier", cost_multiplier(cfg))
+        .withColumn("category",
+                    rule_ladder([(c, F.lit(name)) for name, c in conditions(cfg).items()]))
         .select(
-            rule_ladder([(c, F.lit(name)) for name, c in when.items()]).alias("category"),
-            rule_ladder([(c, F.lit(WAREHOUSE_RULES[name])) for name, c in when.items()])
-                .alias("selection_criteria"),
+            "category",
+            lookup(WAREHOUSE_RULES, F.col("category")).alias("selection_criteria"),
             recommended_action(cfg).alias("recommended_action"),
             "warehouse_id", "warehouse_name",
             F.col("warehouse_size").alias("current_size"), "rec_size",
@@ -207,6 +210,7 @@ def assess_warehouses(base: DataFrame, *, cfg: Thresholds) -> DataFrame:
             F.when(F.col("category") == "DECOMMISSION_CANDIDATE", cost)
              .otherwise(F.greatest(F.lit(0.0), delta)))
         .select(*COLUMNS))
+    return settle(assessed)
 
 
 def worth_reporting(assessed: DataFrame, *, cfg: Thresholds) -> DataFrame:
