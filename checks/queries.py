@@ -36,8 +36,12 @@ def _micros(column: str) -> Column:
     return whole * 1000000 + F.expr(f"bigint(extract(second from {column}) * 1000000) % 1000000")
 
 
-def _intervals(data: Telemetry, cfg: Thresholds = DEFAULT) -> DataFrame:
-    return state_intervals(since(data.warehouse_events, "event_time", cfg.window_start))
+def _log(data: Telemetry) -> DataFrame:
+    return since(data.warehouse_events, "event_time", DEFAULT.window_start)
+
+
+def _intervals(data: Telemetry) -> DataFrame:
+    return state_intervals(_log(data))
 
 
 def _state_intervals(data: Telemetry) -> DataFrame:
@@ -48,10 +52,9 @@ def _state_intervals(data: Telemetry) -> DataFrame:
 
 def _utilized(method: str) -> Callable[[Telemetry], DataFrame]:
     def run(data: Telemetry) -> DataFrame:
-        states = _intervals(data)
         used = overlap_seconds(
-            states, endpoint_queries(data.query_history, cfg=DEFAULT), method=method)
-        return on_time(states).select("warehouse_id").join(used, "warehouse_id", "left").select(
+            _log(data), endpoint_queries(data.query_history, cfg=DEFAULT), method=method)
+        return on_time(_intervals(data)).select("warehouse_id").join(used, "warehouse_id", "left").select(
             "warehouse_id", F.coalesce("util_s", F.lit(0)).alias("util_s"))
     return run
 

@@ -1,6 +1,6 @@
 """Column builders shared by the operators; all of them stay JVM-side."""
 
-from tellwise.functions.frames import settle
+from tellwise.functions.frames import ranked, settle
 from tellwise.functions.numeric import (
     decimal_text, gigabytes, half_up, linear_score, lookup, nullif_zero,
 )
@@ -9,6 +9,6 @@ from tellwise.functions.timing import epoch_seconds, instant, since
 
 __all__ = [
     "decimal_text", "epoch_seconds", "fingerprint", "gigabytes", "half_up",
-    "instant", "join_parts", "linear_score", "lookup", "nullif_zero",
+    "instant", "join_parts", "linear_score", "lookup", "nullif_zero", "ranked",
     "rule_ladder", "settle", "since",
 ]

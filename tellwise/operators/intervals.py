@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tellwise.functions import epoch_seconds
 
 BLOCK_S = 3600
+_MAX_CLUSTERS = 2 ** 31 - 1
 
 
 def _block(seconds: Column, width_s: int) -> Column:
@@ -98,74 +99,89 @@ def overlap_seconds_join(intervals: DataFrame, spans: DataFrame,
               .groupBy(key).agg(F.sum(seconds).alias("util_s")))
 
 
-def activity(intervals: DataFrame, spans: DataFrame, key: str = "warehouse_id",
-             state: str = "cluster_count") -> DataFrame:
-    """On-time, used seconds and peak starts per minute, in one pass over spans.
+def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
+             ts: str = "event_time", state: str = "cluster_count") -> DataFrame:
+    """On-time, used seconds and peak starts per minute from logs and spans at once.
 
     ``key, on_s, cluster_on_s, util_s, peak_concurrent`` with ``on_s`` NULL for a
     key without a closed running interval and ``peak_concurrent`` NULL for a key
     without spans.
 
     With C(t) the seconds a key has been on before t, the used seconds are the
-    sum of C(end) - C(start) over its spans. Only the number of spans starting
-    and ending in each second matters, so spans and interval ends are first
-    counted per (key, second), which combines map-side. A key then has at most
-    one row per second of the analysis window however many spans it has, and a
-    running sum over those rows gives C.
+    sum of C(end) - C(start) over its spans. Only the last state of a second and
+    the number of spans starting and ending in it matter, so both inputs are
+    first reduced to (key, second), which combines map-side. A key then has at
+    most one row per second of the window, however many entries or spans it has,
+    and running sums over those rows give C.
 
     Spans that overlap each other count each. A span that ends before it starts
     counts negatively, for all the on-time between its ends.
     """
-    ws, we = epoch_seconds(F.col("w_start")), epoch_seconds(F.col("w_end"))
-    qs, qe = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
-    none = F.lit(0).cast("bigint")
-    clusters = F.col(state).cast("bigint")
-
-    def mark(second: Column, *, opens: Column = none, clusters: Column = none,
-             windows: Column = none, starts: Column = none, ends: Column = none) -> Column:
-        return F.struct(
-            second.alias("sec"), opens.alias("opens"), clusters.alias("clusters"),
-            windows.alias("windows"), starts.alias("starts"), ends.alias("ends"))
-
-    one = F.lit(1).cast("bigint")
-    borders = closed_on(intervals, state).select(key, F.inline(F.array(
-        mark(ws, opens=one, clusters=clusters, windows=one),
-        mark(we, opens=-one, clusters=-clusters))))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sec = F.col("sec")
+    # the last state of a second: (microsecond, clusters) packed into one long, as
+    # a maximum over a struct would make Spark sort instead of hash
+    micros = (F.extract(F.lit("SECOND"), F.col(ts)) * 1000000 % 1000000).cast("bigint")
+    clusters = F.least(F.greatest(F.coalesce(state, none), none), F.lit(_MAX_CLUSTERS))
+    entries = (
+        events.groupBy(key, epoch_seconds(F.col(ts)).alias("sec"))
+        .agg(F.max(micros * (_MAX_CLUSTERS + 1) + clusters).alias("final"),
+             F.count_if(F.col(state) > 0).alias("on_entries"))
+        .select(key, "sec", (F.col("final") % (_MAX_CLUSTERS + 1)).alias("clusters"),
+                "on_entries", none.alias("starts"), none.alias("ends")))
+
+    begun, ended = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
+    has_end = F.when(ended.isNotNull(), one).otherwise(none)
+
+    def mark(second: Column, starts: Column, ends: Column) -> Column:
+        return F.struct(second.alias("sec"), starts.alias("starts"), ends.alias("ends"))
+
     # a span without an end is a start that weighs nothing
-    ended = F.when(qe.isNotNull(), one).otherwise(none)
     span_ends = spans.select(key, F.inline(F.array(
-        mark(qs, starts=one, ends=-ended),
-        mark(F.coalesce(qe, qs), ends=ended))))
+        mark(begun, one, -has_end), mark(F.coalesce(ended, begun), none, has_end)))).select(
+        key, "sec", F.lit(None).cast("bigint").alias("clusters"),
+        none.alias("on_entries"), "starts", "ends")
+
+    per_second = entries.unionByName(span_ends).groupBy(key, "sec").agg(
+        F.max("clusters").alias("clusters"),
+        *[F.sum(c).alias(c) for c in ("on_entries", "starts", "ends")])
+
+    whole = Window.partitionBy(key)
+    timeline = whole.orderBy("sec")
+    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gaps = per_second.select(
+        key, "sec", "clusters", "on_entries", "starts", "ends",
+        (sec - F.lag("sec").over(timeline)).alias("gap"),
+        F.last("clusters", ignorenulls=True).over(before).alias("running"),
+        F.max(F.when(F.col("clusters").isNotNull(), sec)).over(whole).alias("last_entry"))
+    # the last state has no end, so nothing after it counts as on
+    lit = F.when(sec <= F.col("last_entry"), F.coalesce("running", none)).otherwise(none)
+    open_on = (sec == F.col("last_entry")) & (F.col("clusters") > 0)
+    clocked = gaps.select(
+        key, F.floor(sec / 60).alias("minute"), "sec", "starts", "ends",
+        (F.col("on_entries") - F.when(open_on, one).otherwise(none)).alias("closed"),
+        F.when(lit > 0, F.col("gap")).otherwise(none).alias("on_s"),
+        F.coalesce(lit * F.col("gap"), none).alias("cluster_on_s"),
+    ).withColumn("used", F.col("ends") * F.sum("on_s").over(so_far))
 
-    per_second = borders.unionByName(span_ends).groupBy(key, "sec").agg(
-        *[F.sum(c).alias(c) for c in ("opens", "clusters", "windows", "starts", "ends")])
-    so_far = Window.partitionBy(key).orderBy("sec") \
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sec = F.col("sec")
-    clocked = per_second.select(
-        key, F.floor(sec / 60).alias("minute"), "windows", "starts",
-        (F.col("opens") * sec).alias("opened_at"),
-        (F.col("clusters") * sec).alias("clusters_at"),
-        (F.col("ends") * (sec * F.sum("opens").over(so_far)
-                          - F.sum(F.col("opens") * sec).over(so_far))).alias("used"))
     per_minute = clocked.groupBy(key, "minute").agg(
-        *[F.sum(c).alias(c)
-          for c in ("windows", "starts", "opened_at", "clusters_at", "used")])
-    has_windows = F.sum("windows") > 0
+        *[F.sum(c).alias(c) for c in ("closed", "starts", "on_s", "cluster_on_s", "used")])
+    has_intervals = F.sum("closed") > 0
     return per_minute.groupBy(key).agg(
-        F.when(has_windows, -F.sum("opened_at")).alias("on_s"),
-        F.when(has_windows, -F.sum("clusters_at")).alias("cluster_on_s"),
+        F.when(has_intervals, F.sum("on_s")).alias("on_s"),
+        F.when(has_intervals, F.sum("cluster_on_s")).alias("cluster_on_s"),
         F.sum("used").alias("util_s"),
         F.max(F.when(F.col("starts") > 0, F.col("starts"))).alias("peak_concurrent"))
 
 
-def overlap_seconds(intervals: DataFrame, spans: DataFrame, key: str = "warehouse_id",
-                    state: str = "cluster_count", method: str = "sweep") -> DataFrame:
+def overlap_seconds(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
+                    method: str = "sweep") -> DataFrame:
     """``key, util_s`` by running sums ("sweep") or by block join ("join")."""
     if method == "sweep":
-        return activity(intervals, spans, key, state).select(key, "util_s")
+        return activity(events, spans, key).select(key, "util_s")
     if method == "join":
-        return overlap_seconds_join(intervals, spans, key, state)
+        return overlap_seconds_join(state_intervals(events, key), spans, key)
     raise ValueError(f"unknown method {method!r}; valid: ['join', 'sweep']")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, linear_score, nullif_zero, rule_ladder, settle,
+    decimal_text, half_up, join_parts, linear_score, nullif_zero, ranked, rule_ladder, settle,
 )
 from tellwise.operators.latest import current_jobs
 from tellwise.operators.pricing import job_billing
@@ -146,8 +146,8 @@ def worth_reporting(assessed: DataFrame, *, cfg: Thresholds) -> DataFrame:
 
 
 def in_report_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        F.col("fit_score").desc(), F.col("classic_dbu_cost_30d").desc_nulls_last(), *JOB_KEY)
+    return ranked(
+        findings, JOB_KEY, F.col("fit_score").desc(), F.col("classic_dbu_cost_30d").desc_nulls_last(), *JOB_KEY)
 
 
 def recommend_jobs(data: Telemetry, *, cfg: Thresholds) -> DataFrame:

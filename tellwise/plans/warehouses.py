@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tellwise.config import SIZE_LADDER, Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, lookup, nullif_zero, rule_ladder, settle, since,
+    decimal_text, half_up, join_parts, lookup, nullif_zero, ranked, rule_ladder, settle, since,
 )
-from tellwise.operators.intervals import activity, state_intervals
+from tellwise.operators.intervals import activity
 from tellwise.operators.latest import current_warehouses
 from tellwise.operators.pricing import warehouse_cost
 from tellwise.operators.stats import endpoint_queries, query_stats
@@ -43,14 +43,14 @@ def warehouse_base(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
     warehouses, events, history, usage, prices = data.need(
         "warehouses", "warehouse_events", "query_history", "usage", "list_prices")
     queries = endpoint_queries(history, cfg=cfg)
-    states = state_intervals(since(events, "event_time", cfg.window_start))
+    log = since(events, "event_time", cfg.window_start)
 
     used = F.coalesce("util_s", F.lit(0))
     hours_on = F.col("on_s") / F.lit(3600.0)
     busy = F.lit(100.0) * used / nullif_zero(F.col("cluster_on_s"))
     return (
         current_warehouses(warehouses).drop("change_time")
-        .join(activity(states, queries).where("on_s IS NOT NULL"), "warehouse_id")
+        .join(activity(log, queries).where("on_s IS NOT NULL"), "warehouse_id")
         .join(query_stats(queries, cfg=cfg), "warehouse_id", "left")
         .join(warehouse_cost(usage, prices, cfg=cfg), "warehouse_id", "left")
         .withColumns({
@@ -233,7 +233,7 @@ def in_report_order(findings: DataFrame) -> DataFrame:
                         for i, name in enumerate(WAREHOUSE_RULES)])
     size = F.when(F.col("category") == "DECOMMISSION_CANDIDATE", F.col("current_cost_30d")) \
             .otherwise(F.abs("projected_cost_delta_30d"))
-    return findings.orderBy(rank, size.desc_nulls_last(), "warehouse_id")
+    return ranked(findings, ["warehouse_id"], rank, size.desc_nulls_last(), "warehouse_id")
 
 
 def recommend_warehouses(data: Telemetry, *, cfg: Thresholds) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import decimal_text, gigabytes, half_up, nullif_zero, rule_ladder
+from tellwise.functions import decimal_text, gigabytes, half_up, nullif_zero, ranked, rule_ladder
 from tellwise.operators.latest import current_warehouses
 from tellwise.operators.workload import (
     finished_selects, heavy_queries, signature_rollup, table_reads, warehouse_traffic,
@@ -174,8 +174,8 @@ def with_display_columns(findings: DataFrame) -> DataFrame:
 def in_report_order(findings: DataFrame) -> DataFrame:
     rank = rule_ladder([(F.col("category") == name, F.lit(i))
                         for i, name in enumerate(WORKLOAD_RULES)])
-    return findings.orderBy(rank, F.col("total_compute_s").desc_nulls_last(),
-                            "target_or_sample")
+    return ranked(findings, ["category", "target_or_sample"], rank,
+                  F.col("total_compute_s").desc_nulls_last(), "target_or_sample")
 
 
 def recommend_workloads(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
