@@ -122,7 +122,7 @@ _OPERATORS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "utilized_seconds": _utilized("join"),
     "utilized_seconds_sweep": _utilized("sweep"),
     "query_stats": lambda d: _rounded(
-        query_stats(endpoint_queries(d.query_history, cfg=DEFAULT), cfg=DEFAULT), 6,
+        query_stats(endpoint_queries(d.query_history, cfg=DEFAULT)), 6,
         "avg_queue_s", "spill_gb"),
     "peak_concurrency": lambda d: peak_per_bucket(
         endpoint_queries(d.query_history, cfg=DEFAULT), "warehouse_id", "start_time"),

@@ -105,13 +105,9 @@ class Thresholds:
     min_savings_30d: float = 0.0
     min_confidence: int = 0
 
-    # percentile sketch accuracy (relative rank error is 1 / accuracy)
-    percentile_accuracy: int = 10000
-
     def __post_init__(self) -> None:
         for name in ("high_frequency_runs_30d", "high_startup_share_pct",
-                     "queries_per_cluster_target", "lookback_days",
-                     "percentile_accuracy"):
+                     "queries_per_cluster_target", "lookback_days"):
             if not getattr(self, name) > 0:
                 raise ValueError(f"{name} must be positive, got {getattr(self, name)!r}")
         if self.as_of.tzinfo is not None:

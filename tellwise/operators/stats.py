@@ -1,17 +1,17 @@
 """Per-warehouse and per-job statistics over facts.
 
-Percentiles come from mergeable sketches, which combine map-side. They are never
-aggregated together with a distinct count: Spark would then keep one sketch per
-distinct value, and shuffle more than the input.
+Each fact is first counted per (key, duration); totals and percentiles both come
+from those counts, so one scan and one combined shuffle serve them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
 from tellwise.functions import epoch_seconds, gigabytes, since
+from tellwise.operators.quantiles import summarise
 
 # Terminations caused by infrastructure rather than by the job.
 INFRA_FAILURES = (
@@ -21,65 +21,65 @@ INFRA_FAILURES = (
 INIT_SCRIPT_FAILURE = "INIT_SCRIPT_FAILURE"
 
 
-def percentiles(value: Column, cfg: Thresholds) -> Column:
-    """Array of the median and the 95th percentile of ``value``."""
-    return F.percentile_approx(value, [0.5, 0.95], cfg.percentile_accuracy)
-
-
 def endpoint_queries(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Every statement in the window that ran on a warehouse, whatever its fate."""
     return since(query_history, "start_time", cfg.window_start) \
         .where("warehouse_id IS NOT NULL")
 
 
-def query_stats(queries: DataFrame, *, cfg: Thresholds) -> DataFrame:
+def query_stats(queries: DataFrame) -> DataFrame:
     """Volume, task-time percentiles, mean queue wait and spill per warehouse."""
     queued_ms = (F.coalesce("waiting_for_compute_duration_ms", F.lit(0))
                  + F.coalesce("waiting_at_capacity_duration_ms", F.lit(0)))
-    stats = queries.groupBy("warehouse_id").agg(
-        F.count(F.lit(1)).alias("query_count"),
-        percentiles(F.col("total_task_duration_ms"), cfg).alias("_ms"),
-        (F.avg(queued_ms) / 1000.0).alias("avg_queue_s"),
-        gigabytes(F.sum("spilled_local_bytes")).alias("spill_gb"))
+    by_duration = queries.groupBy("warehouse_id", "total_task_duration_ms").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(queued_ms).alias("queued_ms"),
+        F.sum("spilled_local_bytes").alias("spill_b"))
+    stats = summarise(
+        by_duration, ["warehouse_id"], value="total_task_duration_ms", weight="n",
+        percents={"p50_ms": 50, "p95_ms": 95},
+        totals=[F.sum("n").alias("query_count"), F.sum("queued_ms").alias("queued_ms"),
+                F.sum("spill_b").alias("spill_b")])
     return stats.select(
         "warehouse_id", "query_count",
-        (F.col("_ms")[0] / F.lit(1000.0)).alias("p50_task_s"),
-        (F.col("_ms")[1] / F.lit(1000.0)).alias("p95_task_s"),
-        "avg_queue_s", "spill_gb")
+        (F.col("p50_ms") / F.lit(1000.0)).alias("p50_task_s"),
+        (F.col("p95_ms") / F.lit(1000.0)).alias("p95_task_s"),
+        (F.col("queued_ms") / F.col("query_count") / F.lit(1000.0)).alias("avg_queue_s"),
+        gigabytes(F.col("spill_b")).alias("spill_gb"))
 
 
 def run_stats(job_runs: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Run counts, durations and failures per job over ended periods.
 
     ``run_count_30d`` counts distinct runs; everything else counts timeline rows.
+    Rows that name no job are left out, as no job can match them.
     """
     job = ["workspace_id", "job_id"]
-    ended = since(job_runs, "period_start_time", cfg.window_start) \
-        .where("period_end_time IS NOT NULL")
+    ended = since(job_runs, "period_start_time", cfg.window_start).where(
+        "period_end_time IS NOT NULL AND workspace_id IS NOT NULL AND job_id IS NOT NULL")
     seconds = (epoch_seconds(F.col("period_end_time"))
                - epoch_seconds(F.col("period_start_time")))
-
-    def rows_where(condition: Column) -> Column:
-        return F.sum(F.when(condition, 1).otherwise(0))
-
-    short = seconds / F.lit(60.0) < F.lit(float(cfg.short_run_threshold_minutes))
-    rows = ended.groupBy(*job).agg(
-        (F.avg(seconds) / 60.0).alias("avg_run_minutes"),
-        percentiles(seconds, cfg).alias("_s"),
-        (F.lit(100.0) * rows_where(short) / F.count(F.lit(1))).alias("short_run_share_pct"),
-        rows_where(F.col("result_state") == "FAILED").alias("failed_runs"),
-        rows_where(F.col("termination_code").isin(*INFRA_FAILURES))
-            .alias("infra_failure_count"),
-        rows_where(F.col("termination_code") == INIT_SCRIPT_FAILURE)
-            .alias("init_script_failure_count"))
+    by_duration = ended.groupBy(*job, seconds.alias("run_s")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("result_state") == "FAILED").alias("failed_runs"),
+        F.count_if(F.col("termination_code").isin(*INFRA_FAILURES))
+         .alias("infra_failure_count"),
+        F.count_if(F.col("termination_code") == INIT_SCRIPT_FAILURE)
+         .alias("init_script_failure_count"))
+    n, run_s = F.col("n"), F.col("run_s")
+    short = run_s / F.lit(60.0) < F.lit(float(cfg.short_run_threshold_minutes))
+    counts = ("failed_runs", "infra_failure_count", "init_script_failure_count")
+    rows = summarise(
+        by_duration, job, value="run_s", weight="n", percents={"p50_s": 50, "p95_s": 95},
+        totals=[(F.sum(run_s * n) / F.sum("n") / F.lit(60.0)).alias("avg_run_minutes"),
+                (F.lit(100.0) * F.sum(F.when(short, n).otherwise(0)) / F.sum("n"))
+                .alias("short_run_share_pct"),
+                *[F.sum(c).alias(c) for c in counts]])
     runs = (ended.where("run_id IS NOT NULL").select(*job, "run_id").distinct()
                  .groupBy(*job).agg(F.count(F.lit(1)).alias("run_count_30d")))
-    same_job = [F.col(f"rows.{c}").eqNullSafe(F.col(f"runs.{c}")) for c in job]
-    return rows.alias("rows").join(runs.alias("runs"), same_job, "left").select(
-        *[F.col(f"rows.{c}") for c in job],
-        F.coalesce("run_count_30d", F.lit(0)).alias("run_count_30d"),
+    return rows.join(runs, job, "left").select(
+        *job, F.coalesce("run_count_30d", F.lit(0)).alias("run_count_30d"),
         "avg_run_minutes",
-        (F.col("_s")[0] / F.lit(60.0)).alias("p50_run_minutes"),
-        (F.col("_s")[1] / F.lit(60.0)).alias("p95_run_minutes"),
-        "short_run_share_pct", "failed_runs",
-        "infra_failure_count", "init_script_failure_count")
+        (F.col("p50_s") / F.lit(60.0)).alias("p50_run_minutes"),
+        (F.col("p95_s") / F.lit(60.0)).alias("p95_run_minutes"),
+        "short_run_share_pct", *counts)

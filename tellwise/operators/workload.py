@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import fingerprint, gigabytes, since
-from tellwise.operators.stats import percentiles
+from tellwise.functions import fingerprint, since
+from tellwise.operators.quantiles import summarise
 
 SAMPLE_CHARS = 300
 
@@ -35,16 +35,20 @@ def signature_rollup(heavy: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """One row per signature with the totals every signature detector needs.
 
     ``big_*`` cover executions reading at least the pruning floor, ``spill_*``
-    those that spilled. Samples keep the least text of their subset; the least
-    300-character prefix is the prefix of the least text, so only prefixes are
-    shuffled.
+    those that spilled. Samples keep the least text of their subset. The least
+    300-character prefix is the prefix of the least text, so the whole text ends
+    at the scan: fingerprint and prefix are all that is sorted and shuffled.
     """
     ms, read = F.col("total_task_duration_ms"), F.col("read_bytes")
     pruned, spilled = F.col("pruned_files_bytes"), F.col("spilled_local_bytes")
-    sample = F.substring("statement_text", 1, SAMPLE_CHARS)
+    sample = F.col("sample")
     big = read >= F.lit(cfg.pruning_min_read_gb * 1024.0 ** 3)
     spills = spilled > 0
-    return heavy.groupBy("query_signature").agg(
+    narrow = heavy.select(
+        "query_signature", "total_task_duration_ms", "read_bytes", "pruned_files_bytes",
+        "spilled_local_bytes",
+        F.substring("statement_text", 1, SAMPLE_CHARS).alias("sample"))
+    return narrow.groupBy("query_signature").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(ms).alias("ms"),
         F.sum(read).alias("read_b"),
@@ -89,24 +93,24 @@ def table_reads(lineage: DataFrame, heavy: DataFrame, *, cfg: Thresholds) -> Dat
                      weighted("read_bytes").alias("read_b")))
 
 
-def warehouse_traffic(selects: DataFrame, *, cfg: Thresholds) -> DataFrame:
+def warehouse_traffic(selects: DataFrame) -> DataFrame:
     """Volume, users and task-time percentiles of finished SELECTs per warehouse.
 
     Statements without a warehouse form a group of their own.
     """
-    per_user = selects.groupBy("warehouse_id", "executed_by").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("total_task_duration_ms").alias("ms"),
-        F.count("total_task_duration_ms").alias("timed"),
-        F.sum("read_bytes").alias("read_b"))
-    volume = per_user.groupBy("warehouse_id").agg(
-        F.sum("n").alias("n"), F.count("executed_by").alias("users"),
-        F.sum("ms").alias("ms"), F.sum("timed").alias("timed"),
-        F.sum("read_b").alias("read_b"))
-    pace = selects.groupBy("warehouse_id").agg(
-        percentiles(F.col("total_task_duration_ms"), cfg).alias("_ms"))
-    same = F.col("volume.warehouse_id").eqNullSafe(F.col("pace.warehouse_id"))
-    return volume.alias("volume").join(pace.alias("pace"), same).select(
-        F.col("volume.warehouse_id"), "n", "users", "ms", "timed", "read_b",
-        (F.col("_ms")[0] / F.lit(1000.0)).alias("p50_s"),
-        (F.col("_ms")[1] / F.lit(1000.0)).alias("p95_s"))
+    by_duration = selects.groupBy("warehouse_id", "total_task_duration_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("read_bytes").alias("read_b"))
+    ms, n = F.col("total_task_duration_ms"), F.col("n")
+    pace = summarise(
+        by_duration, ["warehouse_id"], value="total_task_duration_ms", weight="n",
+        percents={"p50_ms": 50, "p95_ms": 95},
+        totals=[F.sum("n").alias("n"), F.sum(ms * n).alias("ms"),
+                F.sum(F.when(ms.isNotNull(), n)).alias("timed"),
+                F.sum("read_b").alias("read_b")])
+    users = (selects.select("warehouse_id", "executed_by").distinct()
+                    .groupBy("warehouse_id").agg(F.count("executed_by").alias("users")))
+    same = F.col("pace.warehouse_id").eqNullSafe(F.col("users.warehouse_id"))
+    return pace.alias("pace").join(users.alias("users"), same).select(
+        F.col("pace.warehouse_id"), "n", F.col("users.users"), "ms", "timed", "read_b",
+        (F.col("p50_ms") / F.lit(1000.0)).alias("p50_s"),
+        (F.col("p95_ms") / F.lit(1000.0)).alias("p95_s"))

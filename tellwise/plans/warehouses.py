@@ -51,7 +51,7 @@ def warehouse_base(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
     return (
         current_warehouses(warehouses).drop("change_time")
         .join(activity(log, queries).where("on_s IS NOT NULL"), "warehouse_id")
-        .join(query_stats(queries, cfg=cfg), "warehouse_id", "left")
+        .join(query_stats(queries), "warehouse_id", "left")
         .join(warehouse_cost(usage, prices, cfg=cfg), "warehouse_id", "left")
         .withColumns({
             "hours_on": hours_on,

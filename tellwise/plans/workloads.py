@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
 from tellwise.functions import decimal_text, gigabytes, half_up, nullif_zero, ranked, rule_ladder
-from tellwise.operators.latest import current_warehouses
+from tellwise.operators.latest import latest
 from tellwise.operators.workload import (
     finished_selects, heavy_queries, signature_rollup, table_reads, warehouse_traffic,
 )
@@ -145,11 +145,12 @@ def fast_bi_warehouses(selects: DataFrame, warehouses: DataFrame, *,
 
     Names are attached after the reduction, so only kept warehouses are joined.
     """
-    traffic = warehouse_traffic(selects, cfg=cfg).where(
+    traffic = warehouse_traffic(selects).where(
         (F.col("n") >= cfg.subsecond_min_queries)
         & (F.col("p50_s") < cfg.subsecond_max_p50_s)
         & (F.col("users") >= cfg.subsecond_min_distinct_users))
-    names = current_warehouses(warehouses).select("warehouse_id", "warehouse_name")
+    names = latest(warehouses.select("warehouse_id", "warehouse_name", "change_time"),
+                   ["warehouse_id"], "change_time", ["warehouse_name"]).drop("change_time")
     target = F.concat(F.lit("warehouse: "), F.coalesce("warehouse_name", F.lit("?")),
                       F.lit(" ("), F.col("warehouse_id"), F.lit(")"))
     return traffic.join(names, "warehouse_id", "left").select(*_finding(
