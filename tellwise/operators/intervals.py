@@ -99,73 +99,81 @@ def overlap_seconds_join(intervals: DataFrame, spans: DataFrame,
               .groupBy(key).agg(F.sum(seconds).alias("util_s")))
 
 
+def _second_states(events: DataFrame, key: str, ts: str, state: str) -> DataFrame:
+    """``key, sec, until, clusters, closed``: the last state of each second.
+
+    ``until`` is the next second with an entry, NULL for the last state, which
+    stays open. ``closed`` counts the running intervals that begin in the second
+    and have an end, including those that end within it.
+    """
+    zero = F.lit(0).cast("bigint")
+    # (microsecond, clusters) packed into one long: a maximum over a struct would
+    # make Spark sort instead of hash
+    base = _MAX_CLUSTERS + 1
+    micros = F.pmod(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(1_000_000))
+    clusters = F.least(F.greatest(F.coalesce(state, zero), zero), F.lit(_MAX_CLUSTERS))
+    states = (
+        events.groupBy(key, epoch_seconds(F.col(ts)).alias("sec"))
+        .agg(F.max(micros * base + clusters).alias("last"),
+             F.count_if(F.col(state) > 0).alias("running"))
+        .select(key, "sec", "running", (F.col("last") % base).alias("clusters"),
+                F.lead("sec").over(Window.partitionBy(key).orderBy("sec")).alias("until")))
+    still_open = F.col("until").isNull() & (F.col("clusters") > 0)
+    return states.select(key, "sec", "until", "clusters",
+                         (F.col("running") - still_open.cast("bigint")).alias("closed"))
+
+
 def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
              ts: str = "event_time", state: str = "cluster_count") -> DataFrame:
     """On-time, used seconds and peak starts per minute from logs and spans at once.
 
     ``key, on_s, cluster_on_s, util_s, peak_concurrent`` with ``on_s`` NULL for a
     key without a closed running interval and ``peak_concurrent`` NULL for a key
-    without spans.
+    without spans. A key with neither has no row.
 
     With C(t) the seconds a key has been on before t, the used seconds are the
     sum of C(end) - C(start) over its spans. Only the last state of a second and
     the number of spans starting and ending in it matter, so both inputs are
     first reduced to (key, second), which combines map-side. A key then has at
-    most one row per second of the window, however many entries or spans it has,
-    and running sums over those rows give C.
+    most one row per second of the window, however many entries or spans it has.
+    With n the running intervals opened minus closed up to t, and p the sum of
+    their border seconds, signed alike, C(t) = n t - p: two running sums.
 
     Spans that overlap each other count each. A span that ends before it starts
     counts negatively, for all the on-time between its ends.
     """
-    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    sec = F.col("sec")
-    # the last state of a second: (microsecond, clusters) packed into one long, as
-    # a maximum over a struct would make Spark sort instead of hash
-    micros = (F.extract(F.lit("SECOND"), F.col(ts)) * 1000000 % 1000000).cast("bigint")
-    clusters = F.least(F.greatest(F.coalesce(state, none), none), F.lit(_MAX_CLUSTERS))
-    entries = (
-        events.groupBy(key, epoch_seconds(F.col(ts)).alias("sec"))
-        .agg(F.max(micros * (_MAX_CLUSTERS + 1) + clusters).alias("final"),
-             F.count_if(F.col(state) > 0).alias("on_entries"))
-        .select(key, "sec", (F.col("final") % (_MAX_CLUSTERS + 1)).alias("clusters"),
-                "on_entries", none.alias("starts"), none.alias("ends")))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sec, marks = F.col("sec"), ("opens", "clusters", "closed", "starts", "ends")
 
-    begun, ended = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
-    has_end = F.when(ended.isNotNull(), one).otherwise(none)
+    def mark(second: Column, **counts: Column) -> Column:
+        return F.struct(second.alias("sec"), *[counts.get(m, zero).alias(m) for m in marks])
 
-    def mark(second: Column, starts: Column, ends: Column) -> Column:
-        return F.struct(second.alias("sec"), starts.alias("starts"), ends.alias("ends"))
+    on = ((F.col("clusters") > 0) & F.col("until").isNotNull()).cast("bigint")
+    size = on * F.col("clusters")
+    borders = (
+        _second_states(events, key, ts, state).where("closed > 0")
+        .select(key, F.inline(F.array(
+            mark(sec, opens=on, clusters=size, closed=F.col("closed")),
+            mark(F.coalesce("until", "sec"), opens=-on, clusters=-size)))))
 
+    begun, ended = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
     # a span without an end is a start that weighs nothing
+    has_end = ended.isNotNull().cast("bigint")
     span_ends = spans.select(key, F.inline(F.array(
-        mark(begun, one, -has_end), mark(F.coalesce(ended, begun), none, has_end)))).select(
-        key, "sec", F.lit(None).cast("bigint").alias("clusters"),
-        none.alias("on_entries"), "starts", "ends")
-
-    per_second = entries.unionByName(span_ends).groupBy(key, "sec").agg(
-        F.max("clusters").alias("clusters"),
-        *[F.sum(c).alias(c) for c in ("on_entries", "starts", "ends")])
-
-    whole = Window.partitionBy(key)
-    timeline = whole.orderBy("sec")
-    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gaps = per_second.select(
-        key, "sec", "clusters", "on_entries", "starts", "ends",
-        (sec - F.lag("sec").over(timeline)).alias("gap"),
-        F.last("clusters", ignorenulls=True).over(before).alias("running"),
-        F.max(F.when(F.col("clusters").isNotNull(), sec)).over(whole).alias("last_entry"))
-    # the last state has no end, so nothing after it counts as on
-    lit = F.when(sec <= F.col("last_entry"), F.coalesce("running", none)).otherwise(none)
-    open_on = (sec == F.col("last_entry")) & (F.col("clusters") > 0)
-    clocked = gaps.select(
-        key, F.floor(sec / 60).alias("minute"), "sec", "starts", "ends",
-        (F.col("on_entries") - F.when(open_on, one).otherwise(none)).alias("closed"),
-        F.when(lit > 0, F.col("gap")).otherwise(none).alias("on_s"),
-        F.coalesce(lit * F.col("gap"), none).alias("cluster_on_s"),
-    ).withColumn("used", F.col("ends") * F.sum("on_s").over(so_far))
-
-    per_minute = clocked.groupBy(key, "minute").agg(
+        mark(begun, starts=one, ends=-has_end),
+        mark(F.coalesce(ended, begun), ends=has_end))))
+
+    per_second = borders.unionByName(span_ends).groupBy(key, "sec").agg(
+        *[F.sum(m).alias(m) for m in marks])
+    so_far = Window.partitionBy(key).orderBy("sec").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    on_before = sec * F.sum("opens").over(so_far) - F.sum(F.col("opens") * sec).over(so_far)
+    per_minute = per_second.select(
+        key, F.floor(sec / 60).alias("minute"), "closed", "starts",
+        (-F.col("opens") * sec).alias("on_s"),
+        (-F.col("clusters") * sec).alias("cluster_on_s"),
+        (F.col("ends") * on_before).alias("used"),
+    ).groupBy(key, "minute").agg(
         *[F.sum(c).alias(c) for c in ("closed", "starts", "on_s", "cluster_on_s", "used")])
     has_intervals = F.sum("closed") > 0
     return per_minute.groupBy(key).agg(
