@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from checks.oracle import statements
 from checks.queries import registered
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

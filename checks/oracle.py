@@ -41,6 +41,13 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _fingerprint(text: str) -> str:
+    blanked = f"lower({text})"
+    for pattern, by in (("'[^']*'", "?"), (r"\b\d+\b", "?"), (r"\s+", " ")):
+        blanked = f"regexp_replace({blanked}, {_q(pattern)}, {_q(by)}, 'g')"
+    return f"md5({blanked})"
+
+
 def _ts(value) -> str:
     return f"timestamp '{value.isoformat(sep=' ')}'"
 
@@ -269,9 +276,7 @@ def _workload_steps(c: Thresholds) -> dict[str, str]:
             where execution_status = 'FINISHED' and statement_type = 'SELECT'
               and start_time >= {lo}""",
         "qt_heavy": f"""
-            select *, md5(regexp_replace(regexp_replace(regexp_replace(
-                     lower(statement_text), '''[^'']*''', '?', 'g'),
-                     '\\b\\d+\\b', '?', 'g'), '\\s+', ' ', 'g')) as query_signature
+            select *, {_fingerprint('statement_text')} as query_signature
             from qt_selects
             where statement_text is not null
               and total_task_duration_ms > {c.min_query_duration_s * 1000}""",
@@ -729,6 +734,29 @@ def statements() -> dict[str, str]:
             where fit_bucket in ('60-79 (Good)', '40-59 (Marginal)')
               and migration_risk in ('BLOCKER')"""),
     }
+    out["text_fingerprints"] = f"""
+        select {_fingerprint('text')} as shape, count(*) as documents,
+               min(doc_id) as first_doc_id
+        from documents group by 1"""
+    lo, day = _ts(RECENT.window_start), f"date '{RECENT.window_start_date}'"
+    picks = {
+        "warehouses": "fx_warehouses", "jobs": "fx_jobs",
+        "warehouse_events": f"fx_warehouse_events where event_time >= {lo}",
+        "query_history_all":
+            f"fx_query_history where start_time >= {lo} and warehouse_id is not null",
+        "query_history_selects": "qt_selects", "query_history_heavy": "qt_heavy",
+        "usage_sql": f"fx_usage where usage_start_time >= {lo} and warehouse_id is not null",
+        "usage_jobs": f"fx_usage where usage_start_time >= {lo} and job_id is not null"
+                      " and billing_origin_product = 'JOBS'",
+        "list_prices": "fx_list_prices where currency_code = 'USD'",
+        "job_runs":
+            f"fx_job_runs where period_start_time >= {lo} and period_end_time is not null",
+        "lineage": f"fx_lineage where event_date >= {day} and source_type = 'TABLE'"
+                   " and source_table_full_name is not null",
+    }
+    out["scanned_rows"] = s(" union all ".join(
+        f"select '{name}' as selection, count(*) as n from {pick}"
+        for name, pick in picks.items()), "recent")
     out["utilized_seconds_sweep"] = out["utilized_seconds"]
     for profile, suffix in (("default", ""), ("tight", "_tight")):
         out[f"warehouse_recos{suffix}"] = s("select * from wh_kept", profile)

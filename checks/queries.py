@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from checks.profiles import DEFAULT, RECENT, TIGHT
 from checks.telemetry import telemetry
 from tellwise import Recommendations, Telemetry, Thresholds, recommend
-from tellwise.functions import half_up, since
+from tellwise.functions import fingerprint, half_up
 from tellwise.operators.intervals import (
     on_time, overlap_seconds, peak_per_bucket, state_intervals,
 )
 from tellwise.operators.latest import current_jobs, current_warehouses
 from tellwise.operators.pricing import job_billing, warehouse_cost
-from tellwise.operators.stats import endpoint_queries, query_stats, run_stats
-from tellwise.operators.workload import finished_selects, heavy_queries, signature_rollup
+from tellwise.operators.stats import query_stats, run_stats
+from tellwise.operators.workload import heavy_queries, signature_rollup
 from tellwise.plans import jobs, rollups, warehouses, workloads
 from tellwise.plans.actions import consolidated_actions, top_actions
 from tellwise.plans.confidence import confidence_label, pick
 from tellwise.plans.digest import briefing_text, digest_payload
+from tellwise.sources import scans
+from tellwise.sources.scans import endpoint_queries, finished_selects, state_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +39,7 @@ def _micros(column: str) -> Column:
 
 
 def _log(data: Telemetry) -> DataFrame:
-    return since(data.warehouse_events, "event_time", DEFAULT.window_start)
+    return state_log(data.warehouse_events, cfg=DEFAULT)
 
 
 def _intervals(data: Telemetry) -> DataFrame:
@@ -113,8 +115,36 @@ def _sets(r: Recommendations) -> tuple[DataFrame, DataFrame, DataFrame]:
     return r.warehouse, r.query_table, r.jobs
 
 
+def _scanned(data: Telemetry) -> DataFrame:
+    """Rows each source offers to each analysis in a two-week window."""
+    selections = {
+        "warehouses": data.warehouses,
+        "warehouse_events": scans.state_log(data.warehouse_events, cfg=RECENT),
+        "query_history_all": scans.endpoint_queries(data.query_history, cfg=RECENT),
+        "query_history_selects": scans.finished_selects(data.query_history, cfg=RECENT),
+        "query_history_heavy": heavy_queries(data.query_history, cfg=RECENT),
+        "usage_sql": scans.warehouse_usage(data.usage, cfg=RECENT),
+        "usage_jobs": scans.job_usage(data.usage, cfg=RECENT),
+        "list_prices": scans.prices_in(data.list_prices),
+        "jobs": data.jobs,
+        "job_runs": scans.ended_runs(data.job_runs, cfg=RECENT),
+        "lineage": scans.table_edges(data.lineage, cfg=RECENT),
+    }
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("selection"), "n")
+        for name, df in selections.items()])
+
+
+def _text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query fingerprint over whole documents: texts alike but for literals."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.groupBy(fingerprint(F.col("text")).alias("shape")).agg(
+        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc_id"))
+
+
 # operators over the telemetry
 _OPERATORS: dict[str, Callable[[Telemetry], DataFrame]] = {
+    "scanned_rows": _scanned,
     "latest_warehouse": lambda d: current_warehouses(d.warehouses).drop("change_time"),
     "latest_job": lambda d: current_jobs(d.jobs).drop("change_time"),
     "state_intervals": _state_intervals,
@@ -199,5 +229,6 @@ def registered() -> dict[str, Query]:
         return lambda spark, sf_dir: build(
             recommend(telemetry(spark, sf_dir), cfg=cfg, selected=selected))
 
-    return {**{name: operator(b) for name, b in _OPERATORS.items()},
+    return {"text_fingerprints": _text_fingerprints,
+            **{name: operator(b) for name, b in _OPERATORS.items()},
             **{name: report(*spec) for name, spec in _REPORTS.items()}}

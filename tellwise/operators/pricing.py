@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import instant, since
+from tellwise.functions import instant
+from tellwise.sources.scans import job_usage, prices_in, warehouse_usage
 
 
 def priced_usage(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds,
@@ -22,7 +23,7 @@ def priced_usage(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds,
     """
     valid_until = F.coalesce(
         F.col("price_end_time"), instant(prices, "price_start_time", cfg.open_price_end))
-    card = prices.where(F.col("currency_code") == currency).select(
+    card = prices_in(prices, currency).select(
         F.col("sku_name").alias("_sku"), F.col("usage_unit").alias("_unit"),
         F.col("price_start_time").alias("_from"), valid_until.alias("_until"),
         "list_price")
@@ -34,8 +35,7 @@ def priced_usage(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds,
 
 def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Units and list dollars per warehouse inside the window."""
-    billed = since(usage, "usage_start_time", cfg.window_start) \
-        .where("warehouse_id IS NOT NULL")
+    billed = warehouse_usage(usage, cfg=cfg)
     return priced_usage(billed, prices, cfg=cfg).groupBy("warehouse_id").agg(
         F.sum("usage_quantity").alias("dbus_30d"),
         F.sum(F.col("usage_quantity") * F.col("list_price")).alias("dollars_30d"))
@@ -43,8 +43,7 @@ def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> D
 
 def job_billing(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Classic and serverless units, and classic list dollars, per job."""
-    billed = since(usage, "usage_start_time", cfg.window_start).where(
-        (F.col("billing_origin_product") == "JOBS") & F.col("job_id").isNotNull())
+    billed = job_usage(usage, cfg=cfg)
     quantity = F.col("usage_quantity")
     serverless = F.col("sku_name").ilike("%SERVERLESS%")
     zero = F.lit(0.0)

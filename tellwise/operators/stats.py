@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import epoch_seconds, gigabytes, since
+from tellwise.functions import epoch_seconds, gigabytes
 from tellwise.operators.quantiles import summarise
+from tellwise.sources.scans import ended_runs
 
 # Terminations caused by infrastructure rather than by the job.
 INFRA_FAILURES = (
@@ -21,12 +22,6 @@ INFRA_FAILURES = (
 INIT_SCRIPT_FAILURE = "INIT_SCRIPT_FAILURE"
 
 
-def endpoint_queries(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
-    """Every statement in the window that ran on a warehouse, whatever its fate."""
-    return since(query_history, "start_time", cfg.window_start) \
-        .where("warehouse_id IS NOT NULL")
-
-
 def query_stats(queries: DataFrame) -> DataFrame:
     """Volume, task-time percentiles, mean queue wait and spill per warehouse."""
     queued_ms = (F.coalesce("waiting_for_compute_duration_ms", F.lit(0))
@@ -55,8 +50,8 @@ def run_stats(job_runs: DataFrame, *, cfg: Thresholds) -> DataFrame:
     Rows that name no job are left out, as no job can match them.
     """
     job = ["workspace_id", "job_id"]
-    ended = since(job_runs, "period_start_time", cfg.window_start).where(
-        "period_end_time IS NOT NULL AND workspace_id IS NOT NULL AND job_id IS NOT NULL")
+    ended = ended_runs(job_runs, cfg=cfg).where(
+        "workspace_id IS NOT NULL AND job_id IS NOT NULL")
     seconds = (epoch_seconds(F.col("period_end_time"))
                - epoch_seconds(F.col("period_start_time")))
     by_duration = ended.groupBy(*job, seconds.alias("run_s")).agg(

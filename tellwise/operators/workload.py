@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import fingerprint, since
+from tellwise.functions import fingerprint
 from tellwise.operators.quantiles import summarise
+from tellwise.sources.scans import finished_selects, table_edges
 
 SAMPLE_CHARS = 300
 
 
-def finished_selects(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
-    """Finished SELECT statements in the window, however short."""
-    return since(query_history, "start_time", cfg.window_start).where(
-        (F.col("statement_type") == "SELECT")
-        & (F.col("execution_status") == "FINISHED"))
-
-
 def heavy_queries(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Finished SELECTs above the duration floor, with their fingerprint.
 
@@ -72,9 +66,7 @@ def table_reads(lineage: DataFrame, heavy: DataFrame, *, cfg: Thresholds) -> Dat
     table nor a statement with many edges travels as raw rows.
     """
     edges = (
-        lineage.where((F.col("event_date") >= F.lit(cfg.window_start_date))
-                      & (F.col("source_type") == "TABLE")
-                      & F.col("source_table_full_name").isNotNull())
+        table_edges(lineage, cfg=cfg)
         .groupBy("source_table_full_name", "entity_id", "created_by")
         .agg(F.count(F.lit(1)).alias("_edges")))
     weights = heavy.select(

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tellwise.config import SIZE_LADDER, Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, lookup, nullif_zero, ranked, rule_ladder, settle, since,
+    decimal_text, half_up, join_parts, lookup, nullif_zero, ranked, rule_ladder, settle,
 )
 from tellwise.operators.intervals import activity
 from tellwise.operators.latest import current_warehouses
 from tellwise.operators.pricing import warehouse_cost
-from tellwise.operators.stats import endpoint_queries, query_stats
+from tellwise.operators.stats import query_stats
 from tellwise.plans.labels import MONEY_CATEGORIES, WAREHOUSE_RULES
+from tellwise.sources.scans import endpoint_queries, state_log
 from tellwise.sources.telemetry import Telemetry
 
 SERVERLESS = "SERVERLESS"
@@ -43,7 +44,7 @@ def warehouse_base(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
     warehouses, events, history, usage, prices = data.need(
         "warehouses", "warehouse_events", "query_history", "usage", "list_prices")
     queries = endpoint_queries(history, cfg=cfg)
-    log = since(events, "event_time", cfg.window_start)
+    log = state_log(events, cfg=cfg)
 
     used = F.coalesce("util_s", F.lit(0))
     hours_on = F.col("on_s") / F.lit(3600.0)

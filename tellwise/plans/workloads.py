@@ -11,9 +11,10 @@ from tellwise.config import Thresholds
 from tellwise.functions import decimal_text, gigabytes, half_up, nullif_zero, ranked, rule_ladder
 from tellwise.operators.latest import latest
 from tellwise.operators.workload import (
-    finished_selects, heavy_queries, signature_rollup, table_reads, warehouse_traffic,
+    heavy_queries, signature_rollup, table_reads, warehouse_traffic,
 )
 from tellwise.plans.labels import WORKLOAD_RULES
+from tellwise.sources.scans import finished_selects
 from tellwise.sources.telemetry import Telemetry
 
 EXPENSIVE = "EXPENSIVE_QUERY_REVIEW"

@@ -13,7 +13,7 @@ from checks.telemetry import telemetry
 from tellwise import Telemetry, recommend
 from tellwise.functions import since
 from tellwise.operators.latest import current_warehouses
-from tellwise.operators.stats import endpoint_queries
+from tellwise.sources.scans import endpoint_queries
 from tellwise.plans.warehouses import warehouse_base
 from tellwise.plans.workloads import heavy_queries, signature_findings, signature_rollup
 from tellwise.plans import workloads
