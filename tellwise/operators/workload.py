@@ -11,38 +11,53 @@ from tellwise.operators.quantiles import summarise
 from tellwise.sources.scans import finished_selects, table_edges
 
 SAMPLE_CHARS = 300
+HEAVY_FACTS = ("total_task_duration_ms", "read_bytes", "pruned_files_bytes",
+               "spilled_local_bytes")
 
 
 def heavy_queries(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
-    """Finished SELECTs above the duration floor, with their fingerprint.
+    """Finished SELECTs above the duration floor, with fingerprint and text sample.
 
-    Statement ids identify a statement, so one scan carries every column.
+    Statement ids identify a statement, so one scan carries every column; rows
+    without one are left out. The whole text is fingerprinted here and goes no
+    further.
     """
     return (
         finished_selects(query_history, cfg=cfg)
         .where((F.col("total_task_duration_ms") > cfg.min_query_duration_s * 1000)
-               & F.col("statement_text").isNotNull())
-        .withColumn("query_signature", fingerprint(F.col("statement_text"))))
+               & F.col("statement_text").isNotNull()
+               & F.col("statement_id").isNotNull())
+        .select("statement_id", *HEAVY_FACTS,
+                fingerprint(F.col("statement_text")).alias("query_signature"),
+                F.substring("statement_text", 1, SAMPLE_CHARS).alias("sample")))
+
+
+def shared_by_statement(heavy: DataFrame) -> DataFrame:
+    """The same rows, shuffled by statement id in a form all readers can reuse.
+
+    Statement texts are most of a query history. Two readers that need different
+    columns would each scan them; behind the generator both need the same
+    shuffle, so Spark computes it once. Heavy statements are few and narrow next
+    to the history, and a join on the statement id needs no further shuffle.
+    """
+    others = [c for c in heavy.columns if c != "statement_id"]
+    return heavy.repartition("statement_id").select(
+        "statement_id", F.inline(F.array(F.struct(*others))))
 
 
 def signature_rollup(heavy: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """One row per signature with the totals every signature detector needs.
 
     ``big_*`` cover executions reading at least the pruning floor, ``spill_*``
-    those that spilled. Samples keep the least text of their subset. The least
-    300-character prefix is the prefix of the least text, so the whole text ends
-    at the scan: fingerprint and prefix are all that is sorted and shuffled.
+    those that spilled. Samples keep the least text of their subset: the least
+    300-character prefix is the prefix of the least text.
     """
     ms, read = F.col("total_task_duration_ms"), F.col("read_bytes")
     pruned, spilled = F.col("pruned_files_bytes"), F.col("spilled_local_bytes")
     sample = F.col("sample")
     big = read >= F.lit(cfg.pruning_min_read_gb * 1024.0 ** 3)
     spills = spilled > 0
-    narrow = heavy.select(
-        "query_signature", "total_task_duration_ms", "read_bytes", "pruned_files_bytes",
-        "spilled_local_bytes",
-        F.substring("statement_text", 1, SAMPLE_CHARS).alias("sample"))
-    return narrow.groupBy("query_signature").agg(
+    return heavy.groupBy("query_signature").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(ms).alias("ms"),
         F.sum(read).alias("read_b"),

@@ -136,6 +136,15 @@ def test_one_text_scan_feeds_all_signature_detectors(stored):
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
+def test_statement_texts_are_scanned_once_for_all_detectors(stored):
+    df = recommend(stored, cfg=DEFAULT, selected=["query_table"]).query_table
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan[^\n]*statement_text#", final)) == 1
+    joins = re.findall(r"ReusedExchange[^\n]*statement_id", final)
+    assert len(joins) == 1
+
+
 def test_facts_are_scanned_as_often_as_needed(stored):
     text = plan(warehouse_base(stored, cfg=DEFAULT))
     assert len(re.findall(r"FileScan.*compute#", text)) == 2         # activity, statistics
