@@ -124,20 +124,26 @@ def _second_states(events: DataFrame, key: str, ts: str, state: str) -> DataFram
 
 
 def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
-             ts: str = "event_time", state: str = "cluster_count") -> DataFrame:
+             ts: str = "event_time", state: str = "cluster_count",
+             block_s: int = BLOCK_S) -> DataFrame:
     """On-time, used seconds and peak starts per minute from logs and spans at once.
 
     ``key, on_s, cluster_on_s, util_s, peak_concurrent`` with ``on_s`` NULL for a
     key without a closed running interval and ``peak_concurrent`` NULL for a key
-    without spans. A key with neither has no row.
+    without spans. A key with neither has no row. ``block_s`` must hold whole
+    minutes.
 
     With C(t) the seconds a key has been on before t, the used seconds are the
     sum of C(end) - C(start) over its spans. Only the last state of a second and
     the number of spans starting and ending in it matter, so both inputs are
     first reduced to (key, second), which combines map-side. A key then has at
-    most one row per second of the window, however many entries or spans it has.
-    With n the running intervals opened minus closed up to t, and p the sum of
-    their border seconds, signed alike, C(t) = n t - p: two running sums.
+    most one row per second of the window, however many entries or spans it has,
+    and those rows are spread over (key, time block) groups.
+
+    Within a block, C is its value at the block's start, plus the time since then
+    if the key was already on, plus what running sums over the block's interval
+    borders add. Weighing all three by the span ends needs only sums per block;
+    the first two factors follow from running sums over the blocks of the key.
 
     Spans that overlap each other count each. A span that ends before it starts
     counts negatively, for all the on-time between its ends.
@@ -165,22 +171,40 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
 
     per_second = borders.unionByName(span_ends).groupBy(key, "sec").agg(
         *[F.sum(m).alias(m) for m in marks])
-    so_far = Window.partitionBy(key).orderBy("sec").rowsBetween(
+    start = F.col("block") * F.lit(block_s)
+    placed = per_second.withColumn("block", _block(sec, block_s)) \
+                       .withColumn("rel", sec - start)
+    rel, opens, ends = F.col("rel"), F.col("opens"), F.col("ends")
+    in_block = Window.partitionBy(key, "block").orderBy("rel").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    on_before = sec * F.sum("opens").over(so_far) - F.sum(F.col("opens") * sec).over(so_far)
-    per_minute = per_second.select(
-        key, F.floor(sec / 60).alias("minute"), "closed", "starts",
-        (-F.col("opens") * sec).alias("on_s"),
-        (-F.col("clusters") * sec).alias("cluster_on_s"),
-        (F.col("ends") * on_before).alias("used"),
-    ).groupBy(key, "minute").agg(
-        *[F.sum(c).alias(c) for c in ("closed", "starts", "on_s", "cluster_on_s", "used")])
+    on_since_start = rel * F.sum("opens").over(in_block) - F.sum(opens * rel).over(in_block)
+    sums = ("opens", "opens_rel", "clusters", "clusters_rel", "closed", "ends", "ends_rel",
+            "inner")
+    per_block = placed.select(
+        key, "block", F.floor(rel / 60).alias("minute"), "starts",
+        "opens", (opens * rel).alias("opens_rel"),
+        "clusters", (F.col("clusters") * rel).alias("clusters_rel"), "closed",
+        "ends", (ends * rel).alias("ends_rel"), (ends * on_since_start).alias("inner"),
+    ).groupBy(key, "block", "minute").agg(
+        F.sum("starts").alias("starts"), *[F.sum(c).alias(c) for c in sums],
+    ).groupBy(key, "block").agg(
+        F.max("starts").alias("peak"), *[F.sum(c).alias(c) for c in sums])
+
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    opened_at = opens * start + F.col("opens_rel")
+    was_on = F.coalesce(F.sum("opens").over(earlier), zero)
+    on_before = start * was_on - F.coalesce(F.sum(opened_at).over(earlier), zero)
     has_intervals = F.sum("closed") > 0
-    return per_minute.groupBy(key).agg(
+    return per_block.select(
+        key, "closed", "peak", (-opened_at).alias("on_s"),
+        (-(F.col("clusters") * start + F.col("clusters_rel"))).alias("cluster_on_s"),
+        (ends * on_before + F.col("ends_rel") * was_on + F.col("inner")).alias("used"),
+    ).groupBy(key).agg(
         F.when(has_intervals, F.sum("on_s")).alias("on_s"),
         F.when(has_intervals, F.sum("cluster_on_s")).alias("cluster_on_s"),
         F.sum("used").alias("util_s"),
-        F.max(F.when(F.col("starts") > 0, F.col("starts"))).alias("peak_concurrent"))
+        F.max(F.when(F.col("peak") > 0, F.col("peak"))).alias("peak_concurrent"))
 
 
 def overlap_seconds(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",

@@ -141,12 +141,13 @@ def test_state_intervals_match_a_plain_lead(spark, seed, block_s):
     assert sorted(map(tuple, got), key=key) == sorted(lead_by_hand(rows), key=key)
 
 
-@pytest.mark.parametrize("seed", range(4, 8))
-def test_activity_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, block_s", [(4, 60), (5, 600), (6, 3600), (7, 86400), (11, 120)])
+def test_activity_matches_brute_force(spark, seed, block_s):
     rows, spans = random_logs(seed)
     util, on, cluster_on = overlap_by_hand(rows, spans)
     got = {r["warehouse_id"]: r for r in activity(
-        spark.createDataFrame(rows, STATES), spark.createDataFrame(spans, SPANS)).collect()}
+        spark.createDataFrame(rows, STATES), spark.createDataFrame(spans, SPANS),
+        block_s=block_s).collect()}
     for k in "abc":
         assert got[k]["on_s"] == on.get(k)
         assert got[k]["cluster_on_s"] == cluster_on.get(k)
