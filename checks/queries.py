@@ -13,7 +13,7 @@ from checks.telemetry import telemetry
 from tellwise import Recommendations, Telemetry, Thresholds, recommend
 from tellwise.functions import fingerprint, half_up
 from tellwise.operators.intervals import (
-    on_time, overlap_seconds, peak_per_bucket, state_intervals,
+    activity, on_time, overlap_seconds, peak_per_bucket, state_intervals,
 )
 from tellwise.operators.latest import current_jobs, current_warehouses
 from tellwise.operators.pricing import job_billing, warehouse_cost
@@ -52,13 +52,18 @@ def _state_intervals(data: Telemetry) -> DataFrame:
         _micros("w_end").alias("w_end_us"), "cluster_count")
 
 
-def _utilized(method: str) -> Callable[[Telemetry], DataFrame]:
-    def run(data: Telemetry) -> DataFrame:
-        used = overlap_seconds(
-            _log(data), endpoint_queries(data.query_history, cfg=DEFAULT), method=method)
-        return on_time(_intervals(data)).select("warehouse_id").join(used, "warehouse_id", "left").select(
-            "warehouse_id", F.coalesce("util_s", F.lit(0)).alias("util_s"))
-    return run
+def _utilized_join(data: Telemetry) -> DataFrame:
+    used = overlap_seconds(
+        _log(data), endpoint_queries(data.query_history, cfg=DEFAULT), method="join")
+    return on_time(_intervals(data)).select("warehouse_id").join(
+        used, "warehouse_id", "left").select(
+        "warehouse_id", F.coalesce("util_s", F.lit(0)).alias("util_s"))
+
+
+def _utilized_sweep(data: Telemetry) -> DataFrame:
+    """The same from one pass, which also tells which warehouses were on."""
+    return activity(_log(data), endpoint_queries(data.query_history, cfg=DEFAULT)) \
+        .where("on_s IS NOT NULL").select("warehouse_id", "util_s")
 
 
 def _base(data: Telemetry) -> DataFrame:
@@ -149,8 +154,8 @@ _OPERATORS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "latest_job": lambda d: current_jobs(d.jobs).drop("change_time"),
     "state_intervals": _state_intervals,
     "on_time": lambda d: on_time(_intervals(d)),
-    "utilized_seconds": _utilized("join"),
-    "utilized_seconds_sweep": _utilized("sweep"),
+    "utilized_seconds": _utilized_join,
+    "utilized_seconds_sweep": _utilized_sweep,
     "query_stats": lambda d: _rounded(
         query_stats(endpoint_queries(d.query_history, cfg=DEFAULT)), 6,
         "avg_queue_s", "spill_gb"),
