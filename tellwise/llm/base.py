@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,12 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+
+
+def as_uri(folder: str) -> str:
+    return folder if re.match(r"\w+:", folder) else f"file://{os.path.abspath(folder)}"
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that driver and executors share, and the folder's path in it."""
+    return fs.FileSystem.from_uri(uri)

@@ -25,6 +25,31 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+wins AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY win) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM rep),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT page_id, n, h, string_agg(lpad(to_base(instr('0123456789abcdef', h[i]) - 1, 2), 4, '0'), '' ORDER BY i) AS b
+         FROM p, range(1, 41) AS r(i) GROUP BY page_id, n, h),
+digest AS (SELECT page_id, n, h, string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(strpos(c.codes, b[5 * k + 1:5 * k + 5]) AS INTEGER) // 6 + 1], '' ORDER BY k) AS d
+           FROM bits, range(0, 32) AS r(k), (SELECT string_agg(lpad(to_base(v, 2), 5, '0'), ',' ORDER BY v) AS codes FROM range(0, 32) AS t(v)) AS c
+           GROUP BY page_id, n, h),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM digest)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2}
+    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op6_substring_dedup": OP6, "op8_arc_to_warc": OP8}

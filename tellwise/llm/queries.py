@@ -11,6 +11,9 @@ from tellwise.llm.base import table
 from tellwise.llm.bpe import encode_and_decode
 from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
+from tellwise.llm.substring_dedup import repeated_passages
+from tellwise.llm.token_store import stored_documents
+from tellwise.llm.warc import archived_pages
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside and inside repeated passages."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids in a token store, read back from its files by key."""
+    return stored_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record that was converted from ARC."""
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op5_byte_bpe": op5_byte_bpe,
+        "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
     }
