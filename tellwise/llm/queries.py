@@ -13,6 +13,7 @@ from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
 from tellwise.llm.substring_dedup import repeated_passages
 from tellwise.llm.token_store import stored_documents
+from tellwise.llm.toxicity import toxicity_scores
 from tellwise.llm.warc import archived_pages
 
 
@@ -27,6 +28,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that aren't held out."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     coded = encode_and_decode(table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op5_byte_bpe": op5_byte_bpe,
+        "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
     }
