@@ -2,8 +2,8 @@
 
 A store is a folder:
 
-* `shard-00000.bin`: ids as little-endian unsigned 32-bit integers, document after document in
-  ascending key order, each closed by the end id;
+* `shard-00000.bin`: ids as little-endian unsigned integers, document after document in ascending
+  key order, each closed by the end id; of 16 bits if the vocabulary fits, else of 32;
 * `shard-00000.idx`: n + 1 little-endian unsigned 64-bit integers, where documents begin in the
   shard (in ids) and where the last one ends;
 * `index-00000.npz`: for the keys of one hash part, a minimal perfect hash (bit arrays of several
@@ -46,16 +46,21 @@ INDEX_KEYS = 1 << 16
 # ------------------------------------------------------------------ encoding
 
 
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
 class Encoder:
     """Encodes texts; pieces that were met before come from memory.
 
-    A pre-token never spans a change from a non-blank to a blank or line feed, so the pieces between
-    such changes can be encoded alone. Texts with other white space are encoded whole.
+    A pre-token always ends where a letter is followed by something else, and where something that
+    isn't blank is followed by a blank or line feed. Pieces between such places can be encoded
+    alone. Texts with other white space, or letters beyond Latin-1, are encoded whole.
     """
 
-    PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    OTHER_BLANK = re.compile(r"[^\S \n]")
-    REMEMBERED, LONGEST = 400_000, 48
+    PIECE = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ \n]+[A-Za-zÀ-ÖØ-öø-ÿ]*)|[ \n]+")
+    OTHER = re.compile("[^\n\x20-\x7EÀ-ÖØ-öø-ÿ¡¿«»]")
+    REMEMBERED, LONGEST = 600_000, 48
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,13 +68,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = id_type(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if self.OTHER_BLANK.search(text):
+        if self.OTHER.search(text):
             return self._encoded([text])[0]
         pieces = self.PIECE.findall(text)
         known = self.known
@@ -112,14 +118,14 @@ def _shard_writer(folder: str, tokenizer_path: str):
         shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer_path)
         files, root = open_folder(folder)
         name, own = f"shard-{shard:05}", f".shard-{shard:05}-{uuid.uuid4().hex}"
-        end, offsets = np.array([END_ID], "<u4").tobytes(), [0]
+        end, width, offsets = np.array([END_ID], encode.kind).tobytes(), encode.kind.itemsize, [0]
         with files.open_output_stream(f"{root}/{own}") as out:
             for batch in batches:
                 first = len(offsets) - 1
                 for text in batch["text"]:
                     ids = encode(text) + end
                     out.write(ids)
-                    offsets.append(offsets[-1] + len(ids) // 4)
+                    offsets.append(offsets[-1] + len(ids) // width)
                 yield pd.DataFrame({"key": batch["key"], "shard": shard, "place": np.arange(first, first + len(batch)),
                                     "n_tokens": np.diff(offsets[first:first + len(batch) + 1])})
         files.move(f"{root}/{own}", f"{root}/{name}.bin")
@@ -218,6 +224,7 @@ class TokenStore:
     folder: str
     shards: tuple[tuple[int, int, int], ...]
     parts: int
+    kind: np.dtype
 
     def _part(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int")
@@ -228,10 +235,10 @@ class TokenStore:
         return keys.withColumn("part", self._part()).groupBy("part").applyInPandas(_finder(self.folder), "key string, first long, rows long")
 
     def read(self, keys: DataFrame) -> DataFrame:
-        """key, number, start (in ids, in the whole store), ids (bytes) of each document that the
+        """key, number, start (in ids, in the whole store), ids (little-endian unsigned 32-bit integers) of each document that the
         store holds under one of the distinct keys."""
         shards = np.array(self.shards, np.int64).reshape(-1, 3)
-        folder = self.folder
+        folder, kind = self.folder, self.kind
 
         def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -246,7 +253,8 @@ class TokenStore:
             length = offsets[group["place"] + 1] - begin
             files, root = open_folder(folder)
             with files.open_input_file(f"{root}/{name}.bin") as file:
-                ids = [file.read_at(4 * n, 4 * at) for at, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                raw = [file.read_at(kind.itemsize * n, kind.itemsize * at) for at, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in raw]
             return pd.DataFrame({"key": group["key"], "number": group["number"], "start": group["shard_start"] + begin, "ids": ids})
 
         numbers = F.explode(F.sequence("first", F.col("first") + F.col("rows") - 1)).alias("number")
@@ -258,7 +266,8 @@ def write_store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
                 tokenizer_path: str | None = None, shard_bytes: int = SHARD_BYTES, index_keys: int = INDEX_KEYS) -> TokenStore:
     """Encodes docs, writes a store and returns it.
 
-    Documents are in ascending order of id (null first), rows of one id in order of their texts. A
+    Documents are in ascending order of id (null first), rows of one id in order of a
+    hash of their texts. A
     null text counts as empty: only the end id is written for it. Strings of special tokens are
     ordinary text. A null id has the key "null", any other id "id:" and its text. An id that repeats has one key
     and several documents. Other columns are not read; no rows make a store without shards.
@@ -268,10 +277,10 @@ def write_store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     files, root = open_folder(folder)
     files.create_dir(root, recursive=True)
     tokenizer_path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     n_rows, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     shards = max(1, math.ceil((n_bytes or 0) / shard_bytes))
-    dealt = (rows.repartitionByRange(shards, "id", "text").sortWithinPartitions("id", "text")
+    dealt = (rows.repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie", "text")
              .select(_key("id").alias("key"), "text"))
     written = settled(dealt.mapInPandas(_shard_writer(folder, tokenizer_path), "key string, shard int, place long, n_tokens long"))
     table, documents, ids = [], 0, 0
@@ -279,7 +288,7 @@ def write_store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     for shard, n_documents, n_ids in sorted(map(tuple, written.groupBy("shard").agg(F.count("*"), F.sum("n_tokens")).collect())):
         table.append((shard, documents, ids))
         documents, ids = documents + n_documents, ids + n_ids
-    store = TokenStore(folder, tuple(table), max(1, math.ceil(n_rows / index_keys)))
+    store = TokenStore(folder, tuple(table), max(1, math.ceil(n_rows / index_keys)), _encoder(tokenizer_path).kind)
     firsts = spark.createDataFrame([(s, d) for s, d, _ in table], "shard int, shard_first long")
     keys = (written.join(firsts, "shard").groupBy("key").agg(F.min(F.col("shard_first") + F.col("place")).alias("first"), F.count("*").alias("rows"))
             .withColumn("part", store._part()))
