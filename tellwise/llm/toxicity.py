@@ -13,11 +13,12 @@ rows. Labels are the only thing it learns from; language, source and id are no f
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -28,33 +29,41 @@ from pyspark.sql import functions as F
 from tellwise.llm.base import settled, text_or_empty
 
 #: The labelled rows that the classifier is fitted on: about so many, chosen by hash.
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 20_000
 #: Features of the classifier: so many at most, the most telling ones.
 FEATURES = 2_000
 BEGINNINGS = (4, 5, 6, 7)
 #: A beginning counts once, and again from so many different words on.
 STEPS = (2, 3)
+#: Words and parts whose readings a task remembers.
+REMEMBERED = 200_000
 
 # ------------------------------------------------------------------ letters
 
 #: Characters that pass for letters.
 LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
 }
-_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
+_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) 
 _BASE = {}
 for _c in range(0xC0, 0x250):
     if (_letter := unicodedata.normalize("NFKD", chr(_c))[0].lower()).isascii() and _letter.isalpha():
         _BASE[_c] = _letter
 _BASE |= {ord("ß"): "s", ord("æ"): "a", ord("œ"): "o", ord("ø"): "o", ord("ł"): "l", ord("đ"): "d"}
+_LATIN1 = bytes(ord(_BASE.get(c, "?")) if c > 0x7F else c for c in range(256))
 SYMBOLS = 28  # word end, a to z, anything else
 
 
 def plain(text: str) -> str:
-    """Lower case, Latin letters without their accents."""
+    """Lower case, Latin letters without their accents; other characters beyond ASCII become "?"."""
     text = text.lower()
-    return text if text.isascii() else text.translate(_BASE)
+    if text.isascii():
+        return text
+    try:
+        return text.encode("latin-1").translate(_LATIN1).decode("ascii")
+    except UnicodeEncodeError:
+        return text.translate(_BASE).encode("latin-1", "replace").translate(_LATIN1).decode("ascii")
 
 
 _CODE = np.full(256, SYMBOLS - 1, np.int64)
@@ -66,7 +75,7 @@ def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(SYMBOLS ** 3, np.int64)
     for batch in batches:
         for text in batch["text"]:
-            codes = _CODE[np.frombuffer(f"  {plain(text)} ".encode("latin-1", "replace"), np.uint8)]
+            codes = _CODE[np.frombuffer(f"  {plain(text)} ".encode(), np.uint8)]
             total += np.bincount((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], minlength=SYMBOLS ** 3)
     seen = np.flatnonzero(total)
     yield pd.DataFrame({"trigram": seen, "n": total[seen]})
@@ -92,6 +101,8 @@ _JOINED, _ENDED, _DOUBLED, _REPEATED, _NOISE = np.log([0.65, 0.35, 0.1, 0.5, 1e-
 _TRIPLES = tuple(3 * chr(c) for c in range(ord("a"), ord("z") + 1))
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
 _WORDS = re.compile("[a-z]+")
+_SHAPE = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else 0x78 for c in range(256))
+_APART = (b" x x x ", b" x  x  x ", b" x   x   x ")
 
 
 def _readings(char: str, run: int) -> list[tuple[str, float]]:
@@ -146,19 +157,19 @@ def hidden_parts(text: str) -> list[str]:
     """Parts of a plain text that show signs of hiding: signs inside a word or before it, tripled
     letters, all letters doubled, letters set apart."""
     tokens = set(text.split())
-    parts = [core for token in tokens if not token.isalpha() for core in _cores(token)
-             if len(core) > 2 and not core.isalpha() and _WORDS.search(core)]
+    # Most tokens are a word, or a word and one sign.
+    odd = [token for token in tokens if not token.isalpha() and not token[:-1].isalpha() and len(token) > 2]
+    parts = [core for token in odd for core in _cores(token) if len(core) > 2 and not core.isalpha() and _WORDS.search(core)]
     if any(triple in text for triple in _TRIPLES):
         parts += [token for token in tokens if token.isalpha() and any(triple in token for triple in _TRIPLES)]
-    parts += [token[::2] for token in tokens if len(token) > 5 and token[::2] == token[1::2]]
-    return parts + _SPACED.findall(text)
+    parts += [token[::2] for token in tokens if token[:1] == token[1:2] and len(token) > 5 and token[::2] == token[1::2]]
+    shape = b" %b " % text.encode().translate(_SHAPE)
+    return parts + _SPACED.findall(text) if any(apart in shape for apart in _APART) else parts
 
 
 class Reader:
     """Words of a text, as written and as restored; restored parts are remembered for a while."""
 
-    REMEMBERED = 200_000
-
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
         self.known: dict[str, list[str]] = {}
@@ -168,7 +179,7 @@ class Reader:
         words = set(_WORDS.findall(text))
         for part in hidden_parts(text):
             if part not in self.known:
-                if len(self.known) >= self.REMEMBERED:
+                if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[part] = restore(part, self.model).split()
             words.update(self.known[part])
@@ -197,11 +208,18 @@ def features(words: set[str]) -> set[str]:
 class Classifier:
     bias: float
     weights: dict[str, float]
+    #: The beginnings with a weight, of words met so far.
+    begun: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def score(self, words: set[str]) -> float:
         weights = self.weights
-        found = list(words & weights.keys())
-        for start, n in Counter(filter(self.starts.__contains__, _beginnings(words))).items():
+        found = [word for word in words if word in weights]
+        begun = self.begun
+        if len(begun) > REMEMBERED:
+            begun.clear()
+        for word in [word for word in words if word not in begun]:
+            begun[word] = tuple(filter(self.starts.__contains__, _beginnings({word})))
+        for start, n in Counter(start for word in words for start in begun[word]).items():
             found += [f"{start}-"] + [f"{start}-{step}" for step in STEPS if n >= step]
         total = self.bias + sum(weights.get(feature, 0.0) for feature in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
@@ -216,23 +234,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _feature_counter(model):
+def _feature_counter(model, names=None):
+    """Counts in how many texts a feature is; with names, only these."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Reader(model.value), {0: Counter(), 1: Counter()}
-
-        def counted() -> pd.DataFrame:
-            names = list(total[0].keys() | total[1].keys())
-            out = pd.DataFrame({"feature": pd.Series(names, dtype=object), "clean": [total[0][x] for x in names], "toxic": [total[1][x] for x in names]})
-            total[0].clear()
-            total[1].clear()
-            return out
-
+        reader, total = Reader(model.value), Counter()
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                total[label].update(features(reader.words(text)))
-                if len(total[0]) + len(total[1]) > 300_000:
-                    yield counted()
-        yield counted()
+            for text in batch["text"]:
+                own = features(reader.words(text))
+                total.update(own if names is None else own & names.value)
+                if len(total) > 300_000:
+                    yield pd.DataFrame({"feature": pd.Series(list(total), dtype=object), "n": list(total.values())})
+                    total.clear()
+        yield pd.DataFrame({"feature": pd.Series(list(total), dtype=object), "n": list(total.values())})
     return count
 
 
@@ -266,22 +279,36 @@ def fit(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", text_
     """A classifier from labels (doc_id, toxic) of docs that aren't held out.
 
     model is the broadcast language model. Labels that are null, not 0 or 1, or without a document
-    are not used. Without labelled rows every score is one half. About train_rows rows are used,
-    chosen by a hash of the text, so that copies come together and ids play no part.
+    are not used. Without labelled rows every score is one half. About train_rows labels are used,
+    drawn by a hash of their ids.
     """
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).where(~held_out(F.col("_id"))).join(known, "_id").select("text", "label")
-    n = known.where(~held_out(F.col("_id"))).count()
-    share = min(1.0, train_rows / max(1, n))
-    sample = settled(rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    counted = sample.mapInPandas(_feature_counter(model), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    context = docs.sparkSession.sparkContext
+    known = (labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label"))
+             .where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))))
+    share = min(1.0, train_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
+    # The drawn labels are about train_rows pairs of numbers, whatever the input's size.
+    sample = settled(rows.join(F.broadcast(drawn), "_id").select("text", "label"))
     totals = dict(sample.groupBy("label").count().collect())
     n_clean, n_toxic = totals.get(0, 0) + 1.0, totals.get(1, 0) + 1.0
-    both, rate = F.col("clean") + F.col("toxic"), n_toxic / (n_clean + n_toxic)
-    telling = (F.col("toxic") - both * rate) / F.sqrt(both * rate * (1 - rate))
-    chosen = counted.where("toxic >= 4").withColumn("telling", telling).where("telling >= 5").orderBy(F.desc("telling"), "feature").limit(FEATURES)
-    names = sorted(r["feature"] for r in chosen.select("feature").collect())
-    index = docs.sparkSession.sparkContext.broadcast({name: i for i, name in enumerate(names)})
+
+    def counted(label: int, names=None) -> DataFrame:
+        return (sample.where(F.col("label") == label).select("text").mapInPandas(_feature_counter(model, names), "feature string, n long")
+                .groupBy("feature").agg(F.sum("n").alias("n")))
+
+    # All features of a bounded number of texts are a bounded number, too.
+    toxic = dict(counted(1).where("n >= 4").collect())
+    clean = dict(counted(0, context.broadcast(frozenset(toxic))).collect())
+    rate = n_toxic / (n_clean + n_toxic)
+
+    def telling(feature: str) -> float:
+        both = toxic[feature] + clean.get(feature, 0)
+        return (toxic[feature] - both * rate) / math.sqrt(both * rate * (1 - rate))
+
+    ranked = sorted(((telling(feature), feature) for feature in toxic), reverse=True)
+    names = sorted(feature for value, feature in ranked[:FEATURES] if value >= 5)
+    index = context.broadcast({name: i for i, name in enumerate(names)})
     # Labels and a few feature numbers of a bounded sample come to the driver.
     found = sample.mapInPandas(_found_features(model, index), "label int, found array<int>").collect()
     return _fitted([(r["label"], r["found"]) for r in found], names)
