@@ -11,6 +11,7 @@ from tellwise.llm.base import table
 from tellwise.llm.bpe import encode_and_decode
 from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
+from tellwise.llm.line_dedup import line_decisions
 from tellwise.llm.substring_dedup import repeated_passages
 from tellwise.llm.token_store import stored_documents
 from tellwise.llm.toxicity import toxicity_scores
@@ -55,9 +56,15 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that go, as near-duplicates of a line that stays."""
+    return line_decisions(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
+        "op10_line_dedup": op10_line_dedup,
     }
