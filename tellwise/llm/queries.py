@@ -12,6 +12,7 @@ from tellwise.llm.bpe import encode_and_decode
 from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
 from tellwise.llm.line_dedup import line_decisions
+from tellwise.llm.ngram_join import similar_texts
 from tellwise.llm.substring_dedup import repeated_passages
 from tellwise.llm.token_store import stored_documents
 from tellwise.llm.toxicity import toxicity_scores
@@ -34,6 +35,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-grams of words, similarity 0.8."""
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     coded = encode_and_decode(table(spark, sf_dir, "documents"))
@@ -63,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity,
+        "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
         "op10_line_dedup": op10_line_dedup,
