@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellwise.llm.base import table
@@ -13,6 +13,7 @@ from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
 from tellwise.llm.line_dedup import line_decisions
 from tellwise.llm.ngram_join import similar_texts
+from tellwise.llm.pii import KINDS, personal_data
 from tellwise.llm.substring_dedup import repeated_passages
 from tellwise.llm.token_store import stored_documents
 from tellwise.llm.toxicity import toxicity_scores
@@ -62,6 +63,18 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: what the rules find, and all spans."""
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document that go, as near-duplicates of a line that stays."""
     return line_decisions(table(spark, sf_dir, "documents"))
@@ -72,5 +85,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
-        "op10_line_dedup": op10_line_dedup,
+        "op9_personal_data": op9_personal_data, "op10_line_dedup": op10_line_dedup,
     }
