@@ -119,8 +119,8 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                 pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, starts and ends (in words) of the windows that
-    occur, items they come from.
+    """One row per row of docs: doc_id, text_hash (xxhash64 of the text), n_words, starts and ends
+    (in words) of the windows that occur, items they come from.
 
     Null texts have no words; a null item id is named "null". Items that share an id count as one.
     Rows of docs that repeat give a row each; other columns are not read. Without benchmark rows
@@ -138,7 +138,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         passes.append(source.mapInPandas(_searcher(parts), _FOUND))
     found = passes[0] if len(passes) == 1 else _merged(passes)
     return found.select(
-        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words", "starts", "ends",
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "text_hash", "n_words", "starts", "ends",
         F.array_sort(F.array_distinct("items")).alias("items"))
 
 
@@ -155,10 +155,18 @@ def _covered(starts: str, ends: str) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, contaminated. A document is
+    """One row per row of docs: doc_id, text_hash, n_words, n_hit, n_items, items, contaminated. A document is
     contaminated if at least a twentieth of its words lie in occurring windows (and at least one).
     Parameters and special cases as in occurrences()."""
     found = occurrences(docs, benchmark, **names).withColumn("n_hit", _covered("starts", "ends"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        "doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns, without the contaminated rows."""
+    bad = (contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).where("contaminated")
+           .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
+    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_hash"))
+    return docs.join(bad, same, "left_anti")
