@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from datetime import timedelta
 
-from checks.profiles import DEFAULT, RECENT, TIGHT
+from checks.profiles import DEFAULT, RECENT, TIGHT, ZERO_FLOOR
 from checks.telemetry import duckdb_ctes
 from tellwise import Thresholds
 from tellwise.config import SIZE_LADDER
@@ -21,11 +21,11 @@ from tellwise.plans.rollups import JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE
 
 
 def _r(x: str, digits: int) -> str:
-    return f"cast(round(cast({x} as decimal(28,8)), {digits}) as double)"
+    return f"cast(round(cast({x} as decimal(38,12)), {digits}) as double)"
 
 
 def _dec(x: str, digits: int) -> str:
-    return (f"cast(cast(round(cast({x} as decimal(28,8)), {digits})"
+    return (f"cast(cast(round(cast({x} as decimal(38,12)), {digits})"
             f" as decimal(38,{digits})) as varchar)")
 
 
@@ -184,7 +184,7 @@ def _warehouse_steps(c: Thresholds) -> dict[str, str]:
         "wh_report": f"""
             select a.category, l.rule as selection_criteria,
                    case when a.category = 'DECOMMISSION_CANDIDATE'
-                     then 'DELETE - 0 queries / 30d, $' || {_dec('dollars_30d', 2)} || ' burned'
+                     then 'DELETE - 0 queries / 30d, $' || {_dec('coalesce(dollars_30d, 0)', 2)} || ' burned'
                      else nullif(array_to_string(list_filter([
                        nullif(array_to_string(list_filter([
                          case when rec_type <> warehouse_type
@@ -302,15 +302,15 @@ def _workload_steps(c: Thresholds) -> dict[str, str]:
             "qt_totals_big",
             f"n >= {c.pruning_min_executions} and {pct} < {c.pruning_max_pct}",
             category="'LIQUID_CLUSTERING_CANDIDATE'",
-            recommended_action=f"""'Reads ' || {_s(_r(f'read_b / {gb}', 1))}
-                || ' GB with only ' || {_s(_r(pct, 1))} || '% pruned over ' || {_s('n')}
+            recommended_action=f"""'Reads ' || {_dec(f'read_b / {gb}', 1)}
+                || ' GB with only ' || {_dec(pct, 1)} || '% pruned over ' || {_s('n')}
                 || ' runs. ALTER TABLE ... CLUSTER BY (filter columns).'""",
             pruning_pct=_r(pct, 1), total_read_gb=read_gb, **per_signature),
         "qt_high_spill": _detector(
             "qt_totals_spill",
             f"n >= {c.spill_min_executions} and spill_gb >= {c.spill_min_avg_gb}",
             category="'HIGH_SPILL_QUERY'",
-            recommended_action=f"""'Avg ' || {_s(_r('spill_gb', 1))}
+            recommended_action=f"""'Avg ' || {_dec('spill_gb', 1)}
                 || ' GB spill / query over ' || {_s('n')} || ' runs. Size up warehouse or '
                 || 'rewrite (broadcast joins, narrow projections).'""",
             avg_spill_gb=_r("spill_gb", 2), **per_signature),
@@ -496,15 +496,15 @@ def _cross_steps(c: Thresholds) -> dict[str, str]:
     top_lines = {
         "wh_lines": ("wh", "effective_savings_30d desc nulls last, warehouse_id",
                      f"""'- ' || warehouse_name || ' [' || category || '] save $'
-                     || {_s(_r('effective_savings_30d', 0))} || ', confidence '
+                     || {_dec('effective_savings_30d', 0)} || ', confidence '
                      || {_s('confidence')} || ': ' || recommended_action"""),
-        "qt_lines": ("qt", "total_compute_s desc nulls last, category, target_or_sample",
+        "qt_lines": ("qt", "total_compute_s desc nulls last, category, target_or_sample, recommended_action",
                      f"""'- [' || category || '] confidence ' || {_s('confidence')}
                      || ': ' || recommended_action"""),
         "jb_lines": ("jb", "fit_score desc, classic_dbu_cost_30d desc nulls last,"
                      " workspace_id, job_id",
                      f"""'- ' || job_name || ' fit ' || {_s('fit_score')} || '/100, $'
-                     || {_s(_r('classic_dbu_cost_30d', 0))} || ': ' || ifnull(top_reasons, '')"""),
+                     || {_dec('classic_dbu_cost_30d', 0)} || ': ' || ifnull(top_reasons, '')"""),
     }
     steps = {
         name: f"""
@@ -537,18 +537,21 @@ def _cross_steps(c: Thresholds) -> dict[str, str]:
             union all
             select 'query_table', category, ifnull(target, substr(query_sample, 1, 60) || '...'),
                    0.0::double, recommended_action from qt"""
+    titles = {"wh_md": "Warehouse recommendations", "qt_md": "Query/table optimizations",
+              "jb_md": "Jobs -> serverless"}
     for name, (source, columns, order) in {
         "wh_md": ("wh", WAREHOUSE_TABLE, "effective_savings_30d desc nulls last, warehouse_id"),
         "qt_md": ("qt", WORKLOAD_TABLE,
-                  "total_compute_s desc nulls last, category, target_or_sample"),
+                  "total_compute_s desc nulls last, category, target_or_sample, recommended_action"),
         "jb_md": ("jb", JOB_TABLE, "fit_score desc, workspace_id, job_id"),
     }.items():
         names = [*columns, "confidence"]
-        row = " || ' | ' || ".join(f"ifnull({_s(n)}, '')" for n in names)
+        row = " || ' | ' || ".join(
+            f"replace(regexp_replace(ifnull({_s(n)}, ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')" for n in names)
         head = "| " + " | ".join(names) + " |"
         steps[name] = f"""
-            select case when count(*) = 0 then '_(not selected / no rows)_' else
-                     {_q(head)} || chr(10) || '|' || repeat('---|', {len(names)}) || chr(10)
+            select case when count(*) > 0 then '## {titles[name]}' || chr(10)
+                     || {_q(head)} || chr(10) || '|' || repeat('---|', {len(names)}) || chr(10)
                      || string_agg(line, chr(10) order by place) end as lines
             from (select '| ' || {row} || ' |' as line,
                          row_number() over (order by {order}) as place
@@ -561,7 +564,8 @@ def _steps(cfg: Thresholds) -> dict[str, str]:
             **_job_steps(cfg), **_cross_steps(cfg)}
 
 
-_PROFILES = {"default": _steps(DEFAULT), "tight": _steps(TIGHT), "recent": _steps(RECENT)}
+_PROFILES = {"default": _steps(DEFAULT), "tight": _steps(TIGHT), "recent": _steps(RECENT),
+             "zero_floor": _steps(ZERO_FLOOR)}
 
 
 def _statement(body: str, profile: str = "default") -> str:
@@ -637,6 +641,16 @@ def statements() -> dict[str, str]:
             + " from jb_scored"),
         "exec_kpis": s(f"""select *, {_r('''(wh_savings_30d
             + 0.3::double * jb_addressable_spend) * 12.0::double''', 2)} as annualized from kpi"""),
+        "repeated_statements": s("""select count(*) as repeated_ids, ifnull(sum(n), 0)::bigint as their_rows
+            from (select count(*) as n from fx_query_history where statement_id is not null
+                  group by statement_id having count(*) > 1)"""),
+        "exec_kpis_jobs_only": s(f"""select 0::bigint as wh_count, 0.0::double as wh_savings_30d,
+            0.0::double as wh_current_spend_30d, 0::bigint as qt_count, 0.0::double as qt_compute_hours,
+            (select count(*) from jb) as jb_count,
+            (select count(*) from jb where fit_score >= 70) as jb_high_fit,
+            (select ifnull({_r('sum(classic_dbu_cost_30d)', 2)}, 0) from jb) as jb_addressable_spend,
+            {_r(f"""0.3::double * (select ifnull({_r('sum(classic_dbu_cost_30d)', 2)}, 0) from jb)
+                * 12.0::double""", 2)} as annualized"""),
         "overview_counters": s(f"""select
             (select count(warehouse_id) from wh) as wh_count,
             (select {_r('sum(effective_savings_30d)', 2)} from wh) as wh_savings,
@@ -670,12 +684,12 @@ def statements() -> dict[str, str]:
         "digest_payload": s(f"""select array_to_string(list_filter([
               'Warehouses flagged: ' || (select {_s('count(*)')} from wh)
                 || ' | est 30d savings $'
-                || (select {_s(_r('sum(effective_savings_30d)', 0))} from wh),
+                || (select {_dec('sum(effective_savings_30d)', 0)} from wh),
               'Query/table optimizations: ' || (select {_s('count(*)')} from qt) || ' | '
-                || (select {_s(_r('sum(compute_hours)', 0))} from qt) || ' compute hours',
+                || (select {_dec('sum(compute_hours)', 0)} from qt) || ' compute hours',
               'Jobs->serverless candidates: ' || (select {_s('count(*)')} from jb)
                 || ' | addressable classic spend $'
-                || (select {_s(_r('sum(classic_dbu_cost_30d)', 0))} from jb),
+                || (select {_dec('sum(classic_dbu_cost_30d)', 0)} from jb),
               '--- Top warehouse actions (confidence 0-100) ---',
               (select lines from wh_lines),
               '--- Top query/table actions (confidence 0-100) ---',
@@ -711,12 +725,17 @@ def statements() -> dict[str, str]:
             || {_usd('qt_compute_hours')} || ' compute hours flagged)' || chr(10)
             || '- Jobs -> serverless: ' || {_s('jb_count')} || ' (' || {_s('jb_high_fit')}
             || ' at >=70 fit, $' || {_usd('jb_addressable_spend')} || ' addressable)'
-            || chr(10) || chr(10) || '## Warehouse recommendations' || chr(10)
-            || (select lines from wh_md)
-            || chr(10) || chr(10) || '## Query/table optimizations' || chr(10)
-            || (select lines from qt_md)
-            || chr(10) || chr(10) || '## Jobs -> serverless' || chr(10)
-            || (select lines from jb_md) as briefing
+            || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), (select lines from wh_md),
+                 (select lines from qt_md), (select lines from jb_md)) as briefing
+            from kpi"""),
+        "briefing_subset": s(f"""select 'Headline KPIs:' || chr(10)
+            || '- Identified warehouse savings (30d): $' || {_usd('wh_savings_30d')} || chr(10)
+            || '- Annualized projection: $' || {_usd(_r('wh_savings_30d * 12.0::double', 2))} || chr(10)
+            || '- Warehouses flagged: ' || {_s('wh_count')} || ' ($'
+            || {_usd('wh_current_spend_30d')} || ' current 30d spend)' || chr(10)
+            || '- Query/table optimizations: 0 (0 compute hours flagged)' || chr(10)
+            || '- Jobs -> serverless: 0 (0 at >=70 fit, $0 addressable)'
+            || chr(10) || chr(10) || ifnull((select lines from wh_md), '') as briefing
             from kpi"""),
         "wh_table": s(f"select {', '.join(WAREHOUSE_TABLE)} from wh"),
         "qt_table": s(f"select {', '.join(WORKLOAD_TABLE)} from qt"),
@@ -758,7 +777,7 @@ def statements() -> dict[str, str]:
         f"select '{name}' as selection, count(*) as n from {pick}"
         for name, pick in picks.items()), "recent")
     out["utilized_seconds_sweep"] = out["utilized_seconds"]
-    for profile, suffix in (("default", ""), ("tight", "_tight")):
+    for profile, suffix in (("default", ""), ("tight", "_tight"), ("zero_floor", "_zero_floor")):
         out[f"warehouse_recos{suffix}"] = s("select * from wh_kept", profile)
     for name, step in (("expensive_queries", "qt_expensive"), ("mv_candidates", "qt_repeated"),
                        ("low_pruning", "qt_low_pruning"), ("high_spill", "qt_high_spill"),

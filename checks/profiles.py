@@ -23,3 +23,6 @@ TIGHT = replace(DEFAULT, migration_min_idle_pct=101.0, queries_per_cluster_targe
 RECENT = replace(DEFAULT, lookback_days=14, min_savings_30d=20.0, min_confidence=65,
                  mv_min_executions=10, jobs_exclude_name_pattern=None,
                  min_query_duration_s=20, min_fit_score=50)
+
+# Idle warehouses are reported whatever they cost, also those without any billed usage.
+ZERO_FLOOR = replace(DEFAULT, decommission_min_cost_30d=0.0)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.profiles import DEFAULT, RECENT, TIGHT
+from checks.profiles import DEFAULT, RECENT, TIGHT, ZERO_FLOOR
 from checks.telemetry import telemetry
 from tellwise import Recommendations, Telemetry, Thresholds, recommend
 from tellwise.functions import fingerprint, half_up
@@ -18,7 +18,7 @@ from tellwise.operators.intervals import (
 from tellwise.operators.latest import current_jobs, current_warehouses
 from tellwise.operators.pricing import job_billing, warehouse_cost
 from tellwise.operators.stats import query_stats, run_stats
-from tellwise.operators.workload import heavy_queries, signature_rollup
+from tellwise.operators.workload import heavy_queries, repeated_statements, signature_rollup
 from tellwise.plans import jobs, rollups, warehouses, workloads
 from tellwise.plans.actions import consolidated_actions, top_actions
 from tellwise.plans.confidence import confidence_label, pick
@@ -168,6 +168,7 @@ _OPERATORS: dict[str, Callable[[Telemetry], DataFrame]] = {
         "classic_dbus_30d", "serverless_dbus_30d", "classic_dbu_cost_30d"),
     "warehouse_base": _base,
     "heavy_query_signatures": _signatures,
+    "repeated_statements": lambda d: repeated_statements(d.query_history),
     "expensive_queries": lambda d: workloads.expensive_queries(_findings(d), cfg=DEFAULT),
     "mv_candidates": lambda d: workloads.threshold_queries(_findings(d), workloads.REPEATED),
     "low_pruning": lambda d: workloads.threshold_queries(_findings(d), workloads.LOW_PRUNING),
@@ -185,6 +186,8 @@ _OPERATORS: dict[str, Callable[[Telemetry], DataFrame]] = {
         warehouses.recommend_warehouses(d, cfg=DEFAULT)),
     "warehouse_recos_tight": lambda d: warehouses.in_report_order(
         warehouses.recommend_warehouses(d, cfg=TIGHT)),
+    "warehouse_recos_zero_floor": lambda d: warehouses.in_report_order(
+        warehouses.recommend_warehouses(d, cfg=ZERO_FLOOR)),
     "query_table_recos": lambda d: workloads.in_report_order(
         workloads.recommend_workloads(d, cfg=DEFAULT)),
     "job_recos": lambda d: jobs.in_report_order(jobs.recommend_jobs(d, cfg=DEFAULT)),
@@ -204,6 +207,7 @@ _REPORTS: dict[str, tuple[Thresholds, tuple[str, ...], Callable[[Recommendations
     "jb_confidence": (DEFAULT, _ALL[2:], lambda r: _labelled(r.jobs, *jobs.JOB_KEY)),
     "picked_findings": (DEFAULT, _ALL, _picked),
     "exec_kpis": (DEFAULT, _ALL, lambda r: rollups.exec_kpis(*_sets(r))),
+    "exec_kpis_jobs_only": (DEFAULT, _ALL[2:], lambda r: rollups.exec_kpis(*_sets(r))),
     "overview_counters": (DEFAULT, _ALL, lambda r: rollups.overview(*_sets(r))),
     "wh_by_category": (DEFAULT, _ALL[:1],
                        lambda r: rollups.warehouses_by_category(r.warehouse)),
@@ -217,8 +221,9 @@ _REPORTS: dict[str, tuple[Thresholds, tuple[str, ...], Callable[[Recommendations
     "qt_table": (DEFAULT, _ALL[1:2], lambda r: rollups.workload_table(r.query_table)),
     "jb_table": (DEFAULT, _ALL[2:], lambda r: rollups.job_table(r.jobs)),
     "top_actions": (DEFAULT, _ALL, lambda r: top_actions(consolidated_actions(*_sets(r)))),
-    "digest_payload": (DEFAULT, _ALL, lambda r: digest_payload(*_sets(r.materialise()))),
-    "briefing_text": (DEFAULT, _ALL, lambda r: briefing_text(*_sets(r.materialise()))),
+    "digest_payload": (DEFAULT, _ALL, lambda r: digest_payload(*_sets(r))),
+    "briefing_text": (DEFAULT, _ALL, lambda r: briefing_text(*_sets(r))),
+    "briefing_subset": (DEFAULT, _ALL[:1], lambda r: briefing_text(*_sets(r))),
     "job_prompt_text": (DEFAULT, _ALL[2:],
                         lambda r: jobs.job_prompt(r.jobs).select(*jobs.JOB_KEY, "prompt_text")),
 }

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDE = "decimal(28,8)"
+# Twelve decimals, so up to 10**26: what lies within half of 10**-12 below a rounding border
+# counts as on it, which is far beyond what floating-point sums can tell.
+_WIDE = "decimal(38,12)"
 
 
 def half_up(value: Column, digits: int) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tellwise.functions import epoch_seconds
 
 BLOCK_S = 3600
-_MAX_CLUSTERS = 2 ** 31 - 1
 
 
 def _block(seconds: Column, width_s: int) -> Column:
@@ -99,28 +98,45 @@ def overlap_seconds_join(intervals: DataFrame, spans: DataFrame,
               .groupBy(key).agg(F.sum(seconds).alias("util_s")))
 
 
-def _second_states(events: DataFrame, key: str, ts: str, state: str) -> DataFrame:
+def _second_states(events: DataFrame, key: str, ts: str, state: str,
+                   block_s: int) -> DataFrame:
     """``key, sec, until, clusters, closed``: the last state of each second.
 
     ``until`` is the next second with an entry, NULL for the last state, which
     stays open. ``closed`` counts the running intervals that begin in the second
-    and have an end, including those that end within it.
+    and have an end, including those that end within it. Of entries at one
+    instant the greatest state counts as the last.
+
+    The log is dealt by (key, time block) once; the sums and the look-ahead run
+    inside these groups. A block's last second takes the first second of the
+    key's next block, from one row per block.
     """
     zero = F.lit(0).cast("bigint")
-    # (microsecond, clusters) packed into one long: a maximum over a struct would
-    # make Spark sort instead of hash
-    base = _MAX_CLUSTERS + 1
-    micros = F.pmod(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(1_000_000))
-    clusters = F.least(F.greatest(F.coalesce(state, zero), zero), F.lit(_MAX_CLUSTERS))
+    at = F.col(ts).cast("timestamp")
+    log = events.select(
+        key, epoch_seconds(F.col(ts)).alias("sec"), F.unix_micros(at).alias("_us"),
+        F.greatest(F.coalesce(state, zero), zero).alias("_state"),
+        (F.col(state) > 0).alias("_on"),
+    ).withColumn("_block", _block(F.col("sec"), block_s)).repartition(key, "_block")
     states = (
-        events.groupBy(key, epoch_seconds(F.col(ts)).alias("sec"))
-        .agg(F.max(micros * base + clusters).alias("last"),
-             F.count_if(F.col(state) > 0).alias("running"))
-        .select(key, "sec", "running", (F.col("last") % base).alias("clusters"),
-                F.lead("sec").over(Window.partitionBy(key).orderBy("sec")).alias("until")))
+        log.groupBy(key, "_block", "sec", "_us")
+           .agg(F.max("_state").alias("_state"), F.count_if("_on").alias("running"))
+           .groupBy(key, "_block", "sec")
+           .agg(F.max_by("_state", "_us").alias("clusters"), F.sum("running").alias("running")))
+    within = Window.partitionBy(key, "_block").orderBy("sec")
+    next_block = (
+        states.groupBy(key, "_block").agg(F.min("sec").alias("_first"))
+              .select(key, "_block", F.lead("_first").over(
+                  Window.partitionBy(key).orderBy("_block")).alias("_next")))
+    same = F.col("s._block") == F.col("n._block")
+    ahead = (
+        states.withColumn("_until", F.lead("sec").over(within)).alias("s")
+              .join(next_block.alias("n"), F.col(f"s.{key}").eqNullSafe(F.col(f"n.{key}")) & same)
+              .select(f"s.{key}", "sec", "running", "clusters",
+                      F.coalesce("_until", "_next").alias("until")))
     still_open = F.col("until").isNull() & (F.col("clusters") > 0)
-    return states.select(key, "sec", "until", "clusters",
-                         (F.col("running") - still_open.cast("bigint")).alias("closed"))
+    return ahead.select(key, "sec", "until", "clusters",
+                        (F.col("running") - still_open.cast("bigint")).alias("closed"))
 
 
 def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
@@ -146,8 +162,12 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
     the first two factors follow from running sums over the blocks of the key.
 
     Spans that overlap each other count each. A span that ends before it starts
-    counts negatively, for all the on-time between its ends.
+    counts negatively if both its ends lie in one running interval, else not at
+    all; such spans are faults of the source, so they take the way of
+    ``overlap_seconds_join``.
     """
+    if block_s <= 0 or block_s % 60:
+        raise ValueError(f"block_s must be whole minutes, not {block_s} s")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     sec, marks = F.col("sec"), ("opens", "clusters", "closed", "starts", "ends")
 
@@ -157,17 +177,18 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
     on = ((F.col("clusters") > 0) & F.col("until").isNotNull()).cast("bigint")
     size = on * F.col("clusters")
     borders = (
-        _second_states(events, key, ts, state).where("closed > 0")
+        _second_states(events, key, ts, state, block_s).where("closed > 0")
         .select(key, F.inline(F.array(
             mark(sec, opens=on, clusters=size, closed=F.col("closed")),
             mark(F.coalesce("until", "sec"), opens=-on, clusters=-size)))))
 
     begun, ended = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
-    # a span without an end is a start that weighs nothing
-    has_end = ended.isNotNull().cast("bigint")
+    backward = F.col("end_time") < F.col("start_time")
+    # a span without an end, or with one before its start, is a start that weighs nothing
+    has_end = (ended.isNotNull() & ~F.coalesce(backward, F.lit(False))).cast("bigint")
     span_ends = spans.select(key, F.inline(F.array(
         mark(begun, starts=one, ends=-has_end),
-        mark(F.coalesce(ended, begun), ends=has_end))))
+        mark(F.when(has_end > 0, ended).otherwise(begun), ends=has_end))))
 
     per_second = borders.unionByName(span_ends).groupBy(key, "sec").agg(
         *[F.sum(m).alias(m) for m in marks])
@@ -196,7 +217,7 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
     was_on = F.coalesce(F.sum("opens").over(earlier), zero)
     on_before = start * was_on - F.coalesce(F.sum(opened_at).over(earlier), zero)
     has_intervals = F.sum("closed") > 0
-    return per_block.select(
+    forward = per_block.select(
         key, "closed", "peak", (-opened_at).alias("on_s"),
         (-(F.col("clusters") * start + F.col("clusters_rel"))).alias("cluster_on_s"),
         (ends * on_before + F.col("ends_rel") * was_on + F.col("inner")).alias("used"),
@@ -205,6 +226,13 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
         F.when(has_intervals, F.sum("cluster_on_s")).alias("cluster_on_s"),
         F.sum("used").alias("util_s"),
         F.max(F.when(F.col("peak") > 0, F.col("peak"))).alias("peak_concurrent"))
+    taken_back = overlap_seconds_join(
+        state_intervals(events, key, ts, state, block_s), spans.where(backward), key, state,
+        block_s).select(F.col(key).alias("_key"), F.col("util_s").alias("_back"))
+    return (forward.join(taken_back, F.col(key).eqNullSafe(F.col("_key")), "left")
+                   .select(key, "on_s", "cluster_on_s",
+                           (F.col("util_s") + F.coalesce("_back", zero)).alias("util_s"),
+                           "peak_concurrent"))
 
 
 def overlap_seconds(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",

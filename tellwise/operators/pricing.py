@@ -33,9 +33,16 @@ def priced_usage(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds,
     return usage.join(card, matches).drop("_sku", "_unit", "_from", "_until")
 
 
+def hourly(billed: DataFrame, *keys: str) -> DataFrame:
+    """Usage summed by key, SKU, unit and end, all that a price depends on. Usage is
+    metered by the hour, so this shrinks it before the price list is joined."""
+    return billed.groupBy(*keys, "sku_name", "usage_unit", "usage_end_time").agg(
+        F.sum("usage_quantity").alias("usage_quantity"))
+
+
 def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Units and list dollars per warehouse inside the window."""
-    billed = warehouse_usage(usage, cfg=cfg)
+    billed = hourly(warehouse_usage(usage, cfg=cfg), "warehouse_id")
     return priced_usage(billed, prices, cfg=cfg).groupBy("warehouse_id").agg(
         F.sum("usage_quantity").alias("dbus_30d"),
         F.sum(F.col("usage_quantity") * F.col("list_price")).alias("dollars_30d"))
@@ -43,7 +50,7 @@ def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> D
 
 def job_billing(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Classic and serverless units, and classic list dollars, per job."""
-    billed = job_usage(usage, cfg=cfg)
+    billed = hourly(job_usage(usage, cfg=cfg), "workspace_id", "job_id")
     quantity = F.col("usage_quantity")
     serverless = F.col("sku_name").ilike("%SERVERLESS%")
     zero = F.lit(0.0)

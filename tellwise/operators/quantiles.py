@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Value blocks for each doubling of a value.
+BLOCKS_PER_OCTAVE = 16
+
+
+def _value_block(value: Column) -> Column:
+    """A number that never falls as the value rises; one block spans some four per cent."""
+    steps = F.floor(F.log2(F.abs(value.cast("double")) + F.lit(1.0)) * F.lit(BLOCKS_PER_OCTAVE))
+    return F.when(value < 0, -steps).otherwise(steps)
+
+
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
 
 def summarise(histogram: DataFrame, keys: Sequence[str], *, value: str, weight: str,
               percents: Mapping[str, int], totals: Sequence[Column] = ()) -> DataFrame:
@@ -18,18 +33,35 @@ def summarise(histogram: DataFrame, keys: Sequence[str], *, value: str, weight:
     not exceed.
 
     Counting per (key, value) combines map-side and spreads a busy key over all
-    tasks. What reaches the window is one row per distinct value of the key, so
-    its size follows the range of the values and not the number of occurrences.
-    A merged sketch would instead funnel one buffer per map task into the single
-    task that owns the key, and would only be approximate.
+    tasks. The ranks are then found in two steps. Counts per (key, block of
+    values) tell, over a few hundred blocks of a key, in which block each rank
+    lies; only these blocks are ranked value by value, each in a group of its own.
+    No task sees all values of a busy key. A merged sketch would funnel one buffer
+    per map task into the task that owns the key, and be approximate.
     """
-    ascending = Window.partitionBy(*keys).orderBy(value)
-    occurrences = F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(F.lit(0))
-    ranked = histogram.withColumns({
-        "_upto": F.sum(occurrences).over(
-            ascending.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_of": F.sum(occurrences).over(Window.partitionBy(*keys))})
-    marks = [
-        F.min(F.when(F.col("_upto") * 100 >= F.col("_of") * percent, F.col(value))).alias(name)
-        for name, percent in percents.items()]
-    return ranked.groupBy(*keys).agg(*totals, *marks)
+    block = [*keys, "_block"]
+    placed = histogram.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_value"), F.col(weight).alias("_n"),
+        _value_block(F.col(value)).alias("_block"))
+    rising = Window.partitionBy(*keys).orderBy("_block")
+    counted = placed.groupBy(*block).agg(F.sum("_n").alias("_inside")).select(
+        *block, "_inside",
+        F.coalesce(F.sum("_inside").over(rising.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.sum("_inside").over(Window.partitionBy(*keys)).alias("_of"))
+    upto = F.col("_before") + F.col("_inside")
+    holds = reduce(or_, [(F.col("_before") * 100 < F.col("_of") * p) & (upto * 100 >= F.col("_of") * p)
+                         for p in percents.values()])
+    wanted = counted.where(holds)
+    inside = (placed.alias("p").join(wanted.alias("w"), _same("p", "w", block))
+                    .select(*[F.col(f"p.{c}").alias(c) for c in block], "_value", "_n", "_before", "_of"))
+    order = Window.partitionBy(*block).orderBy("_value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
+    marks = ranked.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("_upto") * 100 >= F.col("_of") * p, F.col("_value"))).alias(name)
+        for name, p in percents.items()])
+    whole = histogram.groupBy(*keys).agg(*(totals or [F.count(F.lit(1)).alias("_rows")]))
+    named = [c for c in whole.columns if c not in keys and c != "_rows"]
+    return whole.alias("t").join(marks.alias("m"), _same("t", "m", keys), "left").select(
+        *[F.col(f"t.{c}").alias(c) for c in [*keys, *named]], *[F.col(f"m.{name}").alias(name) for name in percents])

@@ -78,12 +78,14 @@ def table_reads(lineage: DataFrame, heavy: DataFrame, *, cfg: Thresholds) -> Dat
 
     Repeated lineage edges weigh the sums but not the distinct counts. Edges are
     collapsed with their multiplicity before the join, so neither a much-read
-    table nor a statement with many edges travels as raw rows.
+    table nor a statement with many edges travels as raw rows. Edges without an
+    entity can match no statement and only count for users, so they stay out of
+    the join. A table whose edges name neither an entity nor a user has no row.
     """
-    edges = (
-        table_edges(lineage, cfg=cfg)
-        .groupBy("source_table_full_name", "entity_id", "created_by")
-        .agg(F.count(F.lit(1)).alias("_edges")))
+    edges = table_edges(lineage, cfg=cfg)
+    table = "source_table_full_name"
+    reads = (edges.where("entity_id IS NOT NULL").groupBy(table, "entity_id")
+                  .agg(F.count(F.lit(1)).alias("_edges")))
     weights = heavy.select(
         F.col("statement_id").alias("entity_id"), "total_task_duration_ms",
         "read_bytes", "spilled_local_bytes")
@@ -91,13 +93,37 @@ def table_reads(lineage: DataFrame, heavy: DataFrame, *, cfg: Thresholds) -> Dat
     def weighted(column: str):
         return F.sum(F.col(column) * F.col("_edges"))
 
-    return (edges.join(weights, "entity_id", "left")
-                 .groupBy("source_table_full_name").agg(
-                     F.count_distinct("entity_id").alias("readers"),
-                     F.count_distinct("created_by").alias("users"),
-                     weighted("total_task_duration_ms").alias("ms"),
-                     weighted("spilled_local_bytes").alias("spill_b"),
-                     weighted("read_bytes").alias("read_b")))
+    # The collapsed edges are unique by entity until the join; a statement that
+    # is in the history twice weighs twice but reads once.
+    per_entity = (reads.join(weights, "entity_id", "left").groupBy(table, "entity_id").agg(
+        weighted("total_task_duration_ms").alias("ms"),
+        weighted("spilled_local_bytes").alias("spill_b"), weighted("read_bytes").alias("read_b")))
+    read = per_entity.groupBy(table).agg(
+        F.count(F.lit(1)).alias("readers"), *[F.sum(c).alias(c) for c in ("ms", "spill_b", "read_b")])
+    used = (edges.where("created_by IS NOT NULL").select(table, "created_by").distinct()
+                 .groupBy(table).agg(F.count(F.lit(1)).alias("users")))
+    same = F.col(f"r.{table}").eqNullSafe(F.col(f"u.{table}"))
+    none = F.lit(0).cast("bigint")
+    return read.alias("r").join(used.alias("u"), same, "full").select(
+        F.coalesce(f"r.{table}", f"u.{table}").alias(table), F.coalesce("readers", none).alias("readers"),
+        F.coalesce("users", none).alias("users"), "ms", "spill_b", "read_b")
+
+
+def repeated_statements(query_history: DataFrame) -> DataFrame:
+    """One row: how many statement ids the history holds more than once, and how many
+    rows have them. Statement ids are taken to be unique everywhere else; a history
+    row delivered twice counts twice."""
+    return (query_history.where("statement_id IS NOT NULL").groupBy("statement_id")
+                         .agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                         .agg(F.count(F.lit(1)).alias("repeated_ids"),
+                              F.coalesce(F.sum("n"), F.lit(0)).alias("their_rows")))
+
+
+def require_unique_statements(query_history: DataFrame) -> None:
+    """Raise ValueError if a statement id occurs twice."""
+    found = repeated_statements(query_history).first()
+    if found["repeated_ids"]:
+        raise ValueError(f"{found['repeated_ids']} statement ids occur on {found['their_rows']} rows")
 
 
 def warehouse_traffic(selects: DataFrame) -> DataFrame:

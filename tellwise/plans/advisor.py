@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Collection
 from dataclasses import dataclass, replace
 
@@ -55,20 +54,12 @@ class Recommendations:
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Make the session's checkpoint folder effective.
-
-    ``spark.checkpoint.dir`` decides. Only a local session that names none gets
-    a temporary folder of its own.
-    """
+    """Make the session's checkpoint folder effective: ``spark.checkpoint.dir``, or a
+    folder in the warehouse, which is shared as well, where that is unset."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
 
 
 def check_selection(selected: Collection[str]) -> list[str]:

@@ -10,14 +10,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellwise.functions import half_up
+from tellwise.functions import decimal_text, half_up
+from tellwise.plans.labels import (
+    BRIEFING_HEAD, BRIEFING_KPIS, BRIEFING_TITLES, DIGEST_JOBS, DIGEST_WAREHOUSES, DIGEST_WORKLOADS,
+)
 from tellwise.plans.rollups import (
-    JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE, exec_kpis, side_by_side,
+    JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE, exec_kpis, once, whole_row,
 )
 
 DIGEST_TOP = 5
 BRIEFING_TOP = 10
-NO_ROWS = "_(not selected / no rows)_"
 
 
 def _text(*parts: str | Column) -> Column:
@@ -39,97 +41,103 @@ def _leading_lines(findings: DataFrame, line: Column, order: Sequence[tuple[str,
                    .agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias(name)))
 
 
-def digest_payload(warehouses: DataFrame, workloads: DataFrame, jobs: DataFrame,
-                   n: int = DIGEST_TOP) -> DataFrame:
+def digest_payload(warehouses: DataFrame | None, workloads: DataFrame | None,
+                   jobs: DataFrame | None, n: int = DIGEST_TOP) -> DataFrame:
     """One row, one text: counts and totals, then the leading findings per set.
 
-    Each set is read twice; materialise the sets first. A total over no rows is
-    NULL and its line is left out.
+    A total over no rows is NULL and its line is left out; so are the lines of a set
+    that was not selected.
     """
-    def whole(column: str) -> Column:
-        return half_up(F.col(column), 0)
-
-    row = side_by_side(
-        warehouses.agg(F.count(F.lit(1)).alias("wh_count"),
-                       half_up(F.sum("effective_savings_30d"), 0).alias("wh_savings")),
-        workloads.agg(F.count(F.lit(1)).alias("qt_count"),
-                      half_up(F.sum("compute_hours"), 0).alias("qt_hours")),
-        jobs.agg(F.count(F.lit(1)).alias("jb_count"),
-                 half_up(F.sum("classic_dbu_cost_30d"), 0).alias("jb_spend")),
-        _leading_lines(
-            warehouses,
-            _text("- ", F.col("warehouse_name"), " [", F.col("category"), "] save $",
-                  whole("effective_savings_30d"), ", confidence ", F.col("confidence"),
-                  ": ", F.col("recommended_action")),
-            [("effective_savings_30d", True), ("warehouse_id", False)], n, "wh_lines"),
-        _leading_lines(
-            workloads,
-            _text("- [", F.col("category"), "] confidence ", F.col("confidence"), ": ",
-                  F.col("recommended_action")),
-            [("total_compute_s", True), ("category", False), ("target_or_sample", False)],
-            n, "qt_lines"),
-        _leading_lines(
-            jobs,
-            _text("- ", F.col("job_name"), " fit ", F.col("fit_score"), "/100, $",
-                  whole("classic_dbu_cost_30d"), ": ", F.coalesce("top_reasons", F.lit(""))),
-            [("fit_score", True), ("classic_dbu_cost_30d", True),
-             ("workspace_id", False), ("job_id", False)], n, "jb_lines"))
-    return row.select(F.concat_ws(
-        "\n",
-        _text("Warehouses flagged: ", F.col("wh_count"), " | est 30d savings $",
-              F.col("wh_savings")),
-        _text("Query/table optimizations: ", F.col("qt_count"), " | ", F.col("qt_hours"),
-              " compute hours"),
-        _text("Jobs->serverless candidates: ", F.col("jb_count"),
-              " | addressable classic spend $", F.col("jb_spend")),
-        F.lit("--- Top warehouse actions (confidence 0-100) ---"), F.col("wh_lines"),
-        F.lit("--- Top query/table actions (confidence 0-100) ---"), F.col("qt_lines"),
-        F.lit("--- Top job candidates (confidence = fit score 0-100) ---"),
-        F.col("jb_lines")).alias("body"))
+    def whole(column: str | Column) -> Column:
+        return decimal_text(F.col(column) if isinstance(column, str) else column, 0)
+
+    count = F.count(F.lit(1))
+    parts, figures, sections = [], [], []
+    if warehouses is not None:
+        findings = once(warehouses, "category")
+        parts += [
+            findings.agg(count.alias("wh_count"), whole(F.sum("effective_savings_30d")).alias("wh_savings")),
+            _leading_lines(
+                findings,
+                _text("- ", F.col("warehouse_name"), " [", F.col("category"), "] save $",
+                      whole("effective_savings_30d"), ", confidence ", F.col("confidence"),
+                      ": ", F.col("recommended_action")),
+                [("effective_savings_30d", True), ("warehouse_id", False)], n, "wh_lines")]
+        figures.append(_text(DIGEST_WAREHOUSES[0], F.col("wh_count"), DIGEST_WAREHOUSES[1], F.col("wh_savings")))
+        sections += [F.lit(DIGEST_WAREHOUSES[2]), F.col("wh_lines")]
+    if workloads is not None:
+        findings = once(workloads, "category")
+        parts += [
+            findings.agg(count.alias("qt_count"), whole(F.sum("compute_hours")).alias("qt_hours")),
+            _leading_lines(
+                findings,
+                _text("- [", F.col("category"), "] confidence ", F.col("confidence"), ": ",
+                      F.col("recommended_action")),
+                [("total_compute_s", True), ("category", False), ("target_or_sample", False),
+                 ("recommended_action", False)],
+                n, "qt_lines")]
+        figures.append(_text(DIGEST_WORKLOADS[0], F.col("qt_count"), " | ", F.col("qt_hours"), DIGEST_WORKLOADS[1]))
+        sections += [F.lit(DIGEST_WORKLOADS[2]), F.col("qt_lines")]
+    if jobs is not None:
+        findings = once(jobs, "job_id")
+        parts += [
+            findings.agg(count.alias("jb_count"), whole(F.sum("classic_dbu_cost_30d")).alias("jb_spend")),
+            _leading_lines(
+                findings,
+                _text("- ", F.col("job_name"), " fit ", F.col("fit_score"), "/100, $",
+                      whole("classic_dbu_cost_30d"), ": ", F.coalesce("top_reasons", F.lit(""))),
+                [("fit_score", True), ("classic_dbu_cost_30d", True),
+                 ("workspace_id", False), ("job_id", False)], n, "jb_lines")]
+        figures.append(_text(DIGEST_JOBS[0], F.col("jb_count"), DIGEST_JOBS[1], F.col("jb_spend")))
+        sections += [F.lit(DIGEST_JOBS[2]), F.col("jb_lines")]
+    return whole_row(parts).select(F.concat_ws("\n", *figures, *sections).alias("body"))
 
 
 def _markdown(findings: DataFrame, columns: Sequence[str], order: Sequence[tuple[str, bool]],
-              n: int, name: str) -> DataFrame:
-    """One row with a Markdown table of the n leading findings."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+              n: int, name: str, title: str) -> DataFrame:
+    """One row with a titled Markdown table of the n leading findings, NULL without any.
+    Bars are escaped and line breaks become blanks, so a cell stays a cell."""
+    def cell(column: str) -> Column:
+        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return F.replace(F.regexp_replace(text, r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
+
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
     body = _leading_lines(findings, line, order, n, name)
-    return body.select(F.when(F.col(name) == "", NO_ROWS)
-                        .otherwise(F.concat(F.lit(head), F.col(name))).alias(name))
+    return body.select(F.when(F.col(name) != "", F.concat(F.lit(f"## {title}\n{head}"), F.col(name))).alias(name))
 
 
-def briefing_text(warehouses: DataFrame, workloads: DataFrame, jobs: DataFrame,
-                  n: int = BRIEFING_TOP) -> DataFrame:
+def briefing_text(warehouses: DataFrame | None, workloads: DataFrame | None,
+                  jobs: DataFrame | None, n: int = BRIEFING_TOP) -> DataFrame:
     """One row, one text: headline KPIs, then a table of leading findings per set.
 
-    Each set is read twice; materialise the sets first.
+    A set without rows, or not selected, counts as zero and has no section.
     """
     def money(column: str) -> Column:
         return F.format_number(half_up(F.col(column), 0).cast("bigint"), 0)
 
-    row = side_by_side(
-        exec_kpis(warehouses, workloads, jobs),
-        _markdown(warehouses, [*WAREHOUSE_TABLE, "confidence"],
-                  [("effective_savings_30d", True), ("warehouse_id", False)], n, "wh_lines"),
-        _markdown(workloads, [*WORKLOAD_TABLE, "confidence"],
-                  [("total_compute_s", True), ("category", False),
-                   ("target_or_sample", False)], n, "qt_lines"),
-        _markdown(jobs, [*JOB_TABLE, "confidence"],
-                  [("fit_score", True), ("workspace_id", False), ("job_id", False)],
-                  n, "jb_lines"))
+    sets = {
+        "wh_lines": (warehouses, ("category",), WAREHOUSE_TABLE, BRIEFING_TITLES[0],
+                     [("effective_savings_30d", True), ("warehouse_id", False)]),
+        "qt_lines": (workloads, ("category",), WORKLOAD_TABLE, BRIEFING_TITLES[1],
+                     [("total_compute_s", True), ("category", False), ("target_or_sample", False),
+                      ("recommended_action", False)]),
+        "jb_lines": (jobs, ("job_id",), JOB_TABLE, BRIEFING_TITLES[2],
+                     [("fit_score", True), ("workspace_id", False), ("job_id", False)]),
+    }
+    held = {name: once(df, *keys) for name, (df, keys, *_) in sets.items() if df is not None}
+    tables = [_markdown(df, [*sets[name][2], "confidence"], sets[name][4], n, name, sets[name][3])
+              for name, df in held.items()]
+    row = whole_row([exec_kpis(*(held.get(name) for name in sets)), *tables])
     kpis = F.concat_ws(
         "\n",
-        _text("- Identified warehouse savings (30d): $", money("wh_savings_30d")),
-        _text("- Annualized projection: $", money("annualized")),
-        _text("- Warehouses flagged: ", F.col("wh_count"), " ($",
-              money("wh_current_spend_30d"), " current 30d spend)"),
-        _text("- Query/table optimizations: ", F.col("qt_count"), " (",
-              money("qt_compute_hours"), " compute hours flagged)"),
-        _text("- Jobs -> serverless: ", F.col("jb_count"), " (", F.col("jb_high_fit"),
-              " at >=70 fit, $", money("jb_addressable_spend"), " addressable)"))
-    return row.select(F.concat(
-        F.lit("Headline KPIs:\n"), kpis,
-        F.lit("\n\n## Warehouse recommendations\n"), F.col("wh_lines"),
-        F.lit("\n\n## Query/table optimizations\n"), F.col("qt_lines"),
-        F.lit("\n\n## Jobs -> serverless\n"), F.col("jb_lines")).alias("briefing"))
+        _text(BRIEFING_KPIS[0], money("wh_savings_30d")),
+        _text(BRIEFING_KPIS[1], money("annualized")),
+        _text(BRIEFING_KPIS[2], F.col("wh_count"), " ($",
+              money("wh_current_spend_30d"), BRIEFING_KPIS[3]),
+        _text(BRIEFING_KPIS[4], F.col("qt_count"), " (",
+              money("qt_compute_hours"), BRIEFING_KPIS[5]),
+        _text(BRIEFING_KPIS[6], F.col("jb_count"), " (", F.col("jb_high_fit"),
+              BRIEFING_KPIS[7], money("jb_addressable_spend"), BRIEFING_KPIS[8]))
+    sections = F.concat_ws("\n\n", *(F.col(name) for name in held))
+    return row.select(F.concat(F.lit(BRIEFING_HEAD), kpis, F.lit("\n\n"), sections).alias("briefing"))

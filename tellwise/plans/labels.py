@@ -67,3 +67,19 @@ CHECKLIST_GENERIC = (
     "(5) network access to required private endpoints.")
 
 JOB_CATEGORY = "JOB_TO_SERVERLESS"
+
+# Wording of the text payloads.
+DIGEST_WAREHOUSES = ("Warehouses flagged: ", " | est 30d savings $",
+                     "--- Top warehouse actions (confidence 0-100) ---")
+DIGEST_WORKLOADS = ("Query/table optimizations: ", " compute hours",
+                    "--- Top query/table actions (confidence 0-100) ---")
+DIGEST_JOBS = ("Jobs->serverless candidates: ", " | addressable classic spend $",
+               "--- Top job candidates (confidence = fit score 0-100) ---")
+BRIEFING_HEAD = "Headline KPIs:\n"
+BRIEFING_TITLES = ("Warehouse recommendations", "Query/table optimizations", "Jobs -> serverless")
+BRIEFING_KPIS = (
+    "- Identified warehouse savings (30d): $", "- Annualized projection: $",
+    "- Warehouses flagged: ", " current 30d spend)",
+    "- Query/table optimizations: ", " compute hours flagged)",
+    "- Jobs -> serverless: ", " at >=70 fit, $", " addressable)",
+)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.functions import half_up
+from tellwise.functions.frames import settle
 
 # Assumed saving on job spend, months a year, what counts as a good fit.
 JOB_SAVINGS_SHARE = 0.30
@@ -43,40 +45,63 @@ def _total(column: str) -> Column:
     return F.coalesce(half_up(F.sum(column), 2), F.lit(0.0))
 
 
-def exec_kpis(warehouses: DataFrame, workloads: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The headline figures as one row; empty sets count as zero."""
-    wh = warehouses.agg(
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` behind one shuffle of whole rows, so that all reads of it in a plan
+    share that shuffle and compute it once."""
+    return settle(df.repartition(*keys))
+
+
+def whole_row(parts: Sequence[DataFrame | None], **fallback: object) -> DataFrame:
+    """The one-row relations that are there, side by side; columns that then are
+    missing get their fallback."""
+    there = [part for part in parts if part is not None]
+    if not there:
+        raise ValueError("no recommendation set was selected")
+    row = side_by_side(*there)
+    return row.withColumns({c: F.lit(v) for c, v in fallback.items() if c not in row.columns})
+
+
+def exec_kpis(warehouses: DataFrame | None, workloads: DataFrame | None,
+              jobs: DataFrame | None) -> DataFrame:
+    """The headline figures as one row; empty and unselected sets count as zero."""
+    wh = None if warehouses is None else warehouses.agg(
         F.count_distinct("warehouse_id").alias("wh_count"),
         _total("effective_savings_30d").alias("wh_savings_30d"),
         _total("current_cost_30d").alias("wh_current_spend_30d"))
-    qt = workloads.agg(
+    qt = None if workloads is None else workloads.agg(
         F.count(F.lit(1)).alias("qt_count"),
         F.coalesce(half_up(F.sum("total_compute_s") / F.lit(3600.0), 2), F.lit(0.0))
          .alias("qt_compute_hours"))
-    jb = jobs.agg(
+    jb = None if jobs is None else jobs.agg(
         F.count(F.lit(1)).alias("jb_count"),
         F.count_if(F.col("fit_score") >= GOOD_FIT).alias("jb_high_fit"),
         _total("classic_dbu_cost_30d").alias("jb_addressable_spend"))
     yearly = (F.col("wh_savings_30d")
               + F.lit(JOB_SAVINGS_SHARE) * F.col("jb_addressable_spend")) * F.lit(MONTHS)
-    return side_by_side(wh, qt, jb).withColumn("annualized", half_up(yearly, 2))
-
-
-def overview(warehouses: DataFrame, workloads: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The counters shown beside the findings; sums over nothing are NULL."""
-    return side_by_side(
-        warehouses.agg(
+    row = whole_row([wh, qt, jb], wh_count=0, wh_savings_30d=0.0, wh_current_spend_30d=0.0,
+                    qt_count=0, qt_compute_hours=0.0, jb_count=0, jb_high_fit=0,
+                    jb_addressable_spend=0.0)
+    counts = {c: F.col(c).cast("bigint") for c in ("wh_count", "qt_count", "jb_count", "jb_high_fit")}
+    return row.withColumns(counts).withColumn("annualized", half_up(yearly, 2))
+
+
+def overview(warehouses: DataFrame | None, workloads: DataFrame | None,
+             jobs: DataFrame | None) -> DataFrame:
+    """The counters shown beside the findings; sums over nothing are NULL, and an
+    unselected set has no columns."""
+    return whole_row([
+        None if warehouses is None else warehouses.agg(
             F.count("warehouse_id").alias("wh_count"),
             half_up(F.sum("effective_savings_30d"), 2).alias("wh_savings"),
             half_up(F.sum("current_cost_30d"), 2).alias("wh_current")),
-        workloads.agg(
+        None if workloads is None else workloads.agg(
             F.count("category").alias("qt_count"),
             half_up(F.sum("compute_hours"), 2).alias("qt_hours"),
             F.sum("exec_count").alias("qt_executions")),
-        jobs.agg(
+        None if jobs is None else jobs.agg(
             F.count("job_id").alias("jb_count"),
             half_up(F.sum("classic_dbu_cost_30d"), 2).alias("jb_spend"),
-            F.sum("run_count_30d").alias("jb_runs")))
+            F.sum("run_count_30d").alias("jb_runs"))])
 
 
 def warehouses_by_category(findings: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def recommended_action(cfg: Thresholds) -> Column:
     auto_stop = F.concat(F.lit("AUTO-STOP "), F.col("auto_stop_minutes"),
                          F.lit(f"m{arrow}{cfg.auto_stop_target_minutes}m"))
     delete = F.concat(F.lit("DELETE - 0 queries / 30d, $"),
-                      decimal_text(F.col("dollars_30d"), 2), F.lit(" burned"))
+                      decimal_text(F.coalesce("dollars_30d", F.lit(0.0)), 2), F.lit(" burned"))
     changes = join_parts(
         " + ", migrate, resize,
         F.when(F.col("rec_max_clusters") != F.col("max_clusters"), reclusters),

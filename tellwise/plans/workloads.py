@@ -90,15 +90,15 @@ def signature_findings(rollup: DataFrame, *, cfg: Thresholds) -> DataFrame:
         ((big_n >= cfg.pruning_min_executions) & (pruning_pct < cfg.pruning_max_pct),
          _finding(
             LOW_PRUNING,
-            ["Reads ", half_up(gigabytes(big_read), 1), " GB with only ",
-             half_up(pruning_pct, 1), "% pruned over ", big_n, " runs. ",
+            ["Reads ", decimal_text(gigabytes(big_read), 1), " GB with only ",
+             decimal_text(pruning_pct, 1), "% pruned over ", big_n, " runs. ",
              "ALTER TABLE ... CLUSTER BY (filter columns)."],
             runs=big_n, ms=big_ms, avg_ms=big_ms / nullif_zero(big_n),
             sample=F.col("big_sample"), pruning_pct=pruning_pct, read_b=big_read)),
         ((spill_n >= cfg.spill_min_executions) & (spill_gb >= cfg.spill_min_avg_gb),
          _finding(
             HIGH_SPILL,
-            ["Avg ", half_up(spill_gb, 1), " GB spill / query over ", spill_n, " runs. ",
+            ["Avg ", decimal_text(spill_gb, 1), " GB spill / query over ", spill_n, " runs. ",
              "Size up warehouse or rewrite (broadcast joins, narrow projections)."],
             runs=spill_n, ms=spill_ms, avg_ms=spill_ms / nullif_zero(spill_n),
             sample=F.col("spill_sample"), spill_gb=spill_gb)),
@@ -176,8 +176,9 @@ def with_display_columns(findings: DataFrame) -> DataFrame:
 def in_report_order(findings: DataFrame) -> DataFrame:
     rank = rule_ladder([(F.col("category") == name, F.lit(i))
                         for i, name in enumerate(WORKLOAD_RULES)])
-    return ranked(findings, ["category", "target_or_sample"], rank,
-                  F.col("total_compute_s").desc_nulls_last(), "target_or_sample")
+    return ranked(findings, ["category", "total_compute_s", "target_or_sample"], rank,
+                  F.col("total_compute_s").desc_nulls_last(), "target_or_sample",
+                  "recommended_action")
 
 
 def recommend_workloads(data: Telemetry, *, cfg: Thresholds) -> DataFrame:

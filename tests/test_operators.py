@@ -143,7 +143,7 @@ def test_state_intervals_match_a_plain_lead(spark, seed, block_s):
 
 @pytest.mark.parametrize("seed, block_s", [(4, 60), (5, 600), (6, 3600), (7, 86400), (11, 120)])
 def test_activity_matches_brute_force(spark, seed, block_s):
-    rows, spans = random_logs(seed)
+    rows, spans = random_logs(seed, reversed_spans=seed % 2 == 0)
     util, on, cluster_on = overlap_by_hand(rows, spans)
     got = {r["warehouse_id"]: r for r in activity(
         spark.createDataFrame(rows, STATES), spark.createDataFrame(spans, SPANS),
@@ -165,6 +165,26 @@ def test_overlap_join_matches_brute_force_even_backwards(spark, seed):
     assert {r[0]: r[1] for r in got.collect()} == util
 
 
+def test_counts_beyond_32_bits_and_the_greater_of_two_at_one_instant(spark):
+    rows = [("w", at(0), 2 ** 32), ("w", at(10), 0), ("w", at(10), 7), ("w", at(20), 0)]
+    got = activity(spark.createDataFrame(rows, "warehouse_id string, event_time timestamp, cluster_count long"),
+                   spark.createDataFrame([], SPANS)).first()
+    assert (got["on_s"], got["cluster_on_s"]) == (20, 10 * 2 ** 32 + 70)
+
+
+def test_a_block_holds_whole_minutes(spark):
+    empty = spark.createDataFrame([], STATES), spark.createDataFrame([], SPANS)
+    with pytest.raises(ValueError):
+        activity(*empty, block_s=90)
+
+
+def test_a_span_that_runs_backwards_counts_only_inside_one_interval(spark):
+    rows = [("w", at(0), 1), ("w", at(100), 0), ("w", at(200), 1), ("w", at(300), 0)]
+    spans = [("w", at(60), at(20)), ("w", at(250), at(50))]
+    got = activity(spark.createDataFrame(rows, STATES), spark.createDataFrame(spans, SPANS)).first()
+    assert got["util_s"] == -40
+
+
 def test_open_and_stopped_states(spark):
     rows = [("open", at(0), 1),
             ("off", at(0), 0), ("off", at(50), 0),

@@ -351,7 +351,25 @@ def test_reports_over_empty_sets(sets):
         "--- Top warehouse actions (confidence 0-100) ---\n\n"
         "--- Top query/table actions (confidence 0-100) ---\n\n"
         "--- Top job candidates (confidence = fit score 0-100) ---\n")
-    assert briefing_text(*nothing).first()["briefing"].count("_(not selected / no rows)_") == 3
+    assert "## " not in briefing_text(*nothing).first()["briefing"]
+
+
+def test_reports_over_a_part_of_the_sets(sets):
+    kpis = exec_kpis(None, None, sets.jobs).first()
+    assert (kpis["wh_count"], kpis["qt_compute_hours"]) == (0, 0.0) and kpis["jb_count"] > 0
+    assert set(overview(sets.warehouse, None, None).columns) == {"wh_count", "wh_savings", "wh_current"}
+    body = digest_payload(sets.warehouse, None, None).first()["body"]
+    assert "Warehouses flagged" in body and "serverless candidates" not in body
+    text = briefing_text(None, sets.query_table, None).first()["briefing"]
+    assert text.count("## ") == 1 and "## Query/table optimizations" in text
+    with pytest.raises(ValueError):
+        exec_kpis(None, None, None)
+
+
+def test_table_cells_stay_cells(sets):
+    odd = sets.warehouse.withColumn("warehouse_name", F.lit("a|b\nc"))
+    text = briefing_text(odd, None, None).first()["briefing"]
+    assert "| a\\|b c |" in text
 
 
 def test_actions_rank_and_cover_all_sets(sets):
