@@ -32,19 +32,6 @@ def heavy_queries(query_history: DataFrame, *, cfg: Thresholds) -> DataFrame:
                 F.substring("statement_text", 1, SAMPLE_CHARS).alias("sample")))
 
 
-def shared_by_statement(heavy: DataFrame) -> DataFrame:
-    """The same rows, shuffled by statement id in a form all readers can reuse.
-
-    Statement texts are most of a query history. Two readers that need different
-    columns would each scan them; behind the generator both need the same
-    shuffle, so Spark computes it once. Heavy statements are few and narrow next
-    to the history, and a join on the statement id needs no further shuffle.
-    """
-    others = [c for c in heavy.columns if c != "statement_id"]
-    return heavy.repartition("statement_id").select(
-        "statement_id", F.inline(F.array(F.struct(*others))))
-
-
 def signature_rollup(heavy: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """One row per signature with the totals every signature detector needs.
 

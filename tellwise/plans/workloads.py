@@ -11,7 +11,7 @@ from tellwise.config import Thresholds
 from tellwise.functions import decimal_text, gigabytes, half_up, nullif_zero, ranked, rule_ladder
 from tellwise.operators.latest import latest
 from tellwise.operators.workload import (
-    heavy_queries, shared_by_statement, signature_rollup, table_reads, warehouse_traffic,
+    heavy_queries, signature_rollup, table_reads, warehouse_traffic,
 )
 from tellwise.plans.labels import WORKLOAD_RULES
 from tellwise.sources.scans import finished_selects
@@ -182,9 +182,13 @@ def in_report_order(findings: DataFrame) -> DataFrame:
 
 
 def recommend_workloads(data: Telemetry, *, cfg: Thresholds) -> DataFrame:
-    """All six detectors. A signature may be reported by several of them."""
+    """All six detectors. A signature may be reported by several of them.
+
+    Statement texts stay where they are scanned: the rollup combines map-side by
+    signature, and the join with the lineage takes ids and three numbers only.
+    """
     history, lineage, warehouses = data.need("query_history", "lineage", "warehouses")
-    heavy = shared_by_statement(heavy_queries(history, cfg=cfg))
+    heavy = heavy_queries(history, cfg=cfg)
     signatures = signature_findings(signature_rollup(heavy, cfg=cfg), cfg=cfg)
     branches = [
         fast_bi_warehouses(finished_selects(history, cfg=cfg), warehouses, cfg=cfg),
