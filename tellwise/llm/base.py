@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; its lineage ends there, so a lost
-    executor costs a read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df computed once and kept as a Parquet table in the shared folder. Its lineage ends
+    there, so a lost executor costs a read; so does what the optimizer has inferred about its
+    columns, which in a loop would grow from turn to turn."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def text_or_empty(column: str | Column) -> Column:

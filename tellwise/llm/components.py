@@ -1,7 +1,7 @@
 """Connected components of a graph in a table, by repeated contraction.
 
-In each round every vertex moves to the smallest of its neighbours and itself, in an order that a new
-pseudo-random number gives each round; edges follow their ends, and edges inside one vertex go. So
+In each round every vertex moves to the smallest of its neighbours and itself, and on to where that one
+moves, in an order that a new pseudo-random number gives each round; edges follow their ends, and edges inside one vertex go. So
 the graph shrinks to a fraction each round, whatever its shape. Only sums by vertex and joins on
 vertices are used; a vertex with a third of all edges is combined before it is shuffled, and the join
 on it can be split by adaptive execution.
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tellwise.llm.base import settled
 
+#: Edges of a graph that is worked on in one partition (16 bytes each).
+SMALL = 200_000
+
 _MASKS = (0x5DEECE66D1CE4E5B, 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x7C1592DA5B8E64F3)
 
 
@@ -28,11 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = settled(ordered.distinct())
     moves: list[DataFrame] = []
-    while not left.isEmpty():
+    while n := left.count():
+        # A graph of bounded size needs no shuffles: one partition holds it.
+        left = left.coalesce(1) if n <= SMALL else left
         mask = F.lit(_mask(len(moves)))
         both = left.select("a", "b").union(left.select("b", "a"))
         nearest = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("least"))
-        move = settled(nearest.select(F.col("a").alias("id"), F.least("least", F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")))
+        hop = nearest.select(F.col("a").alias("id"), F.least("least", F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to"))
+        # Two hops in a round: to where the smallest neighbour itself moves.
+        onward = hop.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        move = settled(hop.join(onward, "to").select("id", F.col("next").alias("to")))
         moves.append(move)
         moved = (left.join(move.select(F.col("id").alias("a"), F.col("to").alias("a2")), "a")
                  .join(move.select(F.col("id").alias("b"), F.col("to").alias("b2")), "b").where("a2 <> b2"))
@@ -43,9 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     for move in moves[1:]:
         step = move.select(F.col("id").alias("to"), F.col("to").alias("next"))
         labels = labels.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    labels = settled(labels)
+    labels = settled(labels) if len(moves) > 1 else labels
     smallest = labels.groupBy("to").agg(F.min("id").alias("root"))
-    return settled(labels.join(smallest, "to").select("id", "root"))
+    return labels.join(smallest, "to").select("id", "root")
 
 
 def merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
     lifted = (edges.join(end("a"), "a", "left").join(end("b"), "b", "left")
               .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    moved = components(lifted)
+    moved = settled(components(lifted))
     to = moved.select(F.col("id").alias("root"), F.col("root").alias("new"))
     old = classes.join(to, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
     return settled(old.union(moved.join(classes, "id", "left_anti").select("id", "root")))
