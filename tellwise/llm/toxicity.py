@@ -143,7 +143,8 @@ def restore(observed: str, model: np.ndarray) -> str:
     return max((score + model[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
 
 
-_OUTER = "".join(c for c in _EDGE if c not in LOOKALIKES)
+#: Signs around a word that never belong to it; the others may stand for its first letter.
+_OUTER = "".join(c for c in _EDGE if c not in "$@!|")
 
 
 def _cores(token: str) -> list[str]:
