@@ -7,9 +7,9 @@ candidates. Candidates are verified by the exact Jaccard coefficient of their sh
 pairs are edges, components are classes, and of each class the first line in order of (doc_id,
 position) stays.
 
-Pairs are not formed within a band's group at large. A group's members are compared with one of them,
-in several rounds with another one each; only then, and only for members that are in different
-components still, the remaining pairs are compared. Pairs inside one component can't change it.
+Pairs are not formed within a band's group at large. A group's members are first compared with one of
+them; after that the remaining pairs are compared only where members are in different components
+still. Pairs inside one component can't change it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from tellwise.llm.components import components, merged
 
 SHINGLE = 7
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 9, 3
-#: Rounds in which a band's group is compared with one of its members, before all pairs that are left.
-STAR_ROUNDS = 2
-_STRIDE, _PART = 4, 128
+BANDS, BAND_ROWS = 8, 3
+_STRIDE, _PART, _LONG_PART = 4, 128, 4096
 
 
 def _constants(n: int) -> list[int]:
@@ -51,48 +49,50 @@ def _shingle(encoded: Column, at: Column, size: int) -> Column:
     return F.xxhash64(F.substring(encoded, 2 * at + 1, F.lit(2 * size)))
 
 
-def _n_shingles(encoded: str, size: int) -> Column:
+def _n_shingles(encoded: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.length(encoded) / 2 - (size - 1)).cast("int")
 
 
-def _shingles(encoded: str, size: int) -> Column:
+def _shingles(norm: str, size: int) -> Column:
     """The set of hashes of a line's shingles of `size` UTF-16 units (a shorter line is one). The
-    line is cut into parts first, as every access to a column inside a lambda copies its value."""
-    line, n = F.col(encoded), _n_shingles(encoded, size)
-    parts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(_PART)), lambda at: F.substring(line, 2 * at + 1, F.lit(2 * (_PART + size - 1))))
+    line is cut into parts first, as a lambda evaluates what it reads from outside for each element."""
+    line = F.encode(norm, "UTF-16BE")
+    parts = F.transform(F.sequence(F.lit(0), _n_shingles(line, size) - 1, F.lit(_LONG_PART)), lambda at: F.substring(line, 2 * at + 1, F.lit(2 * (_LONG_PART + size - 1))))
     hashed = F.transform(parts, lambda part: F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(part) / 2).cast("int") - size)), lambda at: _shingle(part, at, size)))
     return F.array_distinct(F.flatten(hashed))
 
 
 def candidates(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, encoded, keys) of the different lines that share a band with another; keys are the
+    """(id, norm, keys) of the different lines that share a band with another; keys are the
     bands they share. Lines whose hash another line has too are no candidates."""
     different = (lines.groupBy("id").agg(F.any_value("norm").alias("norm"), F.min(F.hash("norm")).alias("low"), F.max(F.hash("norm")).alias("high"))
                  .where("low = high").select("id", "norm"))
     encoded = different.where(F.length("norm") >= shingle + 3).select("id", F.encode("norm", "UTF-16BE").alias("encoded"))  # sets of fewer can't differ and reach 0.8
     # A row for each part of a line, then for every few shingles of a part: a row's line is copied
     # whenever it is read, and the sums by line cost more than the hashes.
-    starts = F.sequence(F.lit(0), _n_shingles("encoded", shingle) - 1, F.lit(_PART))
+    starts = F.sequence(F.lit(0), _n_shingles(F.col("encoded"), shingle) - 1, F.lit(_PART))
     parts = (encoded.select("id", "encoded", F.explode(starts).alias("start"))
              .select("id", F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
     last = F.col("n") - 1
-    rows = (parts.withColumn("n", _n_shingles("part", shingle))
+    rows = (parts.withColumn("n", _n_shingles(F.col("part"), shingle))
             .select("id", "part", "n", F.explode(F.sequence(F.lit(0), last, F.lit(_STRIDE))).alias("at"))
             .select("id", *(_shingle(F.col("part"), F.least(F.col("at") + j, last), shingle).alias(f"h{j}") for j in range(_STRIDE))))
     least = [F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(_STRIDE)))).alias(f"m{i}") for i, c in enumerate(_constants(bands * band_rows))]
     signed = rows.groupBy("id").agg(*least)
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * band_rows + r}" for r in range(band_rows))) for b in range(bands)))
-    banded = signed.select("id", F.explode(keys).alias("key"))
+    # One exchange serves both the look for shared keys and their members.
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = signed.select("id", F.explode(keys).alias("key")).repartition(partitions, "key")
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     members = banded.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    return different.join(members, "id").select("id", F.encode("norm", "UTF-16BE").alias("encoded"), "keys")
+    return different.join(members, "id").select("id", "norm", "keys")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines have at least the similarity."""
-    a = found.select(F.col("id").alias("a"), F.col("encoded").alias("a_line"))
-    b = found.select(F.col("id").alias("b"), F.col("encoded").alias("b_line"))
+    a = found.select(F.col("id").alias("a"), F.col("norm").alias("a_line"))
+    b = found.select(F.col("id").alias("b"), F.col("norm").alias("b_line"))
     sets = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("a_line", shingle).alias("x"), _shingles("b_line", shingle).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -102,27 +102,17 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _spread() -> tuple[Column, Column]:
-    return F.min("root").alias("low"), F.max("root").alias("high")
-
-
-def _with_root(members: DataFrame, classes: DataFrame) -> DataFrame:
-    return members.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
-def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """(id, root) of the lines that are in a class with a different line."""
     found = settled(candidates(lines, shingle, bands, band_rows))
     members = found.select("id", F.explode("keys").alias("key"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    for mask in _constants(star_rounds):
-        known = _with_root(members, classes)
-        center = (known.groupBy("key").agg(F.min(F.struct(F.col("id").bitwiseXOR(F.lit(mask)).alias("order"), "id", "root")).alias("c"), *_spread()).where("low <> high")
-                  .select("key", F.col("c.id").alias("a"), F.col("c.root").alias("a_root")))
-        pairs = known.select("key", F.col("id").alias("b"), "root").join(center, "key").where("root <> a_root").select("a", "b")
-        classes = merged(classes, settled(_verified(_distinct(pairs), found, shingle, similarity)))
-    known = _with_root(members, classes)
-    rest = known.join(known.groupBy("key").agg(*_spread()).where("low <> high").select("key"), "key")
+    center = members.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = members.join(center, "key").select("a", F.col("id").alias("b"))
+    edges = settled(_verified(_distinct(pairs), found, shingle, similarity))
+    classes = settled(components(edges))
+    known = members.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = known.join(split, "key")
     a = rest.select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
     b = rest.select("key", F.col("id").alias("b"), F.col("root").alias("b_root"))
     pairs = a.join(b, "key").where("a_root < b_root").select("a", "b")
@@ -133,7 +123,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text_hash, removed): the positions of the lines that go, for documents with any."""
     lines = _lines(docs, id_col, text_col)
     classes = line_classes(lines, **how)
-    places = lines.select("id", F.hash("norm").alias("check"), "doc_id", "text_hash", "pos")
+    places = settled(lines.select("id", F.hash("norm").alias("check"), "doc_id", "text_hash", "pos"))
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "pos")
     first = places.groupBy("id", "check").agg(F.min(place).alias("first"))
     classed = first.join(classes, "id", "left")
