@@ -1,10 +1,11 @@
 """Toxicity through a noisy channel.
 
 A writer who hides a word replaces letters by look-alikes, puts blanks or dots between letters, or
-repeats letters. Words that show such signs become a lattice: each character may stand for several
-letters, for a word's end, or for nothing, each at a price. Viterbi's algorithm finds the cheapest
-reading under the prices and a character trigram model, and the score counts the words of the text
-as written and as restored.
+repeats letters. Every token that holds a look-alike or a doubled letter becomes a lattice, with and
+without the signs around it: each character may stand for several letters, for a word's end, or for
+nothing, each at a price. Viterbi's algorithm finds the cheapest reading under the prices and a
+character trigram model, and the score counts the words of the text as written and as restored. A
+token is read once in a task and remembered.
 
 The trigram model is counted over all documents. The classifier (logistic regression over words and
 word beginnings that tell toxic from other texts) is fitted on at most about `TRAIN_ROWS` labelled
@@ -143,8 +144,13 @@ def restore(observed: str, model: np.ndarray) -> str:
     return max((score + model[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
 
 
-#: Signs around a word that never belong to it; the others may stand for its first letter.
+#: Signs around a word that are rarely a letter of it; the others may well stand for its first one.
 _OUTER = "".join(c for c in _EDGE if c not in "$@!|")
+#: Signs that never stand for a letter.
+_NEVER = "".join(c for c in _EDGE if c not in LOOKALIKES)
+_DOUBLE = re.compile(r"([a-z])\1")
+_LOOK = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
+_LETTER_OR_SIGN = re.compile("[a-z" + re.escape("".join(c for c in LOOKALIKES if not c.isdigit())) + "]")
 
 
 def _cores(token: str) -> list[str]:
@@ -154,36 +160,54 @@ def _cores(token: str) -> list[str]:
     return [core] if core == whole else [core, whole]
 
 
+def doubtful_parts(token: str) -> list[str]:
+    """What a token may be if its outer signs, each side's, are letters or are not, where that holds
+    a look-alike or a doubled letter. Numbers, without a letter or a sign, are numbers."""
+    left, right = token.lstrip(_EDGE), token.lstrip(_NEVER)
+    forms = dict.fromkeys(x.rstrip(signs) for x in (left, right) for signs in (_EDGE, _NEVER))
+    return [x for x in forms if len(x) > 2 and (_DOUBLE.search(x) or _LOOK.search(x) and _LETTER_OR_SIGN.search(x))]
+
+
 def hidden_parts(text: str) -> list[str]:
-    """Parts of a plain text that show signs of hiding: signs inside a word or before it, tripled
-    letters, all letters doubled, letters set apart."""
+    """Parts of a plain text that show clear signs of hiding: signs or digits inside a word, before it
+    or digits after it, tripled letters, all letters doubled, letters set apart."""
     tokens = set(text.split())
-    # Most tokens are a word, or a word and one sign.
-    odd = [token for token in tokens if not token.isalpha() and not token[:-1].isalpha() and len(token) > 2]
+    odd = [token for token in tokens if not token.isalpha() and len(token) > 2]
     parts = [core for token in odd for core in _cores(token) if len(core) > 2 and not core.isalpha() and _WORDS.search(core)]
     if any(triple in text for triple in _TRIPLES):
         parts += [token for token in tokens if token.isalpha() and any(triple in token for triple in _TRIPLES)]
     parts += [token[::2] for token in tokens if token[:1] == token[1:2] and len(token) > 5 and token[::2] == token[1::2]]
+    return parts + spaced_parts(text)
+
+
+def spaced_parts(text: str) -> list[str]:
+    """Letters set apart by blanks."""
     shape = b" %b " % text.encode().translate(_SHAPE)
-    return parts + _SPACED.findall(text) if any(apart in shape for apart in _APART) else parts
+    return _SPACED.findall(text) if any(apart in shape for apart in _APART) else []
 
 
 class Reader:
-    """Words of a text, as written and as restored; restored parts are remembered for a while."""
+    """Words of a text, as written and as restored; those of a token or part are remembered for a while."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def _read(self, token: str) -> tuple[str, ...]:
+        words = set(_WORDS.findall(token))
+        for part in {*hidden_parts(token), *doubtful_parts(token)}:
+            words.update(restore(part, self.model).split())
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[token] = found = tuple(words)
+        return found
 
     def words(self, text: str) -> set[str]:
         text = plain(text)
-        words = set(_WORDS.findall(text))
-        for part in hidden_parts(text):
-            if part not in self.known:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[part] = restore(part, self.model).split()
-            words.update(self.known[part])
+        known, words = self.known, set()
+        for token in {*text.split(), *spaced_parts(text)}:
+            found = known.get(token)
+            words.update(self._read(token) if found is None else found)
         return words
 
 

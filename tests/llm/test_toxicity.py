@@ -53,6 +53,17 @@ def test_hidden_words_are_restored_and_scored(spark, tables):
     assert hidden_parts("a plain meadow, (stone); garden!") == []
 
 
+def test_every_token_with_a_look_alike_or_a_doubled_letter_is_read(spark, tables):
+    docs, _ = tables
+    more = docs.select("text").unionByName(spark.createDataFrame([("idiot ass loss clown trash scum moron stupid troll " * 40,)], "text string"))
+    reader = Reader(language_model(more))
+    for hidden, word in (("idio7", "idiot"), ("idio7,", "idiot"), ("trol1", "troll"), ("5cum", "scum"), ("a$$", "ass"), ("a$$!", "ass"), ("@$$", "ass"),
+                         ("lo$$", "loss"), ("(lown", "clown"), ("+rash", "trash"), ("stuupid", "stupid"), ("mooron.", "moron")):
+        assert word in reader.words(f"you {hidden} there"), hidden
+    assert {"you", "stuupid", "idio"} <= reader.words("you stuupid idio7")
+    assert reader.words("in 1999 it was 455") == {"in", "it", "was"}
+
+
 def test_no_labels_and_no_rows(spark, tables):
     docs, labels = tables
     assert {r.score for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
