@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tellwise.llm.base import settled, text_or_empty
 
 #: The labelled rows that the classifier is fitted on: about so many, chosen by hash.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 40_000
 #: Features of the classifier: so many at most, the most telling ones.
 FEATURES = 2_000
 BEGINNINGS = (4, 5, 6, 7)
@@ -41,30 +41,59 @@ REMEMBERED = 200_000
 
 # ------------------------------------------------------------------ letters
 
+#: The euro sign's code in a plain text: the currency sign, which becomes "?" itself.
+EURO = "\xa4"
 #: Characters that pass for letters.
 LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", EURO: "e", "£": "l", "¡": "i",
 }
-_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) 
+#: Letters of other scripts that look like Latin ones, for words that mix both.
+_TWINS = str.maketrans("абеорсухікѕјһмтнвдгпοαεικρτυνχγ", "abeopcyxiksjhmthbdrnoaeikptuvxy")
+_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + EURO + "£¡"
 _BASE = {}
 for _c in range(0xC0, 0x250):
     if (_letter := unicodedata.normalize("NFKD", chr(_c))[0].lower()).isascii() and _letter.isalpha():
         _BASE[_c] = _letter
 _BASE |= {ord("ß"): "s", ord("æ"): "a", ord("œ"): "o", ord("ø"): "o", ord("ł"): "l", ord("đ"): "d"}
-_LATIN1 = bytes(ord(_BASE.get(c, "?")) if c > 0x7F else c for c in range(256))
+_LATIN1 = bytes(c if c < 0x80 or chr(c) in "£¡" else ord(_BASE.get(c, "?")) for c in range(256))
 SYMBOLS = 28  # word end, a to z, anything else
 
 
+class _Plain(dict):
+    """What plain() makes of a character's code."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if code < 256:
+            out = chr(_LATIN1[code])
+        elif char == "€":
+            out = EURO
+        elif code in _BASE:
+            out = _BASE[code]
+        elif unicodedata.combining(char) and code < 0x370:
+            out = ""
+        else:
+            first = unicodedata.normalize("NFKD", char)[0].lower()
+            kind = unicodedata.category(char)[0]
+            out = first if first.isascii() and first.isalnum() else " " if char.isspace() else char if kind in "LM" else "?"
+        self[code] = out
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def plain(text: str) -> str:
-    """Lower case, Latin letters without their accents; other characters beyond ASCII become "?"."""
+    """Lower case, Latin letters without their accents. Letters of other scripts stay, the euro sign
+    becomes `EURO`, pound and inverted exclamation mark stay; other characters beyond ASCII become "?"."""
     text = text.lower()
     if text.isascii():
         return text
     try:
-        return text.encode("latin-1").translate(_LATIN1).decode("ascii")
+        return text.encode("latin-1").translate(_LATIN1).decode("latin-1")
     except UnicodeEncodeError:
-        return text.translate(_BASE).encode("latin-1", "replace").translate(_LATIN1).decode("ascii")
+        return text.translate(_PLAIN)
 
 
 _CODE = np.full(256, SYMBOLS - 1, np.int64)
@@ -76,7 +105,7 @@ def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(SYMBOLS ** 3, np.int64)
     for batch in batches:
         for text in batch["text"]:
-            codes = _CODE[np.frombuffer(f"  {plain(text)} ".encode(), np.uint8)]
+            codes = _CODE[np.frombuffer(f"  {plain(text)} ".encode("latin-1", "replace"), np.uint8)]
             total += np.bincount((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], minlength=SYMBOLS ** 3)
     seen = np.flatnonzero(total)
     yield pd.DataFrame({"trigram": seen, "n": total[seen]})
@@ -101,7 +130,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 _JOINED, _ENDED, _DOUBLED, _REPEATED, _NOISE = np.log([0.65, 0.35, 0.1, 0.5, 1e-5])
 _TRIPLES = tuple(3 * chr(c) for c in range(ord("a"), ord("z") + 1))
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
-_WORDS = re.compile("[a-z]+")
+_WORDS = re.compile("[a-z\u0100-\U0010ffff]+")
+_LATIN = re.compile("[a-z]")
 _SHAPE = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else 0x78 for c in range(256))
 _APART = (b" x x x ", b" x  x  x ", b" x   x   x ")
 
@@ -110,7 +140,7 @@ def _readings(char: str, run: int) -> list[tuple[str, float]]:
     """What a character may stand for, with log-probabilities. run: how long the run of the same
     character is, negative at its first one."""
     again = [("", _REPEATED if run > 2 else _DOUBLED)] if run > 1 else []
-    if "a" <= char <= "z":
+    if "a" <= char <= "z" or char > "\xff":
         return [(char, 0.0), *again]
     if char in LOOKALIKES:
         share = -np.log(len(LOOKALIKES[char]))
@@ -126,22 +156,38 @@ def _runs(text: str) -> list[int]:
     return lengths
 
 
-def restore(observed: str, model: np.ndarray) -> str:
-    """The likeliest text behind an observed one (lower case, no accents)."""
+def restore(observed: str, model: np.ndarray | list[float]) -> str:
+    """The likeliest text behind an observed one (lower case, no accents); model may be flat."""
+    flat = model if isinstance(model, list) else model.ravel().tolist()
     best = {(0, 0): (0.0, "")}
     for char, run in zip(observed, _runs(observed), strict=True):
         new: dict = {}
         for (a, b), (score, text) in best.items():
             for out, price in _readings(char, run):
                 if out:
-                    code = 0 if out == " " else ord(out) - 96
-                    state, value = (b, code), score + price + model[a, b, code]
+                    code = 0 if out == " " else min(ord(out) - 96, SYMBOLS - 1)
+                    state, value = (b, code), score + price + flat[(a * SYMBOLS + b) * SYMBOLS + code]
                 else:
                     state, value = (a, b), score + price
                 if state not in new or value > new[state][0]:
                     new[state] = (value, text + out)
         best = new
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
+    return max((score + flat[(a * SYMBOLS + b) * SYMBOLS], text) for (a, b), (score, text) in best.items())[1]
+
+
+def undoubled(word: str, flat: list[float]) -> str:
+    """restore() for a word of a to z without a run of three: the signs after the next one are the same
+    on both paths, so each doubled letter is decided alone."""
+    codes = [0, *(ord(c) - 96 for c in word), 0]
+    out, last = [], 0
+    for same in _DOUBLE.finditer(word):
+        at = same.start()
+        before, own, after = codes[at], codes[at + 1], codes[at + 3]
+        base = (before * SYMBOLS + own) * SYMBOLS
+        if flat[base + own] + flat[(own * SYMBOLS + own) * SYMBOLS + after] < _DOUBLED + flat[base + after]:
+            out.append(word[last:at + 1])
+            last = at + 2
+    return "".join(out) + word[last:]
 
 
 #: Signs around a word that are rarely a letter of it; the others may well stand for its first one.
@@ -149,6 +195,7 @@ _OUTER = "".join(c for c in _EDGE if c not in "$@!|")
 #: Signs that never stand for a letter.
 _NEVER = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _DOUBLE = re.compile(r"([a-z])\1")
+_TRIPLE = re.compile(r"([a-z])\1\1")
 _LOOK = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _LETTER_OR_SIGN = re.compile("[a-z" + re.escape("".join(c for c in LOOKALIKES if not c.isdigit())) + "]")
 
@@ -182,7 +229,7 @@ def hidden_parts(text: str) -> list[str]:
 
 def spaced_parts(text: str) -> list[str]:
     """Letters set apart by blanks."""
-    shape = b" %b " % text.encode().translate(_SHAPE)
+    shape = b" %b " % text.encode("latin-1", "replace").translate(_SHAPE)
     return _SPACED.findall(text) if any(apart in shape for apart in _APART) else []
 
 
@@ -190,13 +237,22 @@ class Reader:
     """Words of a text, as written and as restored; those of a token or part are remembered for a while."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.flat = model.ravel().tolist()
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _read(self, token: str) -> tuple[str, ...]:
-        words = set(_WORDS.findall(token))
-        for part in {*hidden_parts(token), *doubtful_parts(token)}:
-            words.update(restore(part, self.model).split())
+        core = token.strip(_NEVER)
+        if core.isascii() and core.isalpha() and not _TRIPLE.search(core):  # most tokens
+            words = {core}
+            if _DOUBLE.search(core):
+                words.add(undoubled(core, self.flat))
+                if len(core) > 5 and core[::2] == core[1::2]:
+                    words.update(restore(core[::2], self.flat).split())
+        else:
+            latin = token if token.isascii() or not _LATIN.search(token) else token.translate(_TWINS)
+            words = {*_WORDS.findall(token), *_WORDS.findall(latin)}
+            for part in {*hidden_parts(latin), *doubtful_parts(latin)}:
+                words.update(restore(part, self.flat).split())
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[token] = found = tuple(words)

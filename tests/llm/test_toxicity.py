@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tellwise.llm.toxicity import Reader, fit, hidden_parts, language_model, restore, toxicity_scores
+from tellwise.llm.toxicity import Reader, fit, hidden_parts, language_model, restore, toxicity_scores, undoubled
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,33 @@ def test_every_token_with_a_look_alike_or_a_doubled_letter_is_read(spark, tables
     assert reader.words("in 1999 it was 455") == {"in", "it", "was"}
 
 
+def test_doubled_letters_are_decided_as_the_lattice_does(spark, tables):
+    rnd = random.Random(4)
+    flat = language_model(tables[0]).ravel().tolist()
+    for _ in range(2000):
+        word = "".join(rnd.choice("aeilmnt") * rnd.choice((1, 1, 2)) for _ in range(rnd.randint(2, 7)))
+        if all(3 * c not in word for c in word):
+            assert undoubled(word, flat) == restore(word, flat), word
+
+
+def test_signs_and_letters_beyond_ascii(spark, tables):
+    docs, _ = tables
+    more = docs.select("text").unionByName(spark.createDataFrame([("loser troll idiot clown " * 40,)], "text string"))
+    reader = Reader(language_model(more))
+    for hidden, word in (("los€r", "loser"), ("€ los€r –", "loser"), ("tro££", "troll"), ("¡diot", "idiot"), ("l\u043es\u0435r", "loser"), ("l\u03bfser", "loser"),
+                         ("lo\u0301ser", "loser"), ("\uff4c\uff4f\uff53\uff45\uff52", "loser"), ("tr\u043e11", "troll"), ("c l \u043e w n", "clown")):
+        assert word in reader.words(f"you {hidden} there"), hidden
+    assert reader.words("злой человек, κακός 悪い “quoted” – пять") == {"злой", "человек", "κακός", "悪い", "quoted", "пять"}
+
+
+def test_words_of_other_scripts_are_learned(spark):
+    rude = ["дурак", "осёл"]
+    rows = [(i, f"тихий сад {'и ' + rude[i % 2] if i % 4 < 2 else 'у реки'} номер") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 < 2)) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id % 4 < 2, r.predicted) for r in toxicity_scores(docs, labels).collect()} == {(True, 1), (False, 0)}
+
+
 def test_no_labels_and_no_rows(spark, tables):
     docs, labels = tables
     assert {r.score for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
