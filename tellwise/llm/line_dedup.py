@@ -1,9 +1,10 @@
 """Near-duplicate lines, with DataFrame operations only.
 
 Lines are compared in lower case and without outer blanks. Equal lines meet by a 64-bit hash. Of each
-different line, all character shingles are hashed once; a MinHash value is the least of hash XOR
-constant, one for each constant; three values make a band, and lines that agree on a band are
-candidates. Candidates are verified by the exact Jaccard coefficient of their shingle sets. Verified
+different line, all character shingles are hashed once; a MinHash value is the least xxhash64 of
+(hash XOR constant), one for each constant; three values make a band, and lines that agree on a band
+are candidates. With XOR alone, constants that share leading bits choose the same shingle, and the
+values would not be independent. Candidates are verified by the exact Jaccard coefficient of their shingle sets. Verified
 pairs are edges, components are classes, and of each class the first line in order of (doc_id,
 position) stays.
 
@@ -22,7 +23,7 @@ from tellwise.llm.components import components, merged
 
 SHINGLE = 7
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 8, 3
+BANDS, BAND_ROWS = 18, 3
 _STRIDE, _PART, _LONG_PART = 4, 128, 4096
 
 
@@ -78,7 +79,7 @@ def candidates(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ban
     rows = (parts.withColumn("n", _n_shingles(F.col("part"), shingle))
             .select("id", "part", "n", F.explode(F.sequence(F.lit(0), last, F.lit(_STRIDE))).alias("at"))
             .select("id", *(_shingle(F.col("part"), F.least(F.col("at") + j, last), shingle).alias(f"h{j}") for j in range(_STRIDE))))
-    least = [F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(_STRIDE)))).alias(f"m{i}") for i, c in enumerate(_constants(bands * band_rows))]
+    least = [F.min(F.least(*(F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(c))) for j in range(_STRIDE)))).alias(f"m{i}") for i, c in enumerate(_constants(bands * band_rows))]
     signed = rows.groupBy("id").agg(*least)
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * band_rows + r}" for r in range(band_rows))) for b in range(bands)))
     # One exchange serves both the look for shared keys and their members.

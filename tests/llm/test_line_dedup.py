@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tellwise.llm.components import components
-from tellwise.llm.line_dedup import SHINGLE, drop_repeated_lines, line_decisions
+from tellwise.llm.line_dedup import SHINGLE, candidates, drop_repeated_lines, line_decisions
 
 
 def _norm(line):
@@ -81,6 +82,20 @@ def test_texts_lose_these_lines_and_other_columns_stay(spark, rows):
         assert (cut[d].text or "") == expected
 
 
+@pytest.mark.parametrize("shingles", [9, 27, 90])
+def test_candidates_miss_next_to_no_pair_of_similarity_0_8(spark, shingles):
+    rnd = random.Random(shingles)
+    changed = shingles // 9  # so many of each line's shingles are not the other's
+    pairs = []
+    for _ in range(2500):
+        a = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(shingles + SHINGLE - 1))
+        pairs.append((a, a[:-changed] + "".join(chr(rnd.randrange(0x3041, 0x3096)) for _ in range(changed))))
+    lines = spark.createDataFrame([(x,) for pair in pairs for x in pair], "norm string").withColumn("id", F.xxhash64("norm"))
+    found = {r.norm for r in candidates(lines).select("norm").collect()}
+    assert sum(not found.issuperset(pair) for pair in pairs) <= 1
+    assert all(abs(len(_set(a) & _set(b)) / len(_set(a) | _set(b)) - 0.8) < 0.01 for a, b in pairs)
+
+
 def test_no_rows(spark):
     assert line_decisions(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
