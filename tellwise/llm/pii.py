@@ -3,20 +3,24 @@
 The rules find e-mail addresses, IP addresses, card and phone numbers. Beside them, generators of high
 recall propose spans that look like one of these in disguise ("name [at] host dot org", other
 separators, missing signs), which may overlap. Gradient-boosted trees score a proposal by its format,
-read after common disguises are undone, and by its surroundings. They learn from proposals of a
-bounded sample of documents: those that the rules accept against those that they reject. For each
-kind the threshold is the least score at which the rest of that sample has the wanted precision. Of
+read after common disguises are undone, and by its surroundings. They learn from proposals of all
+documents: those that the rules accept against those that they reject, a bounded number of each kind
+and label, drawn by hash. For each kind the threshold is the least score at which the proposals of all
+documents, counted by score, have the wanted precision. Of
 overlapping proposals the best one is taken; what the rules found always stays.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from tellwise.llm.base import settled, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose proposals the trees learn from, about; chosen by hash.
-TRAIN_DOCUMENTS = 4_000
+#: Different proposals of a kind and label that the trees learn from, about; drawn by hash from all documents.
+TRAIN_EXAMPLES = 2_000
+#: Scores are counted in so many bins between 0 and 1.
+BINS = 10_000
 PRECISION = 0.99
 TREES, DEPTH = 12, 3
 
@@ -153,42 +159,98 @@ def _plain(node) -> tuple:
     return node.split().featureIndex(), node.split().threshold(), _plain(node.leftChild()), _plain(node.rightChild())
 
 
-def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            base = {(kind, *span) for kind, spans in base_spans(text).items() for span in spans}
-            rows += [(kind, float((kind, start, end) in base), features(kind, text, start, end), hash((start, end, len(text))) % 2)
-                     for kind, start, end in proposals(text)]
-        yield pd.DataFrame(rows, columns=["kind", "label", "values", "half"])
+_DRAWN = "kind string, label double, hash long, values array<double>"
+_BITS = 20
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_documents: int = TRAIN_DOCUMENTS,
+def _labelled(text: str) -> Iterator[tuple[str, float, int, int]]:
+    base = {(kind, *span) for kind, spans in base_spans(text).items() for span in spans}
+    for kind, start, end in proposals(text):
+        yield kind, float((kind, start, end) in base), start, end
+
+
+def _examples(most: int):
+    """Of each kind and label of a task, the proposals with the least hashes."""
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heaps: dict[tuple, list] = {}
+        held: dict[tuple, set] = {}
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for kind, label, start, end in _labelled(text):
+                    heap, own = heaps.setdefault((kind, label), []), held.setdefault((kind, label), set())
+                    hashed = xxhash.xxh3_64_intdigest(f"{doc_id} {kind} {start} {text[start:end]}") >> 1
+                    if hashed in own or (len(heap) >= most and hashed > -heap[0][0]):
+                        continue
+                    own.add(hashed)
+                    entry = (-hashed, features(kind, text, start, end))
+                    if len(heap) < most:
+                        heapq.heappush(heap, entry)
+                    else:
+                        own.discard(-heapq.heappushpop(heap, entry)[0])
+        rows = [(kind, label, -hashed, values) for (kind, label), heap in heaps.items() for hashed, values in heap]
+        yield pd.DataFrame(rows, columns=["kind", "label", "hash", "values"])
+    return draw
+
+
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` different proposals of each kind and label of rows (doc_id, text): those with the
+    least hashes of all."""
+    found = settled(rows.mapInPandas(_examples(most), _DRAWN))
+    # No group's rows meet in one task: the limits come from counts of the hashes' leading bits.
+    cells = found.select("kind", "label", "hash").distinct().groupBy("kind", "label", F.shiftright("hash", 63 - _BITS).alias("cell")).count()
+    reached: Counter = Counter()
+    last = {}
+    for r in cells.orderBy("kind", "label", "cell").toLocalIterator():
+        group = r["kind"], r["label"]
+        if reached[group] < most:
+            reached[group] += r["count"]
+            last[group] = r["cell"]
+    wanted = F.lit(False)
+    for (kind, label), cell in sorted(last.items()):
+        wanted = wanted | ((F.col("kind") == kind) & (F.col("label") == label) & (F.shiftright("hash", 63 - _BITS) <= cell))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.where(wanted).dropDuplicates(["kind", "label", "hash"]).repartition(partitions, "hash").sortWithinPartitions("hash", "kind", "label")
+
+
+def _bins(trees):
+    """How many proposals of a kind, positive or not, score in a bin."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                for kind, label, start, end in _labelled(text):
+                    total[kind, label, int(trees.value.score(features(kind, text, start, end)) * BINS)] += 1
+        yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["kind", "label", "bin", "n"])
+    return count
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_examples: int = TRAIN_EXAMPLES,
         precision: float = PRECISION) -> Trees | None:
-    """Trees learned from about train_documents documents; None if these show only one class."""
-    share = min(1.0, train_documents / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = chosen.select(text_or_empty(text_col).alias("text")).mapInPandas(_examples, "kind string, label double, values array<double>, half int")
-    examples = settled(rows.coalesce(4).withColumn("features", array_to_vector("values")))
-    if examples.where("half = 0").select("label").distinct().count() < 2:
+    """Trees learned from about train_examples proposals of each kind and label, drawn from all
+    documents, with thresholds from all their proposals; None if these show only one class."""
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    examples = settled(_drawn(rows, train_examples).withColumn("features", array_to_vector("values")))
+    if examples.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=1).fit(examples.where("half = 0").select("label", "features"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=1).fit(examples.select("label", "features"))
     trees = Trees(tuple(model.treeWeights), tuple(_plain(t._call_java("rootNode")) for t in model.trees), {})
-    # The other half of a bounded sample comes to the driver.
-    rest = [(r["kind"], r["label"], trees.score(r["values"])) for r in examples.where("half = 1").select("kind", "label", "values").collect()]
-    return Trees(trees.weights, trees.roots, {kind: _threshold([(s, y) for k, y, s in rest if k == kind], precision) for kind in KINDS})
-
-
-def _threshold(scored: list[tuple[float, float]], precision: float) -> float:
-    """The least score from which on at least `precision` of the examples are positive; never under
-    one half, and out of reach without positives."""
-    best, right = 2.0, 0.0
-    ranked = sorted(scored, reverse=True)
-    for n, (score, label) in enumerate(ranked, 1):
-        right += label
-        last = n == len(ranked) or ranked[n][0] != score
-        if last and right and score >= 0.5 and right / n >= precision:
-            best = score
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    counted = rows.select("text").mapInPandas(_bins(shared), "kind string, label double, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n"))
+    # At most BINS + 1 rows of each kind and label, whatever the input's size.
+    counts: dict[str, dict[int, list[int]]] = {kind: {} for kind in KINDS}
+    for r in counted.collect():
+        counts[r["kind"]].setdefault(r["bin"], [0, 0])[int(r["label"])] += r["n"]
+    return Trees(trees.weights, trees.roots, {kind: _threshold(counts[kind], precision) for kind in KINDS})
+
+
+def _threshold(counts: dict[int, list[int]], precision: float) -> float:
+    """The least score from which on at least `precision` of all proposals (numbers of negative and
+    positive ones by bin) are positive; never under one half, and out of reach without positives."""
+    best, wrong, right = 2.0, 0, 0
+    for place in sorted(counts, reverse=True):
+        wrong, right = wrong + counts[place][0], right + counts[place][1]
+        if right and place >= BINS // 2 and right >= precision * (wrong + right):
+            best = place / BINS
     return best
 
 
@@ -233,14 +295,14 @@ def _finder(trees):
     return find
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_documents: int = TRAIN_DOCUMENTS,
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_examples: int = TRAIN_EXAMPLES,
                   precision: float = PRECISION) -> DataFrame:
     """One row per row of docs: doc_id, base (spans of the rules), spans (these and the added ones);
     a span has kind, start, end in code points, ordered by start and kind.
 
     A null text counts as empty. Rows that repeat get a row each. Other columns are not read.
     """
-    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_documents, precision))
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_examples, precision))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = rows.mapInPandas(_finder(trees), f"doc_id string, base {_SPAN}, spans {_SPAN}")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

@@ -67,5 +67,15 @@ def test_disguised_addresses_are_added_and_clean_text_is_left(spark):
     assert added_spans(clean, base_spans(clean), trees) == []
 
 
+def test_a_rare_kind_has_a_threshold_however_many_documents_lack_it(spark):
+    docs, _ = _docs(spark)
+    no_cards = docs.selectExpr("doc_id", "regexp_replace(text, '[0-9]{16}', 'none') text")
+    many = no_cards.crossJoin(spark.range(12)).selectExpr("10000 + 20 * doc_id + id doc_id", "text")
+    rare = many.unionByName(spark.createDataFrame([(1, "pay with 4111 1111 1111 1111 now")], "doc_id long, text string"))
+    trees = fit(rare)
+    assert trees.thresholds["card"] <= 1 and trees.thresholds["email"] <= 1
+    assert fit(many).thresholds["card"] > 1
+
+
 def test_no_rows(spark):
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
