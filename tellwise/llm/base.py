@@ -17,11 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach: spark.checkpoint.dir, or a
-    folder in the warehouse where that is unset."""
+    """The folder that the driver and all executors reach: spark.checkpoint.dir, or a folder in the
+    warehouse where that is unset. On a cluster a warehouse on the driver's own disk is refused."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if as_uri(warehouse).startswith("file:") and not conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return f"{warehouse}/_shared"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -39,6 +44,21 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
 
 
 def as_uri(folder: str) -> str:

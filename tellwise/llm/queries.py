@@ -14,6 +14,7 @@ from tellwise.llm.exact_dedup import exact_groups
 from tellwise.llm.line_dedup import line_decisions
 from tellwise.llm.ngram_join import similar_texts
 from tellwise.llm.pii import KINDS, personal_data
+from tellwise.llm.sharding import shard_places
 from tellwise.llm.substring_dedup import repeated_passages
 from tellwise.llm.token_store import stored_documents
 from tellwise.llm.toxicity import toxicity_scores
@@ -80,10 +81,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_decisions(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under a permutation of row numbers."""
+    places = shard_places(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return places.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
         "op9_personal_data": op9_personal_data, "op10_line_dedup": op10_line_dedup,
+        "op11_sharding": op11_sharding,
     }
