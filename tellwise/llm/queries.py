@@ -12,6 +12,7 @@ from tellwise.llm.bpe import encode_and_decode
 from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
 from tellwise.llm.line_dedup import line_decisions
+from tellwise.llm.merkle import document_manifest, verified_leaves
 from tellwise.llm.ngram_join import similar_texts
 from tellwise.llm.pii import KINDS, personal_data
 from tellwise.llm.sharding import shard_places
@@ -88,11 +89,17 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest, some of them tampered with."""
+    proved = verified_leaves(document_manifest(table(spark, sf_dir, "documents")))
+    return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
         "op9_personal_data": op9_personal_data, "op10_line_dedup": op10_line_dedup,
-        "op11_sharding": op11_sharding,
+        "op11_sharding": op11_sharding, "op12_merkle_manifest": op12_merkle_manifest,
     }
