@@ -11,6 +11,7 @@ from tellwise.llm.base import table
 from tellwise.llm.bpe import encode_and_decode
 from tellwise.llm.decontaminate import contamination
 from tellwise.llm.exact_dedup import exact_groups
+from tellwise.llm.hard_negatives import hard_negatives
 from tellwise.llm.line_dedup import line_decisions
 from tellwise.llm.merkle import document_manifest, verified_leaves
 from tellwise.llm.ngram_join import similar_texts
@@ -95,11 +96,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor and positive."""
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_substring_dedup": op6_substring_dedup, "op7_token_store": op7_token_store, "op8_arc_to_warc": op8_arc_to_warc,
         "op9_personal_data": op9_personal_data, "op10_line_dedup": op10_line_dedup,
-        "op11_sharding": op11_sharding, "op12_merkle_manifest": op12_merkle_manifest,
+        "op11_sharding": op11_sharding, "op12_merkle_manifest": op12_merkle_manifest, "op13_hard_negatives": op13_hard_negatives,
     }
