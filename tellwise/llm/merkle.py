@@ -203,12 +203,13 @@ def _node_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"group": pa.array([row["group"]] * len(paths), pa.string()), "index": pa.array(index, pa.int64()), "path": pa.array(paths, pairs)})
 
 
-def _with_paths(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _with_paths(tiers: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """The blocks of the first tier with `path`, what lies beside the way from their roots up; above
-    (group, path) has that of the groups' roots."""
+    (group, path) has that of the groups' roots, which is nothing by default."""
     lifted = None
     for tier in reversed(tiers):
-        found = tier.where("blocks = 1").join(above, "group")
+        found = tier.where("blocks = 1")
+        found = found.withColumn("path", F.array().cast(_PATH)) if above is None else found.join(above, "group")
         if lifted is not None:
             known = lifted.withColumnRenamed("index", "block")
             found = found.unionByName(tier.where("blocks > 1").join(known, ["group", "block"]))
@@ -268,9 +269,7 @@ def verified_leaves(manifest: Manifest, paths: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict(found)
 
     schema = "group string, index long, id long, subroot string, leaf string, proof_sha256 string, folded_root string" + f", path {_PATH}" * paths
-    nothing = F.array().cast(_PATH)
-    beside_heads = _with_paths(manifest.top, manifest.heads.sparkSession.range(1).select(F.lit("").alias("group"), nothing.alias("path")))
-    known = beside_heads.select("group", "block", "leaves", "blocks", "log", "path").mapInArrow(_node_paths, f"group string, index long, path {_PATH}").select("index", "path")
+    known = _with_paths(manifest.top).select("group", "block", "leaves", "blocks", "log", "path").mapInArrow(_node_paths, f"group string, index long, path {_PATH}").select("index", "path")
     above = settled(manifest.heads.join(known, "index").select("group", "subroot", "path"))
     blocks = _with_paths(manifest.tiers, above.select("group", "path")).join(above.select("group", "subroot"), "group")
     proved = blocks.mapInArrow(leaves, schema)

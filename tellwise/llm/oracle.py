@@ -51,5 +51,75 @@ FROM g
 """
 
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _levels(name: str, depth: int) -> list[str]:
+    """Tree levels over {name}0 (g, i, h), siblings of every node, and the trees' last nodes."""
+    out = []
+    for k in range(depth):
+        out.append(f"""{name}{k}_runs AS (SELECT g, i // 16 AS r, string_agg(h, '' ORDER BY i) AS t FROM {name}{k}
+            WHERE g IN (SELECT g FROM {name}{k} GROUP BY g HAVING count(*) > 1) GROUP BY g, i // 16)""")
+        out.append(f"""{name}{k}_beside AS (SELECT n.g, n.i, t[:64 * (i % 16)] AS b, t[64 * (i % 16) + 65:] AS a
+            FROM {name}{k} n JOIN {name}{k}_runs x ON n.g = x.g AND n.i // 16 = x.r)""")
+        out.append(f"{name}{k + 1} AS (SELECT g, r AS i, sha256(t) AS h FROM {name}{k}_runs)")
+    ends = " UNION ALL ".join(f"SELECT g, any_value(h) AS h FROM {name}{k} GROUP BY g HAVING count(*) = 1" for k in range(depth + 1))
+    return [*out, f"{name}_heads AS ({ends})"]
+
+
+def _climb(name: str, depth: int, source: str) -> list[str]:
+    """The rows of source (g, i, folded, proof) after the levels of a tree."""
+    out = []
+    for k in range(depth):
+        out.append(f"""{name}_up{k} AS (SELECT u.* EXCLUDE (folded, proof), CASE WHEN s.g IS NULL THEN folded ELSE sha256(b || folded || a) END AS folded,
+            proof || coalesce(b || a, '') AS proof
+            FROM {source if k == 0 else f'{name}_up{k - 1}'} u LEFT JOIN {name}{k}_beside s ON u.g = s.g AND u.i // {16 ** k} = s.i)""")
+    return out
+
+
+_FRAMED = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FRAMED.format(x=x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Trees of up to 16 ** 6 leaves, and as many as 16 ** 4 sources.
+OP12 = "WITH " + ", ".join([
+    f"""d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf('text')} AS leaf, coalesce({_CRC32.format(x="CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS changed,
+        {_leaf(_LOWERED)} AS altered FROM documents)""",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+    "n0 AS (SELECT g, i, leaf AS h FROM ranked)",
+    *_levels("n", 6),
+    "top0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM n_heads)",
+    *_levels("top", 4),
+    "leaves AS (SELECT doc_id, g, i, leaf, CASE WHEN changed THEN altered ELSE leaf END AS folded, '' AS proof FROM ranked)",
+    *_climb("n", 6, "leaves"),
+    "placed AS (SELECT g AS own, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k FROM n_heads)",
+    "mids AS (SELECT doc_id, leaf, subroot, folded, proof, '' AS g, k AS i FROM n_up5 JOIN placed ON g = own)",
+    *_climb("top", 4, "mids"),
+]) + """
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM top_up3, top_heads t
+"""
+
+OP13 = """
+WITH taken AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT DISTINCT ON (vec_id) * FROM taken ORDER BY vec_id, label, e),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda x: floor(256 * x)) AS e FROM one),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+      FROM v a JOIN v r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op6_substring_dedup": OP6, "op8_arc_to_warc": OP8}
+    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op6_substring_dedup": OP6, "op8_arc_to_warc": OP8, "op12_merkle_manifest": OP12, "op13_hard_negatives": OP13}
