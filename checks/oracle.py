@@ -24,6 +24,15 @@ def _r(x: str, digits: int) -> str:
     return f"cast(round(cast({x} as decimal(38,12)), {digits}) as double)"
 
 
+def _cents(x: str, digits: int = 2) -> str:
+    """An exact decimal, rounded once."""
+    return f"cast(round(cast({x} as decimal(38,18)), {digits}) as double)"
+
+
+def _cents_text(x: str, digits: int = 2) -> str:
+    return f"cast(cast(round(cast({x} as decimal(38,18)), {digits}) as decimal(38,{digits})) as varchar)"
+
+
 def _dec(x: str, digits: int) -> str:
     return (f"cast(cast(round(cast({x} as decimal(38,12)), {digits})"
             f" as decimal(38,{digits})) as varchar)")
@@ -111,7 +120,8 @@ def _warehouse_steps(c: Thresholds) -> dict[str, str]:
                   group by warehouse_id, time_bucket(interval '1 minute', start_time))
             group by warehouse_id""",
         "priced": f"""
-            select u.*, p.list_price from fx_usage u
+            select u.* replace (cast(u.usage_quantity as decimal(20,9)) as usage_quantity),
+                   cast(p.list_price as decimal(17,9)) as list_price from fx_usage u
             join (select *, coalesce(price_end_time, {_ts(c.as_of + timedelta(days=1))}) as till
                   from fx_list_prices where currency_code = 'USD') p
               on p.sku_name = u.sku_name and p.usage_unit = u.usage_unit
@@ -184,7 +194,7 @@ def _warehouse_steps(c: Thresholds) -> dict[str, str]:
         "wh_report": f"""
             select a.category, l.rule as selection_criteria,
                    case when a.category = 'DECOMMISSION_CANDIDATE'
-                     then 'DELETE - 0 queries / 30d, $' || {_dec('coalesce(dollars_30d, 0)', 2)} || ' burned'
+                     then 'DELETE - 0 queries / 30d, $' || {_cents_text('coalesce(dollars_30d, 0)')} || ' burned'
                      else nullif(array_to_string(list_filter([
                        nullif(array_to_string(list_filter([
                          case when rec_type <> warehouse_type
@@ -213,7 +223,7 @@ def _warehouse_steps(c: Thresholds) -> dict[str, str]:
                    {_r('p50_task_s', 1)} as p50_task_s, {_r('p95_task_s', 1)} as p95_task_s,
                    {_r('avg_queue_s', 1)} as avg_queue_s, {_r('spill_gb', 2)} as spill_gb,
                    peak_concurrent,
-                   {_r('dollars_30d', 2)} as current_cost_30d,
+                   {_cents('dollars_30d')} as current_cost_30d,
                    {_r('dollars_30d * factor', 2)} as projected_cost_30d,
                    {_r('dollars_30d * (1.0::double - factor)', 2)} as projected_cost_delta_30d,
                    {_r('100.0::double * (1.0::double - factor)', 1)} as cost_delta_pct
@@ -453,7 +463,7 @@ def _job_steps(c: Thresholds) -> dict[str, str]:
                    {_r('failure_rate_pct', 1)} as failure_rate_pct,
                    infra_failure_count, init_script_failure_count,
                    {_r('classic_dbus_30d', 1)} as classic_dbus_30d,
-                   {_r('classic_dbu_cost_30d', 2)} as classic_dbu_cost_30d,
+                   {_cents('classic_dbu_cost_30d')} as classic_dbu_cost_30d,
                    {_r('serverless_dbus_30d', 1)} as serverless_dbus_30d,
                    {_r('score_duration', 0)} as pts_duration,
                    {_r('score_frequency', 0)} as pts_frequency,

@@ -2,13 +2,14 @@
 
 from tellwise.functions.frames import ranked, settle
 from tellwise.functions.numeric import (
-    decimal_text, gigabytes, half_up, linear_score, lookup, nullif_zero,
+    AMOUNT, cents, cents_text, decimal_text, exact, gigabytes, half_up, linear_score, lookup,
+    nullif_zero,
 )
 from tellwise.functions.text import fingerprint, join_parts, rule_ladder
 from tellwise.functions.timing import epoch_seconds, instant, since
 
 __all__ = [
-    "decimal_text", "epoch_seconds", "fingerprint", "gigabytes", "half_up",
+    "AMOUNT", "cents", "cents_text", "decimal_text", "epoch_seconds", "exact", "fingerprint", "gigabytes", "half_up",
     "instant", "join_parts", "linear_score", "lookup", "nullif_zero", "ranked",
     "rule_ladder", "settle", "since",
 ]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Twelve decimals, so up to 10**26: what lies within half of 10**-12 below a rounding border
 # counts as on it, which is far beyond what floating-point sums can tell.
 _WIDE = "decimal(38,12)"
+#: Sums of products of a quantity and a price.
+AMOUNT = "decimal(38,18)"
 
 
 def half_up(value: Column, digits: int) -> Column:
@@ -21,6 +23,23 @@ def half_up(value: Column, digits: int) -> Column:
     return F.round(value.cast(_WIDE), digits).cast("double")
 
 
+def exact(value: Column, kind: str) -> Column:
+    """``value`` as the decimal type ``kind``; what doesn't fit fails the query."""
+    fitted = value.try_cast(kind)
+    refused = F.raise_error(F.concat(F.lit("no number for " + kind + ": "), value.cast("string")))
+    return F.when(fitted.isNull() & value.isNotNull(), refused.cast(kind)).otherwise(fitted)
+
+
+def cents(value: Column, digits: int = 2) -> Column:
+    """An exact amount rounded half up, once, as DOUBLE."""
+    return F.round(value.cast(AMOUNT), digits).cast("double")
+
+
+def cents_text(value: Column, digits: int = 2) -> Column:
+    """An exact amount rounded half up, once, as text with ``digits`` decimals."""
+    return F.round(value.cast(AMOUNT), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def decimal_text(value: Column, digits: int) -> Column:
     """``value`` rounded half up, as text with exactly ``digits`` decimals."""
     return F.round(value.cast(_WIDE), digits).cast(f"decimal(38,{digits})").cast("string")

@@ -1,12 +1,18 @@
-"""Pricing of billed usage through validity-interval list prices."""
+"""Pricing of billed usage through validity-interval list prices.
+
+Quantities, prices and their sums are decimals throughout, so amounts don't depend on the order in
+which partial sums meet; they are rounded once, where they are reported. A quantity has 11 digits before
+the point and a price 8, so a product fits into ``AMOUNT``; what doesn't fit fails the query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
-from tellwise.functions import instant
+from tellwise.functions import AMOUNT, exact, instant
+from tellwise.sources.contracts import QUANTITY
 from tellwise.sources.scans import job_usage, prices_in, warehouse_usage
 
 
@@ -37,7 +43,11 @@ def hourly(billed: DataFrame, *keys: str) -> DataFrame:
     """Usage summed by key, SKU, unit and end, all that a price depends on. Usage is
     metered by the hour, so this shrinks it before the price list is joined."""
     return billed.groupBy(*keys, "sku_name", "usage_unit", "usage_end_time").agg(
-        F.sum("usage_quantity").alias("usage_quantity"))
+        exact(F.sum("usage_quantity"), QUANTITY).alias("usage_quantity"))
+
+
+def _amount() -> Column:
+    return (F.col("usage_quantity") * F.col("list_price")).cast(AMOUNT)
 
 
 def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
@@ -45,7 +55,7 @@ def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> D
     billed = hourly(warehouse_usage(usage, cfg=cfg), "warehouse_id")
     return priced_usage(billed, prices, cfg=cfg).groupBy("warehouse_id").agg(
         F.sum("usage_quantity").alias("dbus_30d"),
-        F.sum(F.col("usage_quantity") * F.col("list_price")).alias("dollars_30d"))
+        F.sum(_amount()).alias("dollars_30d"))
 
 
 def job_billing(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
@@ -53,9 +63,9 @@ def job_billing(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> Data
     billed = hourly(job_usage(usage, cfg=cfg), "workspace_id", "job_id")
     quantity = F.col("usage_quantity")
     serverless = F.col("sku_name").ilike("%SERVERLESS%")
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast(QUANTITY)
     return priced_usage(billed, prices, cfg=cfg).groupBy("workspace_id", "job_id").agg(
         F.sum(F.when(serverless, zero).otherwise(quantity)).alias("classic_dbus_30d"),
         F.sum(F.when(serverless, quantity).otherwise(zero)).alias("serverless_dbus_30d"),
-        F.sum(F.when(serverless, zero).otherwise(quantity * F.col("list_price")))
+        F.sum(F.when(serverless, F.lit(0).cast(AMOUNT)).otherwise(_amount()))
          .alias("classic_dbu_cost_30d"))

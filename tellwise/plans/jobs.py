@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tellwise.config import Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, linear_score, nullif_zero, ranked, rule_ladder, settle,
+    cents, decimal_text, half_up, join_parts, linear_score, nullif_zero, ranked, rule_ladder, settle,
 )
 from tellwise.operators.latest import current_jobs
 from tellwise.operators.pricing import job_billing
@@ -127,7 +127,7 @@ def assess_jobs(scored: DataFrame, *, cfg: Thresholds) -> DataFrame:
         half_up(F.col("failure_rate_pct"), 1).alias("failure_rate_pct"),
         "infra_failure_count", "init_script_failure_count",
         half_up(F.col("classic_dbus_30d"), 1).alias("classic_dbus_30d"),
-        half_up(F.col("classic_dbu_cost_30d"), 2).alias("classic_dbu_cost_30d"),
+        cents(F.col("classic_dbu_cost_30d")).alias("classic_dbu_cost_30d"),
         half_up(F.col("serverless_dbus_30d"), 1).alias("serverless_dbus_30d"),
         *[half_up(F.col(f"score_{s}"), 0).alias(f"pts_{s}") for s in POINTS],
         top_reasons(cfg).alias("top_reasons"),

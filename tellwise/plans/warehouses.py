@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellwise.config import SIZE_LADDER, Thresholds
 from tellwise.functions import (
-    decimal_text, half_up, join_parts, lookup, nullif_zero, ranked, rule_ladder, settle,
+    AMOUNT, cents, cents_text, half_up, join_parts, lookup, nullif_zero, ranked, rule_ladder, settle,
 )
 from tellwise.operators.intervals import activity
 from tellwise.operators.latest import current_warehouses
@@ -164,7 +164,7 @@ def recommended_action(cfg: Thresholds) -> Column:
     auto_stop = F.concat(F.lit("AUTO-STOP "), F.col("auto_stop_minutes"),
                          F.lit(f"m{arrow}{cfg.auto_stop_target_minutes}m"))
     delete = F.concat(F.lit("DELETE - 0 queries / 30d, $"),
-                      decimal_text(F.coalesce("dollars_30d", F.lit(0.0)), 2), F.lit(" burned"))
+                      cents_text(F.coalesce(F.col("dollars_30d").cast(AMOUNT), F.lit(0).cast(AMOUNT))), F.lit(" burned"))
     changes = join_parts(
         " + ", migrate, resize,
         F.when(F.col("rec_max_clusters") != F.col("max_clusters"), reclusters),
@@ -202,7 +202,7 @@ def assess_warehouses(base: DataFrame, *, cfg: Thresholds) -> DataFrame:
             half_up(F.col("avg_queue_s"), 1).alias("avg_queue_s"),
             half_up(F.col("spill_gb"), 2).alias("spill_gb"),
             "peak_concurrent",
-            half_up(dollars, 2).alias("current_cost_30d"),
+            cents(dollars).alias("current_cost_30d"),
             half_up(dollars * multiplier, 2).alias("projected_cost_30d"),
             half_up(dollars * (F.lit(1.0) - multiplier), 2).alias("projected_cost_delta_30d"),
             half_up(F.lit(100.0) * (F.lit(1.0) - multiplier), 1).alias("cost_delta_pct"))

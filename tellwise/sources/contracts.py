@@ -13,15 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tellwise.functions import exact
+
 _FAMILIES: dict[str, tuple[type[T.DataType], ...]] = {
     "text": (T.StringType, T.IntegralType),
     "whole": (T.IntegralType,),
-    "number": (T.NumericType,),
+    "quantity": (T.NumericType,),
+    "price": (T.NumericType,),
     "time": (T.TimestampType, T.TimestampNTZType),
     "day": (T.DateType,),
 }
 # "time" and "day" keep the delivered type, so range filters stay pushable.
-_TARGET = {"text": "string", "whole": "bigint", "number": "double"}
+# Quantities and prices are exact numbers of nine decimals, so that sums of their products are exact
+# as well and fit into 38 digits (see operators.pricing).
+QUANTITY, PRICE = "decimal(20,9)", "decimal(17,9)"
+_TARGET = {"text": "string", "whole": "bigint", "quantity": QUANTITY, "price": PRICE}
 
 
 @dataclass(frozen=True)
@@ -57,12 +63,12 @@ CONTRACTS: dict[str, tuple[Field, ...]] = {
         billing_origin_product="text", workspace_id="text",
         warehouse_id="text@usage_metadata.warehouse_id",
         job_id="text@usage_metadata.job_id", sku_name="text", usage_unit="text",
-        usage_quantity="number", usage_start_time="time", usage_end_time="time",
+        usage_quantity="quantity", usage_start_time="time", usage_end_time="time",
     ),
     "list_prices": _fields(
         sku_name="text", usage_unit="text", currency_code="text",
         price_start_time="time", price_end_time="time",
-        list_price="number@pricing.effective_list.default",
+        list_price="price@pricing.effective_list.default",
     ),
     "jobs": _fields(
         workspace_id="text", job_id="text", job_name="text@name",
@@ -104,7 +110,9 @@ def conform(df: DataFrame, source: str) -> DataFrame:
             problems.append(f"{path} is {dtype.simpleString()}, expected {field.family}")
             continue
         column = F.col(path)
-        if field.family in _TARGET:
+        if _TARGET.get(field.family, "").startswith("decimal"):
+            column = exact(column, _TARGET[field.family])
+        elif field.family in _TARGET:
             column = column.cast(_TARGET[field.family])
         columns.append(column.alias(field.name))
     if problems:

@@ -2,22 +2,24 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tellwise import Thresholds
 from tellwise.functions import (
-    decimal_text, fingerprint, half_up, join_parts, linear_score, lookup, since,
+    cents, decimal_text, exact, fingerprint, half_up, join_parts, linear_score, lookup, since,
 )
 from tellwise.operators.intervals import (
     activity, on_time, overlap_seconds, peak_per_bucket, state_intervals,
 )
 from tellwise.operators.latest import latest
-from tellwise.operators.pricing import priced_usage
+from tellwise.operators.pricing import priced_usage, warehouse_cost
 from tellwise.operators.quantiles import summarise
 from tellwise.operators.stats import query_stats, run_stats
 from tellwise.operators.workload import table_reads, warehouse_traffic
+from tellwise.sources.contracts import conform
 
 T0 = datetime(2024, 1, 10)
 CFG = Thresholds(as_of=datetime(2024, 1, 31))
@@ -247,6 +249,31 @@ def test_price_validity(spark):
     assert got == [("border", 1.0), ("border", 2.0), ("first", 1.0), ("open", 2.0)]
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_amounts_on_half_cents_do_not_depend_on_the_layout(spark, partitions):
+    rng = random.Random(9)
+    # 1004.09 units at 0.50, as floating-point numbers whose sum is not exact.
+    parts = [round(rng.uniform(0.01, 3.0), 3) for _ in range(500)]
+    parts.append(round(1004.09 - sum(parts), 3))
+    rows = [("w", "SQL", None, None, "s", "DBU", q, T0, T0 + timedelta(hours=i % 40)) for i, q in enumerate(parts)]
+    usage = spark.createDataFrame(
+        rows, "warehouse_id string, billing_origin_product string, workspace_id string, job_id string, sku_name string,"
+        " usage_unit string, usage_quantity double, usage_start_time timestamp_ntz, usage_end_time timestamp_ntz")
+    prices = spark.createDataFrame(
+        [("s", "DBU", "USD", datetime(2020, 1, 1), None, 0.5)],
+        "sku_name string, usage_unit string, currency_code string,"
+        " price_start_time timestamp_ntz, price_end_time timestamp_ntz, list_price double")
+    got = warehouse_cost(conform(usage, "usage").repartition(partitions), conform(prices, "list_prices"), cfg=CFG)
+    row = got.select("dbus_30d", "dollars_30d", cents(F.col("dollars_30d")).alias("cents")).first()
+    assert (str(row["dbus_30d"]), row["dollars_30d"], row["cents"]) == ("1004.090000000", Decimal("502.045"), 502.05)
+
+
+def test_numbers_that_do_not_fit_are_refused(spark):
+    usage = spark.createDataFrame([(1e12,)], "q double")
+    with pytest.raises(Exception, match="no number for"):
+        usage.select(exact(F.col("q"), "decimal(20,9)")).collect()
+
+
 # percentiles and statistics
 
 @pytest.mark.parametrize("seed", range(3))
