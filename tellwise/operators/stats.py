@@ -33,8 +33,7 @@ def query_stats(queries: DataFrame) -> DataFrame:
     stats = summarise(
         by_duration, ["warehouse_id"], value="total_task_duration_ms", weight="n",
         percents={"p50_ms": 50, "p95_ms": 95},
-        totals=[F.sum("n").alias("query_count"), F.sum("queued_ms").alias("queued_ms"),
-                F.sum("spill_b").alias("spill_b")])
+        sums={"query_count": F.col("n"), "queued_ms": F.col("queued_ms"), "spill_b": F.col("spill_b")})
     return stats.select(
         "warehouse_id", "query_count",
         (F.col("p50_ms") / F.lit(1000.0)).alias("p50_task_s"),
@@ -66,15 +65,13 @@ def run_stats(job_runs: DataFrame, *, cfg: Thresholds) -> DataFrame:
     counts = ("failed_runs", "infra_failure_count", "init_script_failure_count")
     rows = summarise(
         by_duration, job, value="run_s", weight="n", percents={"p50_s": 50, "p95_s": 95},
-        totals=[(F.sum(run_s * n) / F.sum("n") / F.lit(60.0)).alias("avg_run_minutes"),
-                (F.lit(100.0) * F.sum(F.when(short, n).otherwise(0)) / F.sum("n"))
-                .alias("short_run_share_pct"),
-                *[F.sum(c).alias(c) for c in counts]])
+        sums={"rows": n, "whole_s": run_s * n, "short": F.when(short, n).otherwise(0),
+              **{c: F.col(c) for c in counts}})
     runs = (ended.where("run_id IS NOT NULL").select(*job, "run_id").distinct()
                  .groupBy(*job).agg(F.count(F.lit(1)).alias("run_count_30d")))
     return rows.join(runs, job, "left").select(
         *job, F.coalesce("run_count_30d", F.lit(0)).alias("run_count_30d"),
-        "avg_run_minutes",
+        (F.col("whole_s") / F.col("rows") / F.lit(60.0)).alias("avg_run_minutes"),
         (F.col("p50_s") / F.lit(60.0)).alias("p50_run_minutes"),
         (F.col("p95_s") / F.lit(60.0)).alias("p95_run_minutes"),
-        "short_run_share_pct", *counts)
+        (F.lit(100.0) * F.col("short") / F.col("rows")).alias("short_run_share_pct"), *counts)

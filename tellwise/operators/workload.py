@@ -137,9 +137,7 @@ def warehouse_traffic(selects: DataFrame) -> DataFrame:
     pace = summarise(
         by_duration, ["warehouse_id"], value="total_task_duration_ms", weight="n",
         percents={"p50_ms": 50, "p95_ms": 95},
-        totals=[F.sum("n").alias("n"), F.sum(ms * n).alias("ms"),
-                F.sum(F.when(ms.isNotNull(), n)).alias("timed"),
-                F.sum("read_b").alias("read_b")])
+        sums={"n": n, "ms": ms * n, "timed": F.when(ms.isNotNull(), n), "read_b": F.col("read_b")})
     users = (selects.select("warehouse_id", "executed_by").distinct()
                     .groupBy("warehouse_id").agg(F.count("executed_by").alias("users")))
     same = F.col("pace.warehouse_id").eqNullSafe(F.col("users.warehouse_id"))

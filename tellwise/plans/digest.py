@@ -10,12 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellwise.functions import decimal_text, half_up
+from tellwise.functions import decimal_text, half_up, once
 from tellwise.plans.labels import (
     BRIEFING_HEAD, BRIEFING_KPIS, BRIEFING_TITLES, DIGEST_JOBS, DIGEST_WAREHOUSES, DIGEST_WORKLOADS,
 )
 from tellwise.plans.rollups import (
-    JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE, exec_kpis, once, whole_row,
+    JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE, exec_kpis, whole_row,
 )
 
 DIGEST_TOP = 5

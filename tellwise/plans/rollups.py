@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellwise.functions import half_up
-from tellwise.functions.frames import settle
 
 # Assumed saving on job spend, months a year, what counts as a good fit.
 JOB_SAVINGS_SHARE = 0.30
@@ -45,12 +44,6 @@ def _total(column: str) -> Column:
     return F.coalesce(half_up(F.sum(column), 2), F.lit(0.0))
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` behind one shuffle of whole rows, so that all reads of it in a plan
-    share that shuffle and compute it once."""
-    return settle(df.repartition(*keys))
-
-
 def whole_row(parts: Sequence[DataFrame | None], **fallback: object) -> DataFrame:
     """The one-row relations that are there, side by side; columns that then are
     missing get their fallback."""

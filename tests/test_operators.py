@@ -1,6 +1,7 @@
 """Operators on small hand-made or random rows, checked against plain Python."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -16,7 +17,7 @@ from tellwise.operators.intervals import (
 )
 from tellwise.operators.latest import latest
 from tellwise.operators.pricing import priced_usage, warehouse_cost
-from tellwise.operators.quantiles import summarise
+from tellwise.operators.quantiles import summarise, value_block
 from tellwise.operators.stats import query_stats, run_stats
 from tellwise.operators.workload import table_reads, warehouse_traffic
 from tellwise.sources.contracts import conform
@@ -285,7 +286,7 @@ def test_percentiles_match_sorted_lists(spark, seed):
     counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     got = {r["k"]: r for r in summarise(
         counts, ["k"], value="v", weight="n", percents={"p50": 50, "p95": 95},
-        totals=[F.sum("n").alias("rows")]).collect()}
+        sums={"rows": F.col("n")}).collect()}
     for k in ("a", "b", "lonely", "void"):
         ordered = sorted(v for g, v in rows if g == k and v is not None)
         rank = lambda p: ordered[-(-p * len(ordered) // 100) - 1] if ordered else None
@@ -293,6 +294,44 @@ def test_percentiles_match_sorted_lists(spark, seed):
         assert got[k]["rows"] == sum(g == k for g, _ in rows)
 
 
+@pytest.mark.parametrize("spread", [3, 2_000, 10 ** 12])
+def test_percentiles_over_many_blocks_of_values(spark, spread):
+    rng = random.Random(spread)
+    rows = [("hot" if i % 3 else None, int(rng.expovariate(5 / spread)) - spread // 10) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["k"]: r for r in summarise(
+        counts, ["k"], value="v", weight="n", percents={"p1": 1, "p50": 50, "p95": 95, "p100": 100},
+        sums={"rows": F.col("n"), "total": F.col("n") * F.col("v")}).collect()}
+    for k in ("hot", None):
+        ordered = sorted(v for g, v in rows if g == k)
+        rank = lambda p: ordered[-(-p * len(ordered) // 100) - 1]
+        assert [got[k][f"p{p}"] for p in (1, 50, 95, 100)] == [rank(p) for p in (1, 50, 95, 100)]
+        assert (got[k]["rows"], got[k]["total"]) == (len(ordered), sum(ordered))
+
+
+def test_blocks_of_values_keep_the_order(spark):
+    values = sorted({s * (2 ** i + d) for i in range(62) for d in (-1, 0, 1) for s in (-1, 1)})
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    blocks = [r["b"] for r in df.select("v", value_block(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert blocks == sorted(blocks)
+
+
+def test_no_task_gets_all_the_durations_of_a_warehouse(spark):
+    """One warehouse with all queries: nothing is windowed over it alone but rows for blocks of values."""
+    df = spark.range(40_000).selectExpr(
+        "'w' as warehouse_id", "(id * 7919) % 1000003 as total_task_duration_ms",
+        "0L as waiting_for_compute_duration_ms", "0L as waiting_at_capacity_duration_ms", "0L as spilled_local_bytes")
+    stats = query_stats(df)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    over = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", plan)
+    assert over and all("_block" in keys or "_block" in order or not order for keys, order in over)
+    assert plan.count("Exchange hashpartitioning(warehouse_id") - plan.count("ReusedExchange") <= 4
+    dealt = df.select("warehouse_id", value_block(F.col("total_task_duration_ms")).alias("b")).groupBy("b").count()
+    assert dealt.count() > 200 and dealt.agg(F.max("count")).first()[0] < 0.05 * 40_000
+    assert stats.first()["query_count"] == 40_000
+
+
 def test_query_stats_treats_missing_waits_as_zero(spark):
     rows = [("w", 1000, None, None, 0), ("w", 3000, 4000, None, 2 ** 30), ("w", 5000, None, 2000, None)]
     df = spark.createDataFrame(
