@@ -1,4 +1,5 @@
-"""Pages to ARC archives, ARC archives to WARC, WARC back to rows: one file for each task.
+"""Pages to ARC archives, ARC archives to WARC, WARC back to rows: one file for each task. Rows that
+only name a file are dealt out by number, as Spark would put them all into one task for their size.
 
 Files get a name of their own for each attempt of a task, and the rows that name them come from the
 attempt that counted; so a task that runs twice does no harm.
@@ -85,6 +86,10 @@ def _warc_writer(folder: str):
     return write
 
 
+def _files(files: DataFrame) -> int:
+    return max(1, files.count())
+
+
 def convert_arc(arcs: DataFrame, folder: str, least_revisit_bytes: int = 0) -> DataFrame:
     """Converts ARC files (rows file, archive; in folder) to WARC files in folder; one row for each
     file: file, records.
@@ -94,7 +99,8 @@ def convert_arc(arcs: DataFrame, folder: str, least_revisit_bytes: int = 0) -> D
     fewer than least_revisit_bytes are all responses.
     """
     schema = "file string, archive string, offset long, page_id string, bytes long, sha256 string, id string, url string, date string"
-    records = settled(arcs.select("file", "archive").mapInPandas(_arc_reader(folder), schema))
+    n = _files(arcs)
+    records = settled(arcs.select("file", "archive").repartition(n).mapInPandas(_arc_reader(folder), schema))
     number = F.col("page_id").try_cast("decimal(38,0)")
     rank = F.struct(F.col("page_id").isNull(), number, "page_id", "archive", "offset", F.col("id"), "url", "date")
     large = F.col("bytes") >= least_revisit_bytes
@@ -102,7 +108,7 @@ def convert_arc(arcs: DataFrame, folder: str, least_revisit_bytes: int = 0) -> D
              .select("sha256", "bytes", F.col("r.id").alias("o_id"), F.col("r.url").alias("o_url"), F.col("r.date").alias("o_date")))
     decided = records.join(first, ["sha256", "bytes"], "left")
     shown = [F.when(F.col("o_id") != F.col("id"), F.col(c)).alias(c) for c in ("o_id", "o_url", "o_date")]
-    return settled(decided.select("file", "archive", "offset", *shown).groupBy("file")
+    return settled(decided.select("file", "archive", "offset", *shown).repartitionByRange(n, "file").groupBy("file")
                    .applyInPandas(_warc_writer(folder), "file string, records long"))
 
 
@@ -128,7 +134,7 @@ def read_warc(warcs: DataFrame, folder: str) -> DataFrame:
     """One row for each response, revisit or resource record of the files (rows file; in folder):
     page_id, type, id, url, date, payload_bytes, payload_digest, refers_to_id."""
     schema = "page_id string, type string, id string, url string, date string, payload_bytes long, payload_digest string, refers_to_id string"
-    return warcs.select("file").mapInPandas(_warc_reader(folder), schema)
+    return warcs.select("file").repartition(_files(warcs)).mapInPandas(_warc_reader(folder), schema)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -144,11 +150,11 @@ def archived_pages(pages: DataFrame, folder: str | None = None, version: int | N
 
     A null html is empty, a null url becomes "-", a null page_id stays null. Rows that repeat are
     records of their own; one of them is the response. Blanks and control characters of addresses
-    are percent-encoded in the archives. Other columns are not read.
+    are percent-encoded in the archives. Other columns are not read; an empty table gives no rows.
     """
     folder = folder or new_folder(pages.sparkSession, "archives")
     warcs = convert_arc(write_arc(pages, folder, version), folder, least_revisit_bytes)
-    records = read_warc(warcs, folder)
+    records = settled(read_warc(warcs, folder))
     kind = pages.schema["page_id"].dataType
     response = records.where("type = 'response'").select(F.col("id").alias("refers_to_id"), F.col("page_id").cast(kind).alias("refers_to"))
     return records.join(response, "refers_to_id", "left").select(

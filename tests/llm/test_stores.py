@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tellwise.llm import archives as a
 from tellwise.llm.token_store import Encoder, PerfectHash, _digests, documents_of, stored_documents, write_store
-from tellwise.llm.warc import archived_pages
+from tellwise.llm.warc import archived_pages, convert_arc, new_folder, read_warc, write_arc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -106,3 +106,20 @@ def test_pages_come_back(spark, least):
     got = [tuple(r) for r in archived_pages(pages, least_revisit_bytes=least).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert archived_pages(pages.limit(0)).count() == 0
+
+
+def test_files_are_dealt_over_tasks_and_responses_are_not_forced_to_the_driver(spark):
+    pages = spark.range(400).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(cast(id % 90 as string), 50) as html").repartition(12)
+    folder = new_folder(spark, "archives")
+    arcs = write_arc(pages, folder)
+    warcs = convert_arc(arcs, folder)
+    assert arcs.count() == warcs.count() == 12
+    read = read_warc(warcs, folder)
+    assert read.rdd.getNumPartitions() == 12 and read.count() == 400
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        plan = archived_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Broadcast" not in plan and "MapInPandas" not in plan
