@@ -17,7 +17,15 @@ from tellwise.config import SIZE_LADDER
 from tellwise.plans.labels import (
     CHECKLIST_BLOCKER, CHECKLIST_GENERIC, WAREHOUSE_RULES, WORKLOAD_RULES,
 )
+from tellwise.plans.jobs import COLUMNS as JOB_COLUMNS
 from tellwise.plans.rollups import JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE
+from tellwise.plans.warehouses import COLUMNS as WAREHOUSE_COLUMNS
+
+WORKLOAD_COLUMNS = (
+    "category", "selection_criteria", "recommended_action", "target_or_sample", "target", "query_sample",
+    "exec_count", "total_compute_s", "compute_hours", "avg_compute_s", "avg_spill_gb", "pruning_pct",
+    "total_read_gb",
+)
 
 
 def _r(x: str, digits: int) -> str:
@@ -547,17 +555,21 @@ def _cross_steps(c: Thresholds) -> dict[str, str]:
             union all
             select 'query_table', category, ifnull(target, substr(query_sample, 1, 60) || '...'),
                    0.0::double, recommended_action from qt"""
+    def shown(n: str) -> str:
+        number = f"cast(cast(round(try_cast({n} as decimal(38,12)), 2) as decimal(38,2)) as varchar)"
+        return f"case when typeof({n}) = 'DOUBLE' then {number} else {_s(n)} end"
+
     titles = {"wh_md": "Warehouse recommendations", "qt_md": "Query/table optimizations",
               "jb_md": "Jobs -> serverless"}
     for name, (source, columns, order) in {
-        "wh_md": ("wh", WAREHOUSE_TABLE, "effective_savings_30d desc nulls last, warehouse_id"),
-        "qt_md": ("qt", WORKLOAD_TABLE,
+        "wh_md": ("wh", WAREHOUSE_COLUMNS, "effective_savings_30d desc nulls last, warehouse_id"),
+        "qt_md": ("qt", WORKLOAD_COLUMNS,
                   "total_compute_s desc nulls last, category, target_or_sample, recommended_action"),
-        "jb_md": ("jb", JOB_TABLE, "fit_score desc, workspace_id, job_id"),
+        "jb_md": ("jb", JOB_COLUMNS, "fit_score desc, workspace_id, job_id"),
     }.items():
         names = [*columns, "confidence"]
         row = " || ' | ' || ".join(
-            f"replace(regexp_replace(ifnull({_s(n)}, ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')" for n in names)
+            f"replace(regexp_replace(ifnull({shown(n)}, ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')" for n in names)
         head = "| " + " | ".join(names) + " |"
         steps[name] = f"""
             select case when count(*) > 0 then '## {titles[name]}' || chr(10)

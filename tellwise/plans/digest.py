@@ -9,14 +9,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tellwise.functions import decimal_text, half_up, once
 from tellwise.plans.labels import (
     BRIEFING_HEAD, BRIEFING_KPIS, BRIEFING_TITLES, DIGEST_JOBS, DIGEST_WAREHOUSES, DIGEST_WORKLOADS,
 )
-from tellwise.plans.rollups import (
-    JOB_TABLE, WAREHOUSE_TABLE, WORKLOAD_TABLE, exec_kpis, whole_row,
-)
+from tellwise.plans.rollups import exec_kpis, whole_row
 
 DIGEST_TOP = 5
 BRIEFING_TOP = 10
@@ -93,12 +92,17 @@ def digest_payload(warehouses: DataFrame | None, workloads: DataFrame | None,
     return whole_row(parts).select(F.concat_ws("\n", *figures, *sections).alias("body"))
 
 
-def _markdown(findings: DataFrame, columns: Sequence[str], order: Sequence[tuple[str, bool]],
+def _markdown(findings: DataFrame, order: Sequence[tuple[str, bool]],
               n: int, name: str, title: str) -> DataFrame:
-    """One row with a titled Markdown table of the n leading findings, NULL without any.
-    Bars are escaped and line breaks become blanks, so a cell stays a cell."""
+    """One row with a titled Markdown table of the n leading findings and all their columns,
+    NULL without any. Bars are escaped and line breaks become blanks, so a cell stays a cell;
+    fractional numbers have two decimals."""
+    columns = findings.columns
+
     def cell(column: str) -> Column:
-        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        fraction = isinstance(findings.schema[column].dataType, T.FractionalType)
+        text = decimal_text(F.col(column), 2) if fraction else F.col(column).cast("string")
+        text = F.coalesce(text, F.lit(""))
         return F.replace(F.regexp_replace(text, r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
 
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
@@ -117,16 +121,16 @@ def briefing_text(warehouses: DataFrame | None, workloads: DataFrame | None,
         return F.format_number(half_up(F.col(column), 0).cast("bigint"), 0)
 
     sets = {
-        "wh_lines": (warehouses, ("category",), WAREHOUSE_TABLE, BRIEFING_TITLES[0],
+        "wh_lines": (warehouses, ("category",), BRIEFING_TITLES[0],
                      [("effective_savings_30d", True), ("warehouse_id", False)]),
-        "qt_lines": (workloads, ("category",), WORKLOAD_TABLE, BRIEFING_TITLES[1],
+        "qt_lines": (workloads, ("category",), BRIEFING_TITLES[1],
                      [("total_compute_s", True), ("category", False), ("target_or_sample", False),
                       ("recommended_action", False)]),
-        "jb_lines": (jobs, ("job_id",), JOB_TABLE, BRIEFING_TITLES[2],
+        "jb_lines": (jobs, ("job_id",), BRIEFING_TITLES[2],
                      [("fit_score", True), ("workspace_id", False), ("job_id", False)]),
     }
     held = {name: once(df, *keys) for name, (df, keys, *_) in sets.items() if df is not None}
-    tables = [_markdown(df, [*sets[name][2], "confidence"], sets[name][4], n, name, sets[name][3])
+    tables = [_markdown(df, sets[name][3], n, name, sets[name][2])
               for name, df in held.items()]
     row = whole_row([exec_kpis(*(held.get(name) for name in sets)), *tables])
     kpis = F.concat_ws(

@@ -366,6 +366,14 @@ def test_reports_over_a_part_of_the_sets(sets):
         exec_kpis(None, None, None)
 
 
+def test_a_briefing_has_all_columns_of_its_sets(sets):
+    for place, (_, df) in enumerate(sets.items()):
+        parts = [None, None, None]
+        parts[place] = df
+        text = briefing_text(*parts).first()["briefing"]
+        assert f"| {' | '.join(df.columns)} |" in text
+
+
 def test_table_cells_stay_cells(sets):
     odd = sets.warehouse.withColumn("warehouse_name", F.lit("a|b\nc"))
     text = briefing_text(odd, None, None).first()["briefing"]
