@@ -765,6 +765,8 @@ def statements() -> dict[str, str]:
         "wh_confidence": s(f"select warehouse_id, category, confidence, {_CONFIDENCE_LABEL} from wh"),
         "qt_confidence": s(f"""select category, target_or_sample, exec_count, total_compute_s,
             confidence, {_CONFIDENCE_LABEL} from qt"""),
+        "stored_findings": s(f"""select workspace_id, job_id, fit_score, classic_dbu_cost_30d, confidence,
+            {_CONFIDENCE_LABEL} from jb"""),
         "jb_confidence": s(f"select workspace_id, job_id, confidence, {_CONFIDENCE_LABEL} from jb"),
         "picked_findings": s("""
             select 'warehouse' as source, category as label, warehouse_id as item from wh

@@ -23,6 +23,7 @@ from tellwise.plans import jobs, rollups, warehouses, workloads
 from tellwise.plans.actions import consolidated_actions, top_actions
 from tellwise.plans.confidence import confidence_label, pick
 from tellwise.plans.digest import briefing_text, digest_payload
+from tellwise.plans.store import ResultStore
 from tellwise.sources import scans
 from tellwise.sources.scans import endpoint_queries, finished_selects, state_log
 
@@ -229,6 +230,12 @@ _REPORTS: dict[str, tuple[Thresholds, tuple[str, ...], Callable[[Recommendations
 }
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job findings, read back from the result store."""
+    found = ResultStore(spark).get(telemetry(spark, sf_dir), cfg=DEFAULT, selected=_ALL[2:])
+    return _labelled(found.jobs, *jobs.JOB_KEY, "fit_score", "classic_dbu_cost_30d")
+
+
 def registered() -> dict[str, Query]:
     """Query name -> function of (session, folder of the test tables)."""
     def operator(build: Callable[[Telemetry], DataFrame]) -> Query:
@@ -239,6 +246,6 @@ def registered() -> dict[str, Query]:
         return lambda spark, sf_dir: build(
             recommend(telemetry(spark, sf_dir), cfg=cfg, selected=selected))
 
-    return {"text_fingerprints": _text_fingerprints,
+    return {"text_fingerprints": _text_fingerprints, "stored_findings": _stored,
             **{name: operator(b) for name, b in _OPERATORS.items()},
             **{name: report(*spec) for name, spec in _REPORTS.items()}}

@@ -14,6 +14,7 @@ from tellwise.plans import workloads as workload_plan
 from tellwise.plans.confidence import (
     executive_filter, job_confidence, warehouse_confidence, workload_confidence,
 )
+from tellwise.sources.folders import shared_folder
 from tellwise.sources.telemetry import Telemetry
 
 CHOICES = ("warehouse", "query_table", "jobs")
@@ -54,12 +55,10 @@ class Recommendations:
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Make the session's checkpoint folder effective: ``spark.checkpoint.dir``, or a
-    folder in the warehouse, which is shared as well, where that is unset."""
+    """Make the session's checkpoint folder effective, see ``shared_folder``."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def check_selection(selected: Collection[str]) -> list[str]:
