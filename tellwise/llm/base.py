@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import time
 import uuid
 
 from pyarrow import fs
@@ -29,16 +31,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_shared"
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, release: bool = False, packed: bool = False) -> DataFrame:
     """df computed once and kept as a Parquet table in the shared folder. Its lineage ends
     there, so a lost executor costs a read; so does what the optimizer has inferred about its
-    columns, which in a loop would grow from turn to turn."""
+    columns, which in a loop would grow from turn to turn. release lets go of the shuffle files that
+    led to it at once: Spark deletes them when the driver's garbage is collected, which may be long
+    after a large step. packed is for large texts."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd" if packed else "snappy").parquet(folder)
+    for _ in range(2 * release):  # what the first collection frees holds the files for the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a settled table that nothing will read again."""
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    if files and "/tables/" in files[0]:
+        folder = jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column, F.lit(""))

@@ -1,30 +1,52 @@
 """Near-duplicate lines, with DataFrame operations only.
 
-Lines are compared in lower case and without outer blanks. Equal lines meet by a 64-bit hash. Of each
-different line, all character shingles are hashed once; a MinHash value is the least xxhash64 of
-(hash XOR constant), one for each constant; three values make a band, and lines that agree on a band
-are candidates. With XOR alone, constants that share leading bits choose the same shingle, and the
-values would not be independent. Candidates are verified by the exact Jaccard coefficient of their shingle sets. Verified
-pairs are edges, components are classes, and of each class the first line in order of (doc_id,
-position) stays.
-
-Pairs are not formed within a band's group at large. A group's members are first compared with one of
-them; after that the remaining pairs are compared only where members are in different components
-still. Pairs inside one component can't change it.
+Lines are compared in lower case and without outer blanks, as sets of character shingles. Equal lines
+meet by hash. Of each different line a signature of 6 x 9 MinHash values is computed, each value the
+least hash of its own hash function: a shingle is hashed once and dealt to one of six groups by that
+hash, which takes nine values of it. So a signature costs nine values a shingle and not 54, and a value
+still agrees with the chance of the coefficient, as a group is a random part of the union of two sets.
+Groups of small sets would be nearly alike in all nine values; lines with few shingles therefore put
+every shingle into each of six other groups. Lines of a middle size have both signatures, so that
+lines that are similar share a kind; so have long lines that repeat few shingles, which their values
+give away.
+
+Three values of different groups make a band, no two bands from the same three groups. Lines that
+agree on a band are candidates. Pairs of candidates are first held against each other by two bits of
+each value, so that texts are read only for pairs that may reach the similarity, and then verified by
+the exact Jaccard coefficient of their shingle sets. Verified pairs are edges, components are classes, and
+of each class the first line in order of (doc_id, position) stays.
+
+Pairs are not formed within a band's group at large. In rounds, a group's members are compared with one of
+them that is not in their component yet, and components are contracted; the members of groups that still
+fall apart are then dealt into chunks, and chunks are compared with chunks, members of one component
+left out. Pairs inside one component can't change it.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellwise.llm.base import settled, text_or_empty
+from tellwise.llm.base import discard, fresh, quoted, settled, text_or_empty
 from tellwise.llm.components import components, merged
 
 SHINGLE = 7
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 18, 3
-_STRIDE, _PART, _LONG_PART = 4, 128, 4096
+GROUPS, VALUES = 6, 9
+#: Groups of each band: all threes but two that share none, so each group is in nine bands.
+BANDS = [t for t in itertools.combinations(range(GROUPS), 3) if t not in ((0, 1, 2), (3, 4, 5))]
+#: Lines with fewer shingles have the signature for small sets, those with more than FEW the other one.
+SMALL, FEW = 60, 40
+#: A line whose estimated number of different shingles is below this is small, however long.
+REPETITIVE = 50
+#: Differing values (of 54, by two bits each) up to which a pair is verified: a pair at 0.8 has 8.1 on
+#: average and more than 22 with a chance of one in a million.
+DIFFERING = 22
+#: Members of a chunk; longs of a line's bitmap; ids that may be broadcast to find their lines (8 MB).
+CHUNK, WORDS, LOOKUP = 256, 32, 1 << 20
+_PART, _LONG_PART = 64, 4096
 
 
 def _constants(n: int) -> list[int]:
@@ -41,9 +63,20 @@ def normalised(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, pos, line, norm) of every line that isn't blank."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
-    return cut.select("doc_id", "text_hash", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
+    """(doc_id, text_hash, pos, norm, id, check) of every line that isn't blank."""
+    cut = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_hash"), F.posexplode(F.split(text_or_empty(quoted(text_col)), "\n")).alias("pos", "line"))
+    lines = cut.select("doc_id", "text_hash", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    return lines.withColumn("id", F.xxhash64("norm")).withColumn("check", F.xxhash64(F.lit(1), "norm"))
+
+
+def told_apart(lines: DataFrame) -> DataFrame:
+    """lines, different ones with different ids: the ids that two lines share (a few in 10 ** 11
+    lines, normally none) are replaced by hashes of both of a line's hashes."""
+    shared = settled(lines.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select(F.col("id").alias("twin")))
+    if shared.isEmpty():
+        return lines
+    own = F.when(F.col("twin").isNull(), F.col("id")).otherwise(F.xxhash64("id", "check"))
+    return lines.join(shared, F.col("id") == F.col("twin"), "left").withColumn("id", own).drop("twin")
 
 
 def _shingle(encoded: Column, at: Column, size: int) -> Column:
@@ -64,73 +97,185 @@ def _shingles(norm: str, size: int) -> Column:
     return F.array_distinct(F.flatten(hashed))
 
 
-def candidates(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, norm, keys) of the different lines that share a band with another; keys are the
-    bands they share. Lines whose hash another line has too are no candidates."""
-    different = (lines.groupBy("id").agg(F.any_value("norm").alias("norm"), F.min(F.hash("norm")).alias("low"), F.max(F.hash("norm")).alias("high"))
-                 .where("low = high").select("id", "norm"))
-    encoded = different.where(F.length("norm") >= shingle + 3).select("id", F.encode("norm", "UTF-16BE").alias("encoded"))  # sets of fewer can't differ and reach 0.8
-    # A row for each part of a line, then for every few shingles of a part: a row's line is copied
-    # whenever it is read, and the sums by line cost more than the hashes.
-    starts = F.sequence(F.lit(0), _n_shingles(F.col("encoded"), shingle) - 1, F.lit(_PART))
-    parts = (encoded.select("id", "encoded", F.explode(starts).alias("start"))
-             .select("id", F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
-    last = F.col("n") - 1
-    rows = (parts.withColumn("n", _n_shingles(F.col("part"), shingle))
-            .select("id", "part", "n", F.explode(F.sequence(F.lit(0), last, F.lit(_STRIDE))).alias("at"))
-            .select("id", *(_shingle(F.col("part"), F.least(F.col("at") + j, last), shingle).alias(f"h{j}") for j in range(_STRIDE))))
-    least = [F.min(F.least(*(F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(c))) for j in range(_STRIDE)))).alias(f"m{i}") for i, c in enumerate(_constants(bands * band_rows))]
-    signed = rows.groupBy("id").agg(*least)
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * band_rows + r}" for r in range(band_rows))) for b in range(bands)))
+def _different(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("id").agg(F.any_value("norm").alias("norm"))
+
+
+def signatures(different: DataFrame, shingle: int = SHINGLE, small: int = SMALL, few: int = FEW) -> DataFrame:
+    """(id, kind, keys, low, high, shingles): kind 0 for lines of at least `few` shingles, 1 for those of
+    fewer than `small`; the keys of the bands (the last bit is the kind), two bits of each value in two
+    longs, and in kind 0 an estimate of the number of different shingles. Lines shorter than a
+    shingle are like no other line and have no row."""
+    encoded = different.select("id", F.encode("norm", "UTF-16BE").alias("encoded")).where(F.length("encoded") >= 2 * shingle)
+    n = _n_shingles(F.col("encoded"), shingle)
+    each = [F.lit(k) for k in range(1, GROUPS + 1)]
+    copies = F.when(n >= small, F.array(F.lit(0))).when(n >= few, F.array(F.lit(0), *each)).otherwise(F.array(*each))
+    # A row for each part of a line, then for every shingle of a part: a row's line is copied whenever
+    # it is read.
+    parts = (encoded.select("id", "encoded", copies.alias("copies"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(_PART))).alias("start"))
+             .select("id", F.explode("copies").alias("copy"), F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
+    rows = (parts.select("id", "copy", "part", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("part"), shingle) - 1)).alias("at"))
+            .select("id", "copy", _shingle(F.col("part"), F.col("at"), shingle).alias("hashed")))
+    slot = F.when(F.col("copy") == 0, F.pmod("hashed", F.lit(GROUPS))).otherwise(F.col("copy") + (GROUPS - 1)).cast("int")
+    dealt = rows.select("id", slot.alias("slot"), "hashed").select("id", "slot", F.xxhash64("hashed", "slot").alias("hashed"))
+    least = dealt.groupBy("id", "slot").agg(*(F.min(F.xxhash64(F.col("hashed").bitwiseXOR(F.lit(c)))).alias(f"m{j}") for j, c in enumerate(_constants(VALUES))))
+    group = F.col("slot") % GROUPS
+    kind = F.when(F.col("slot") < GROUPS, F.lit(0)).otherwise(F.lit(1)).alias("kind")
+    whole = least.groupBy("id", kind).agg(*(F.min(F.when(group == g, F.col(f"m{j}"))).alias(f"v{g}_{j}") for g in range(GROUPS) for j in range(VALUES)))
+    used, keys = [0] * GROUPS, []
+    for b, band in enumerate(BANDS):
+        values = [F.col(f"v{g}_{used[g]}") for g in band]
+        for g in band:
+            used[g] += 1
+        key = F.xxhash64(F.lit(b), *values).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind").cast("long"))
+        keys.append(F.when(values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull(), key))
+    names = [f"v{g}_{j}" for g in range(GROUPS) for j in range(VALUES)]
+
+    def bits(part: list[str]) -> Column:
+        out = F.lit(0).cast("long")
+        for k, name in enumerate(part):
+            out = out.bitwiseOR(F.shiftleft(F.coalesce(F.col(name), F.lit(0)).bitwiseAND(F.lit(3)).cast("long"), 2 * k))
+        return out
+
+    # The sum of a group's least values, as parts of the whole range, tells its number of shingles.
+    def counted(g: int) -> Column:
+        total = sum((F.col(f"v{g}_{j}").cast("double") / 2.0 ** 64 + 0.5 for j in range(VALUES)), F.lit(0.0))
+        return F.coalesce((VALUES - 1) / total, F.lit(0.0))
+
+    estimate = sum((counted(g) for g in range(GROUPS)), F.lit(0.0))
+    half = len(names) // 2
+    return whole.select("id", "kind", F.array_compact(F.array(*keys)).alias("keys"), bits(names[:half]).alias("low"), bits(names[half:]).alias("high"), estimate.alias("shingles"))
+
+
+def candidates(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(key, id, low, high) of the lines that share a band with another, in Parquet."""
+    signed = [settled(signatures(_different(lines), shingle), release=True)]
+    # Long lines of few different shingles get the signature for small sets as well.
+    small = signed[0].where("kind = 1").select("id")
+    again = settled(signed[0].where((F.col("kind") == 0) & (F.col("shingles") < REPETITIVE)).join(small, "id", "left_anti").select("id"))
+    if not again.isEmpty():
+        signed.append(settled(signatures(_different(_among(lines, again)), shingle, 1 << 30, 1 << 30)))
+    both = signed[0].unionByName(signed[-1]) if len(signed) > 1 else signed[0]
     # One exchange serves both the look for shared keys and their members.
     partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = signed.select("id", F.explode(keys).alias("key")).repartition(partitions, "key")
-    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = banded.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    return different.join(members, "id").select("id", "norm", "keys")
+    banded = both.select("id", F.explode("keys").alias("key")).repartition(partitions, "key")
+    shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
+    members = settled(banded.join(shared.hint("shuffle_hash"), "key"), release=True)
+    bits = both.select("id", F.col("kind").cast("long").alias("kind"), "low", "high")
+    found = settled(members.withColumn("kind", F.col("key").bitwiseAND(F.lit(1))).join(bits, ["id", "kind"]).select("key", "id", "low", "high"), release=True)
+    for table in (*signed, members):
+        discard(table)
+    return found
+
+
+def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """lines with one of the (settled, different) ids. These are broadcast if they are few."""
+    return lines.join(F.broadcast(ids) if ids.count() <= LOOKUP else ids, "id", "left_semi")
+
+
+def _alike(a_low: str, a_high: str, b_low: str, b_high: str) -> Column:
+    """May two signatures of one kind belong to lines of the similarity?"""
+    def differing(x: str, y: str) -> Column:
+        bits = F.col(x).bitwiseXOR(F.col(y))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return differing(a_low, b_low) + differing(a_high, b_high) <= DIFFERING
 
 
-def _verified(pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines have at least the similarity."""
-    a = found.select(F.col("id").alias("a"), F.col("norm").alias("a_line"))
-    b = found.select(F.col("id").alias("b"), F.col("norm").alias("b_line"))
-    sets = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("a_line", shingle).alias("x"), _shingles("b_line", shingle).alias("y"))
+def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, words): the number of a line's shingles, and a bitmap that has a bit for each by its hash."""
+    encoded = texts.select("id", F.encode("norm", "UTF-16BE").alias("encoded"))
+    parts = (encoded.select("id", "encoded", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("encoded"), shingle) - 1, F.lit(_PART))).alias("start"))
+             .select("id", F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
+    rows = (parts.select("id", "part", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("part"), shingle) - 1)).alias("at"))
+            .select("id", _shingle(F.col("part"), F.col("at"), shingle).alias("hashed")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hashed").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("hashed", 6).bitwiseAND(F.lit(WORDS - 1))
+    rows = rows.select("id", bit.alias("bit"), word.alias("word"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+    return rows.groupBy("id").agg(F.count("*").alias("n"), *words)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b; settled) whose lines have at least the similarity.
+
+    A bit that one line's bitmap has and the other's lacks stands for a shingle of one line only, so
+    pairs with too many of those can't reach the similarity: with D shingles that are in one of two
+    sets, the coefficient is (|A| + |B| - D) / (|A| + |B| + D). The sets themselves are compared for the
+    others."""
+    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = settled(_different(_among(lines, ids)), packed=True)
+    maps = settled(_bitmaps(texts, shingle))
+
+    def side(name: str) -> DataFrame:
+        return maps.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(f"w{k}").alias(f"{name}{k}") for k in range(WORDS)))
+
+    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select("a", "b")
+    a = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_line"))
+    b = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_line"))
+    sets = near.join(a, "a").join(b, "b").select("a", "b", _shingles("a_line", shingle).alias("x"), _shingles("b_line", shingle).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = settled(sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), release=True)
+    for table in (ids, texts, maps):
+        discard(table)
+    return found
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, root) of the lines that are in a class with a different line."""
-    found = settled(candidates(lines, shingle, bands, band_rows))
-    members = found.select("id", F.explode("keys").alias("key"))
-    center = members.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = members.join(center, "key").select("a", F.col("id").alias("b"))
-    edges = settled(_verified(_distinct(pairs), found, shingle, similarity))
-    classes = settled(components(edges))
+def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with root, those of the groups that are in more than one component."""
     known = members.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = known.join(split, "key")
-    a = rest.select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
-    b = rest.select("key", F.col("id").alias("b"), F.col("root").alias("b_root"))
-    pairs = a.join(b, "key").where("a_root < b_root").select("a", "b")
-    return merged(classes, settled(_verified(_distinct(pairs), found, shingle, similarity)))
+    split = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return known.join(split, "key")
+
+
+def _with_center(members: DataFrame) -> DataFrame:
+    """Pairs of each group's members with one of them that may be similar."""
+    center = members.groupBy("key").agg(F.min(F.struct("id", "low", "high")).alias("center"))
+    pairs = members.join(center, "key").select("id", "low", "high", F.col("center.id").alias("c_id"), F.col("center.low").alias("c_low"), F.col("center.high").alias("c_high"))
+    return _distinct(pairs.where(_alike("low", "high", "c_low", "c_high")).select(F.col("id").alias("a"), F.col("c_id").alias("b")))
+
+
+def _by_chunks(members: DataFrame) -> DataFrame:
+    """All pairs of members of a group, in different components, that may be similar. Groups are dealt into
+    chunks of about CHUNK members; a cell (key, l, r) compares two chunks."""
+    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = members.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    left = dealt.select("key", F.col("chunk").alias("l"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("r"),
+                        F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("l"), F.col("chunk").alias("r"),
+                         F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    same = (left["key"] == right["key"]) & (left["l"] == right["l"]) & (left["r"] == right["r"])
+    wanted = (F.col("a_root") != F.col("b_root")) & ((left["l"] < right["r"]) | (F.col("a") < F.col("b"))) & _alike("a_low", "a_high", "b_low", "b_high")
+    return _distinct(left.join(right, same & wanted).select("a", "b"))
+
+
+def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of the lines that are in a class with a different line."""
+    members = candidates(lines, shingle)
+    centered = settled(_with_center(members))
+    classes = settled(components(_verified(centered, lines, shingle, similarity)))
+    apart = settled(_apart(members, classes), release=True)
+    rest = settled(_by_chunks(apart).join(centered, ["a", "b"], "left_anti"), release=True)
+    return merged(classes, _verified(rest, lines, shingle, similarity))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of the lines that go, for documents with any."""
-    lines = _lines(docs, id_col, text_col)
+    lines = told_apart(settled(_lines(docs, id_col, text_col), packed=True))
     classes = line_classes(lines, **how)
-    places = settled(lines.select("id", F.hash("norm").alias("check"), "doc_id", "text_hash", "pos"))
+    places = lines.select("id", "doc_id", "text_hash", "pos")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "pos")
-    first = places.groupBy("id", "check").agg(F.min(place).alias("first"))
+    first = places.groupBy("id").agg(F.min(place).alias("first"))
     classed = first.join(classes, "id", "left")
     heads = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
-    keep = classed.join(heads, "root", "left").select("id", "check", F.coalesce("head", "first").alias("head"))
-    gone = places.join(keep, ["id", "check"]).where(place != F.col("head"))
+    keep = classed.join(heads, "root", "left").select("id", F.coalesce("head", "first").alias("head"))
+    gone = places.join(keep, "id").where(place != F.col("head"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
@@ -140,10 +285,12 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines end at line feeds; a null text is one blank line. Blank lines always stay. Rows that
     repeat whole (id and text) are judged as one, so each keeps the lines that one of them would.
-    A null doc_id comes last in order. Other columns are not read.
+    A null doc_id comes last in order. Other columns are not read; an empty table gives no rows.
     """
     gone = removed_lines(docs, id_col, text_col, **how)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.size(F.split(text_or_empty(text_col), "\n")).cast("long").alias("n_lines"))
+    text = text_or_empty(quoted(text_col))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    rows = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_hash"), n_lines.alias("n_lines"))
     same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_hash"] == gone["text_hash"])
     removed = F.coalesce(gone["removed"], F.array().cast("array<int>"))
     return rows.join(gone, same, "left").select(rows["doc_id"], "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
@@ -151,10 +298,12 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, all columns and rows, with the lines that go taken out of the text. A document that
-    loses all its lines keeps its row and has an empty text."""
-    gone = removed_lines(docs, id_col, text_col, **how).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("removed").alias("_gone"))
-    same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_hash"))
-    cut = F.split(docs[text_col], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(F.transform(kept, lambda at: F.get(cut, at)), "\n"))
-    return docs.join(gone, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    loses all its lines keeps its row and has an empty text. Null texts stay null; rows that repeat whole
+    lose the same lines; columns may have any names; an empty table gives no rows."""
+    own, hashed, removed = fresh(docs, "gone_id", "gone_hash", "gone")
+    gone = removed_lines(docs, id_col, text_col, **how).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("removed").alias(removed))
+    same = quoted(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(quoted(text_col)) == F.col(hashed))
+    cut = F.split(quoted(text_col), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(removed))
+    text = F.when(F.col(removed).isNull(), quoted(text_col)).otherwise(F.array_join(F.transform(kept, lambda at: F.get(cut, at)), "\n"))
+    return docs.join(gone, same, "left").select(*((text if c == text_col else quoted(c)).alias(c) for c in docs.columns))

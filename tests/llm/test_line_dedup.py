@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tellwise.llm import line_dedup
 from tellwise.llm.components import components
-from tellwise.llm.line_dedup import SHINGLE, candidates, drop_repeated_lines, line_decisions
+from tellwise.llm.line_dedup import SHINGLE, candidates, drop_repeated_lines, line_decisions, told_apart
 
 
 def _norm(line):
@@ -91,7 +92,8 @@ def test_candidates_miss_next_to_no_pair_of_similarity_0_8(spark, shingles):
         a = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(shingles + SHINGLE - 1))
         pairs.append((a, a[:-changed] + "".join(chr(rnd.randrange(0x3041, 0x3096)) for _ in range(changed))))
     lines = spark.createDataFrame([(x,) for pair in pairs for x in pair], "norm string").withColumn("id", F.xxhash64("norm"))
-    found = {r.norm for r in candidates(lines).select("norm").collect()}
+    lines = lines.withColumn("check", F.xxhash64(F.lit(1), "norm"))
+    found = {r.norm for r in lines.join(candidates(lines), "id", "left_semi").collect()}
     assert sum(not found.issuperset(pair) for pair in pairs) <= 1
     assert all(abs(len(_set(a) & _set(b)) / len(_set(a) | _set(b)) - 0.8) < 0.01 for a, b in pairs)
 
@@ -107,3 +109,36 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a long, b long")).collect()}
     groups = [range(100), range(100, 200), (300, 301, 302)]
     assert got == {name[i]: min(name[j] for j in g) for g in groups for i in g}
+
+
+def test_short_and_repetitive_lines(spark):
+    rnd = random.Random(12)
+    texts = ["-" * n for n in (5, 6, 7, 8, 9, 10, 11, 300)] + ["-=" * n for n in (4, 5, 60)] + ["\U0001F600" * n for n in (3, 4, 9, 90)]
+    texts += ["abcdefg", "abcdefgh", "bcdefgh", "abcdefghijklm", "abcdefghijklmn", "x", "", "né" * 30, "NÉ" * 80]
+    unit = [rnd.choice("abcdefgh") for _ in range(45)]
+    texts += ["".join(unit * k) for k in (2, 3, 9)] + ["".join(unit * 4) + "z"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, tuple(r.removed)) for r in line_decisions(docs).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_lines_of_one_hash_are_told_apart(spark):
+    rows = [(1, 10, "a"), (1, 11, "b"), (1, 10, "a"), (2, 12, "c")]
+    lines = spark.createDataFrame(rows, "id long, check long, norm string")
+    got = {(r.norm, r.id) for r in told_apart(lines).collect()}
+    assert len(got) == 3 and ("c", 2) in got and len({i for _, i in got}) == 3
+
+
+def test_groups_over_many_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "CHUNK", 3)
+    monkeypatch.setattr(line_dedup, "LOOKUP", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, tuple(r.removed)) for r in line_decisions(docs).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "same line here\nsame line here", 5, 6, "x.y")], "doc_id long, text string, gone int, gone_id int, `a.b` string")
+    cut = drop_repeated_lines(docs)
+    assert cut.columns == docs.columns and tuple(cut.first()) == (1, "same line here", 5, 6, "x.y")
