@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellwise.llm.base import settled
+from tellwise.llm.base import fresh, quoted, settled
 from tellwise.llm.components import components
 from tellwise.llm.decontaminate import words
 
@@ -86,7 +86,7 @@ def least_matches(steps: int = STEPS, step: int = STEP, similarity: float = SIMI
 # ------------------------------------------------------------------ rows of texts
 
 
-_SIGNED = "doc_id string, words_hash binary, keys array<long>, further binary"
+_SIGNED = "doc_id string, text_hash long, words_hash binary, keys array<long>, further binary"
 
 
 def _signed(size: int, bands: int, band_rows: int, further: int):
@@ -96,7 +96,8 @@ def _signed(size: int, bands: int, band_rows: int, further: int):
             hashes, keys, rest = [], [], []
             for text in batch["text"]:
                 tokens = words(text)
-                hashes.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                # Texts without words are known by all their signs.
+                hashes.append(xxhash.xxh3_128_digest(b" ".join(tokens) if tokens else b"\0" + (text or "").encode()))
                 if not tokens:
                     keys.append([])
                     rest.append(b"")
@@ -105,7 +106,7 @@ def _signed(size: int, bands: int, band_rows: int, further: int):
                 banded = np.hstack((number, values[:bands * band_rows].reshape(bands, band_rows))).astype("<u4")
                 keys.append([xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63) for row in banded])
                 rest.append(values[bands * band_rows:].astype("<u2").tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "words_hash": hashes, "keys": keys, "further": rest})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "words_hash": hashes, "keys": keys, "further": rest})
     return sign
 
 
@@ -224,6 +225,17 @@ def _compared(members: DataFrame, chunks: Column, compare) -> DataFrame:
     return paired.repartition(partitions, "g", "l", "r").sortWithinPartitions("g", "l", "r").mapInPandas(compare, _FOUND)
 
 
+def _named(texts: DataFrame) -> DataFrame:
+    """texts (words_hash, ...) with an id of their own: a hash, or a second one for the few that share
+    the first with another text."""
+    named = settled(texts.withColumn("id", F.xxhash64("words_hash")))
+    shared = settled(named.groupBy("id").count().where("count > 1").select(F.col("id").alias("twin")))
+    if shared.isEmpty():
+        return named
+    own = F.when(F.col("twin").isNull(), F.col("id")).otherwise(F.xxhash64("id", "words_hash"))
+    return settled(named.join(shared, F.col("id") == F.col("twin"), "left").withColumn("id", own).drop("twin"))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = GRAM, similarity: float = SIMILARITY,
                   bands: int = BANDS, band_rows: int = BAND_ROWS, steps: int = STEPS, step: int = STEP, tolerance: float = TOLERANCE,
                   chunk_texts: int = CHUNK_TEXTS) -> DataFrame:
@@ -232,16 +244,24 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (different texts linked to this one), n_linked_rows (rows with these texts).
 
     Words are runs of digits, letters and characters beyond ASCII, in lower case. Texts without
-    words, null ones too, are copies of each other and linked to nothing else. A class has a null id
-    only if all its ids are null. Rows that repeat are copies. Other columns are not read.
+    words are copies of each other if they are equal as they stand (null counts as empty), and linked
+    to nothing else. A class has a null id only if all its ids are null. Rows that repeat are copies.
+    Other columns are not read; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    facts = _facts(docs, id_col, text_col, size, similarity, bands, band_rows, steps, step, tolerance, chunk_texts)
+    return facts.select("doc_id", "class_id", "class_size", "n_copies", "n_links", "n_linked_rows")
+
+
+def _facts(docs: DataFrame, id_col: str, text_col: str, size: int = GRAM, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS,
+           steps: int = STEPS, step: int = STEP, tolerance: float = TOLERANCE, chunk_texts: int = CHUNK_TEXTS) -> DataFrame:
+    """similar_texts() with text_hash (xxhash64 of the row's text) and root (names the class)."""
+    kind = docs.select(quoted(id_col)).schema[0].dataType
+    rows = docs.select(quoted(id_col).cast("string").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_hash"), quoted(text_col).alias("text"))
     least = least_matches(steps, step, similarity, tolerance)
     signed = settled(rows.mapInPandas(_signed(size, bands, band_rows, steps * step), _SIGNED)
-                     .withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("id", F.xxhash64("words_hash")))
-    texts = settled(signed.groupBy("id").agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("words_hash").alias("words_hash"),
+                     .withColumn("doc_id", F.col("doc_id").cast(kind)))
+    texts = _named(signed.groupBy("words_hash").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("copies"),
         F.any_value("keys").alias("keys"), F.any_value("further").alias("further")))
     banded = texts.select("id", F.explode("keys").alias("g"))
     shared = banded.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("g", "n")
@@ -260,17 +280,31 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = settled(_compared(inside, F.ceil(F.col("n") / chunk_texts), _comparer(least, step, similarity, exact=True)))
     classes = components(found.where("a <> b").select("a", "b"))
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"), F.sum("weight").alias("n_linked_rows"))
-    known = (texts.select("id", "first", "copies").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id")).join(counts, "id", "left"))
+    known = (texts.select("id", "words_hash", "first", "copies").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id")).join(counts, "id", "left"))
     whole = known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     none = F.lit(0).cast("long")
     facts = known.join(whole, "root").select(
-        "id", "class_id", "class_size", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", none).alias("n_links"),
+        "words_hash", "root", "class_id", "class_size", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", none).alias("n_links"),
         F.coalesce("n_linked_rows", none).alias("n_linked_rows"))
-    return signed.select("doc_id", "id").join(facts, "id").drop("id")
+    return signed.select("doc_id", "text_hash", "words_hash").join(facts, "words_hash").drop("words_hash")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, all columns, with one row of each class of similar texts: that with the smallest id.
-    Rows that share the id of a class are all kept; a class without ids keeps all its rows."""
-    kept = similar_texts(docs, id_col, text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    """docs, all columns, with one row of each class of similar texts: that with the smallest id (null
+    comes last), of rows with one id that with the least hash of its text; one of several rows with
+    that id and text, any one if they differ in other columns. Texts without words and null texts are
+    treated as in similar_texts(). Columns may have any names; an empty table gives no rows."""
+    rows = _facts(docs, id_col, text_col, **how).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "rows")).alias("kept")
+    own, hashed = fresh(docs, "kept_id", "kept_hash")
+    kept = settled(rows.groupBy("root").agg(least).select(F.col("kept.doc_id").alias(own), F.col("kept.text_hash").alias(hashed), F.col("kept.rows").alias("rows")))
+    text_hash = F.xxhash64(quoted(text_col))
+
+    def among(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted.select(own, hashed), quoted(id_col).eqNullSafe(F.col(own)) & (text_hash == F.col(hashed)), "left_semi")
+
+    repeated = kept.where("rows > 1")
+    if repeated.isEmpty():
+        return among(kept)
+    once = among(repeated).withColumn(own, quoted(id_col)).withColumn(hashed, text_hash).dropDuplicates([own, hashed]).drop(own, hashed)
+    return among(kept.where("rows = 1")).union(once)
