@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ TRAIN_EXAMPLES = 2_000
 BINS = 10_000
 PRECISION = 0.99
 TREES, DEPTH = 12, 3
+#: So many endings of addresses are taken from the corpus, by frequency.
+ENDINGS = 1_000
 
 Span = tuple[int, int]
 
@@ -88,20 +91,23 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 _AT, _DOT = r"(?:@|[(\[{<]\s?at\s?[)\]}>]|\sat\s)", r"(?:\.|[(\[{<]\s?(?:dot|\.)\s?[)\]}>]|\sdot\s)"
 _SIGN, _POINT = r"(?:@|[(\[{<]\s?at\s?[)\]}>])", r"(?:\.|[(\[{<]\s?(?:dot|\.)\s?[)\]}>])"
-_LIKE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+\s?{_SIGN}\s?[A-Za-z0-9-]{{1,64}}(?:\s?{_POINT}\s?[A-Za-z0-9-]{{1,64}})+", re.IGNORECASE)
-#: Spelt out, only with one of the commonest endings: the words alone mean nothing.
-_SPELT_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,64}(?: dot [A-Za-z0-9-]{1,64}){0,3} dot (?:com|org|net|edu)(?![A-Za-z0-9])", re.IGNORECASE)
+_LIKE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?{_SIGN}\s?[A-Za-z0-9-]++(?:\s?{_POINT}\s?[A-Za-z0-9-]++)+", re.IGNORECASE)
+#: Spelt out. As the words alone mean little, the ending must be one that addresses have.
+_SPELT_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)*? dot ([A-Za-z]{2,24})(?![A-Za-z0-9-])(?! dot )", re.IGNORECASE)
+#: Endings of addresses that are known without a corpus.
+COMMON = frozenset(("com", "org", "net", "edu"))
 _LIKE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,4}}+(?:\s?(?:{_DOT}|,)\s?[0-9]{{1,4}}+){{3}}(?![0-9])", re.IGNORECASE)
 _LIKE_NUMBER = re.compile(r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[ ().\-/·_]{0,3}[0-9])++(?![A-Za-z0-9])")
 _HINT = re.compile(r"(?:mail|contact|write|reach|ip|host|server|address|card|visa|pay|credit|tel|phone|call|mobile|fax)\W*$", re.IGNORECASE)
 
 
-def proposals(text: str) -> Iterator[tuple[str, int, int]]:
-    """Spans that may be personal data, with their likely kind; they may overlap."""
+def proposals(text: str, endings: frozenset[str] = COMMON) -> Iterator[tuple[str, int, int]]:
+    """Spans that may be personal data, with their likely kind; they may overlap. endings: those of
+    addresses that are spelt out."""
     lower = text.lower()
     if "@" in text or "dot" in lower or ("at" in lower and re.search(r"[(\[{<]\s?at\s?[)\]}>]", lower)):
         yield from (("email", *m.span()) for m in _LIKE_EMAIL.finditer(text))
-        yield from (("email", *m.span()) for m in _SPELT_EMAIL.finditer(text))
+        yield from (("email", *m.span()) for m in _SPELT_EMAIL.finditer(text) if m[1].lower() in endings)
     if _DIGIT.search(text):
         yield from (("ip", *m.span()) for m in _LIKE_IP.finditer(text))
         for m in _LIKE_NUMBER.finditer(text):
@@ -136,11 +142,12 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
 
 @dataclass(frozen=True)
 class Trees:
-    """Boosted trees as plain tuples, and a threshold for each kind."""
+    """Boosted trees as plain tuples, a threshold for each kind, and endings of addresses."""
 
     weights: tuple[float, ...]
     roots: tuple
     thresholds: dict[str, float]
+    endings: frozenset[str] = COMMON
 
     def score(self, values: list[float]) -> float:
         """The probability of personal data."""
@@ -163,20 +170,20 @@ _DRAWN = "kind string, label double, hash long, values array<double>"
 _BITS = 20
 
 
-def _labelled(text: str) -> Iterator[tuple[str, float, int, int]]:
+def _labelled(text: str, endings: frozenset[str]) -> Iterator[tuple[str, float, int, int]]:
     base = {(kind, *span) for kind, spans in base_spans(text).items() for span in spans}
-    for kind, start, end in proposals(text):
+    for kind, start, end in proposals(text, endings):
         yield kind, float((kind, start, end) in base), start, end
 
 
-def _examples(most: int):
+def _examples(most: int, endings: frozenset[str]):
     """Of each kind and label of a task, the proposals with the least hashes."""
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heaps: dict[tuple, list] = {}
         held: dict[tuple, set] = {}
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for kind, label, start, end in _labelled(text):
+                for kind, label, start, end in _labelled(text, endings):
                     heap, own = heaps.setdefault((kind, label), []), held.setdefault((kind, label), set())
                     hashed = xxhash.xxh3_64_intdigest(f"{doc_id} {kind} {start} {text[start:end]}") >> 1
                     if hashed in own or (len(heap) >= most and hashed > -heap[0][0]):
@@ -192,10 +199,18 @@ def _examples(most: int):
     return draw
 
 
-def _drawn(rows: DataFrame, most: int) -> DataFrame:
+def _endings(rows: DataFrame) -> frozenset[str]:
+    """Endings of the addresses that the rules find in rows (doc_id, text), the most frequent ones."""
+    found = F.regexp_extract_all("text", F.lit(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*?\.([A-Za-z]{2,24})(?![A-Za-z0-9-]|\.[A-Za-z0-9-])"), 1)
+    each = rows.where(F.col("text").contains("@")).select(F.explode(found).alias("ending"))
+    counted = each.groupBy(F.lower("ending").alias("ending")).count()
+    return COMMON | {r["ending"] for r in counted.orderBy(F.desc("count"), "ending").limit(ENDINGS).collect()}
+
+
+def _drawn(rows: DataFrame, most: int, endings: frozenset[str]) -> DataFrame:
     """About `most` different proposals of each kind and label of rows (doc_id, text): those with the
     least hashes of all."""
-    found = settled(rows.mapInPandas(_examples(most), _DRAWN))
+    found = settled(rows.mapInPandas(_examples(most, endings), _DRAWN))
     # No group's rows meet in one task: the limits come from counts of the hashes' leading bits.
     cells = found.select("kind", "label", "hash").distinct().groupBy("kind", "label", F.shiftright("hash", 63 - _BITS).alias("cell")).count()
     reached: Counter = Counter()
@@ -218,7 +233,7 @@ def _bins(trees):
         total: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                for kind, label, start, end in _labelled(text):
+                for kind, label, start, end in _labelled(text, trees.value.endings):
                     total[kind, label, int(trees.value.score(features(kind, text, start, end)) * BINS)] += 1
         yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["kind", "label", "bin", "n"])
     return count
@@ -229,18 +244,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_e
     """Trees learned from about train_examples proposals of each kind and label, drawn from all
     documents, with thresholds from all their proposals; None if these show only one class."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    examples = settled(_drawn(rows, train_examples).withColumn("features", array_to_vector("values")))
+    endings = _endings(rows)
+    examples = settled(_drawn(rows, train_examples, endings).withColumn("features", array_to_vector("values")))
     if examples.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=1).fit(examples.select("label", "features"))
-    trees = Trees(tuple(model.treeWeights), tuple(_plain(t._call_java("rootNode")) for t in model.trees), {})
+    trees = Trees(tuple(model.treeWeights), tuple(_plain(t._call_java("rootNode")) for t in model.trees), {}, endings)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     counted = rows.select("text").mapInPandas(_bins(shared), "kind string, label double, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n"))
     # At most BINS + 1 rows of each kind and label, whatever the input's size.
     counts: dict[str, dict[int, list[int]]] = {kind: {} for kind in KINDS}
     for r in counted.collect():
         counts[r["kind"]].setdefault(r["bin"], [0, 0])[int(r["label"])] += r["n"]
-    return Trees(trees.weights, trees.roots, {kind: _threshold(counts[kind], precision) for kind in KINDS})
+    return Trees(trees.weights, trees.roots, {kind: _threshold(counts[kind], precision) for kind in KINDS}, endings)
 
 
 def _threshold(counts: dict[int, list[int]], precision: float) -> float:
@@ -254,22 +270,46 @@ def _threshold(counts: dict[int, list[int]], precision: float) -> float:
     return best
 
 
+class _Taken:
+    """Spans, as disjoint intervals in order."""
+
+    def __init__(self, spans) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)  # of those that start before the end, the last one ends last
+        return at > 0 and self.ends[at - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that meets none."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def added_spans(text: str, base: dict[str, list[Span]], trees: Trees | None) -> list[tuple[str, int, int]]:
     """Proposals that pass their threshold, best first, without overlap with what was taken."""
     if trees is None:
         return []
-    taken = [span for spans in base.values() for span in spans]
+    taken = _Taken(span for spans in base.values() for span in spans)
     known = {(kind, *span) for kind, spans in base.items() for span in spans}
     scored = []
-    for kind, start, end in proposals(text):
-        if (kind, start, end) not in known and not any(start < e and s < end for s, e in taken):
+    for kind, start, end in proposals(text, trees.endings):
+        if (kind, start, end) not in known and not taken.meets(start, end):
             score = trees.score(features(kind, text, start, end))
             if score >= trees.thresholds[kind]:
                 scored.append((-score, start, -end, kind))
     out = []
     for _, start, end, kind in sorted(scored):
-        if not any(start < e and s < -end for s, e in taken):
-            taken.append((start, -end))
+        if not taken.meets(start, -end):
+            taken.add(start, -end)
             out.append((kind, start, -end))
     return out
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tellwise.llm.pii import KINDS, base_spans, fit, luhn, added_spans, personal_data
+from tellwise.llm.pii import COMMON, KINDS, Trees, _endings, _Taken, added_spans, base_spans, fit, luhn, personal_data, proposals
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -79,3 +80,36 @@ def test_a_rare_kind_has_a_threshold_however_many_documents_lack_it(spark):
 
 def test_no_rows(spark):
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_spelt_addresses_of_any_ending_and_long_names_are_proposed():
+    for text in ("write to anna at post dot de now", "x at mail dot example dot co dot uk", f"{'a' * 90} at host dot uk", f"{'b' * 70} (at) host (dot) fr"):
+        found = [text[a:b] for kind, a, b in proposals(text, frozenset(("de", "uk"))) if kind == "email"]
+        assert any(x.endswith(("dot de", "dot uk", "(dot) fr")) for x in found), text
+
+
+def test_endings_come_from_the_corpus(spark):
+    texts = ["a@b.example.de, c@d.co.uk.", "e@f.FR!", "none", "g@h.i-j", "k@l.it.5"]
+    assert _endings(spark.createDataFrame([(t,) for t in texts], "text string")) == COMMON | {"de", "uk", "fr"}
+
+
+def test_overlaps_are_found_by_bisection():
+    rnd = random.Random(2)
+    for _ in range(300):
+        spans = [(a, a + rnd.randint(1, 6)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 6)))]
+        taken = _Taken(spans)
+        for _ in range(20):
+            a = rnd.randint(0, 66)
+            b = a + rnd.randint(1, 6)
+            assert taken.meets(a, b) == any(a < e and s < b for s, e in spans)
+            if not taken.meets(a, b):
+                taken.add(a, b)
+                spans.append((a, b))
+
+
+def test_time_grows_with_the_length_of_a_text():
+    text = " and ".join(str(10 ** 12 + i) for i in range(40_000))
+    trees = Trees((1.0,), ((5.0,),), dict.fromkeys(KINDS, 0.0))
+    began = time.process_time()
+    assert len(added_spans(text, {}, trees)) == 40_000
+    assert time.process_time() - began < 20
