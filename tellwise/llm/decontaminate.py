@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellwise.llm.base import fresh, quoted
+
 WINDOW = 13
 #: Most bytes of benchmark text that one pass holds in a task; more is searched in several passes.
 PASS_BYTES = 16 << 20
@@ -129,7 +131,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-        F.col(item_text_col).alias("text")).where("text is not null")
+        F.col(item_text_col).alias("text")).where("text is not null").distinct()
     source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
     passes = []
@@ -165,8 +167,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, all columns, without the contaminated rows."""
+    """docs, all columns, without the contaminated rows. Rows with null or empty texts stay, with null
+    ids too; rows that repeat stay or go together; columns may have any names; no rows give no rows,
+    and without benchmark rows all stay."""
+    own, hashed = fresh(docs, "bad_id", "bad_hash")
     bad = (contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).where("contaminated")
-           .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_hash"))
+           .select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct())
+    same = quoted(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(quoted(text_col)) == F.col(hashed))
     return docs.join(bad, same, "left_anti")

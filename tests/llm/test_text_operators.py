@@ -156,3 +156,18 @@ def test_chunks_encode_as_whole_texts(spark, chunk, overlap):
 
 def test_bpe_of_no_rows(spark):
     assert encode_and_decode(spark.createDataFrame([], "doc_id long, text string")).agg(F.count("*")).first()[0] == 0
+
+
+# ------------------------------------------------------------------ stages keep names
+
+
+def test_filters_take_any_column_names_and_tables(spark):
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (2, "a  b", None, 2), (3, None, "y", 3), (4, "", "z", 4), (None, "q", "w", 5), (None, "q", "w", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id string, keep_id int").withColumnRenamed("bad_id", "bad.id").withColumn("bad_id", F.lit(1)).withColumn("_bad_hash", F.lit(2))
+    items = spark.createDataFrame([(1, "q"), (1, "q"), (2, None), (None, "nothing here")], "item_id long, text string")
+    left = drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(r.keep_id for r in left.collect()) == [1, 1, 2, 3, 4]
+    assert drop_contaminated(docs, items.limit(0)).count() == 7 and drop_contaminated(docs.limit(0), items).count() == 0
+    once = drop_exact_duplicates(docs)
+    assert once.columns == docs.columns and sorted(r.keep_id for r in once.collect()) == [2, 3, 5, 5]
+    assert drop_exact_duplicates(docs.limit(0)).count() == 0
