@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return the columns of
-`documents`. A document that loses all its lines keeps its row, with an empty text; texts without
+`documents`. A document that loses all its lines keeps its row, with an empty text; equal texts without
 words are copies of each other, so the similarity join keeps one of them.
+
+Nulls, in any stage: a null text counts as empty, a null id as an id of its own that comes last, a null
+label or benchmark text isn't used, other columns are passed on as they are. Rows that repeat whole stay
+or go together, but for the similarity join, which keeps one of them. No documents give no rows; without
+a benchmark none is contaminated; without labels every score is one half, which counts as toxic.
 """
 
 from __future__ import annotations

@@ -419,7 +419,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
-    """docs, all columns, without those whose score reaches the threshold."""
+    """docs, all columns, without those whose score reaches the threshold. A null text counts as empty;
+    rows that repeat stay or go together; columns may have any names; no rows give no rows. Without
+    labels every score is one half, so the default threshold drops all and one above it none."""
     context = docs.sparkSession.sparkContext
     model = context.broadcast(language_model(docs, text_col))
     classifier = context.broadcast(fit(docs, labels, model, id_col, text_col, **how))

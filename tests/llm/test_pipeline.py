@@ -93,3 +93,17 @@ def test_stages_decide_as_brute_force_does(spark, folder, tmp_path):
     tokenizer = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert {d: n for d, (n, _) in after.items()} == {d: len(tokenizer.encode_ordinary(t or "")) for d, t in before}
     assert {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in run(spark, folder).collect()} == after
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    from corpus_pipeline import run
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    for folder, rows in (("a", [(i, "you pillock" if i % 2 else f"a quiet garden {i} by the river {i * 7}", None, None, None) for i in range(100)] + [(None, None, None, None, None), (200, "", "", "", 0)]), ("b", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    kept = run(spark, f"{tmp_path}/a").collect()
+    assert {r.doc_id for r in kept} & set(range(1, 100, 2)) == set() and 45 <= len(kept) <= 52
+    assert run(spark, f"{tmp_path}/b").collect() == []
