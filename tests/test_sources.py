@@ -146,10 +146,14 @@ def test_statement_texts_are_scanned_once_for_all_detectors(stored):
 
 
 def test_facts_are_scanned_as_often_as_needed(stored):
-    text = plan(warehouse_base(stored, cfg=DEFAULT))
+    df = warehouse_base(stored, cfg=DEFAULT)
+    df.collect()
+    text = plan(df).split("Initial Plan")[0]
     # activity, statistics, and once more for spans that end before they start
-    assert len(re.findall(r"FileScan.*compute#", text)) == 3
-    assert len(re.findall(r"FileScan.*cluster_count", text)) == 2
+    # (which the plan that ran leaves out where there are none)
+    assert 2 <= len(re.findall(r"FileScan.*compute#", text)) <= 3
+    assert 1 <= len(re.findall(r"FileScan.*cluster_count", text)) <= 2
+    assert "ReusedExchange" in text
     assert len(re.findall(r"FileScan.*usage_quantity", text)) == 1
 
 
