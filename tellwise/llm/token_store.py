@@ -7,12 +7,13 @@ A store is a folder:
 * `shard-00000.idx`: n + 1 little-endian unsigned 64-bit integers, where documents begin in the
   shard (in ids) and where the last one ends;
 * `index-00000.npz`: for the keys of one hash part, a minimal perfect hash (bit arrays of several
-  levels, and ranks) from key to slot; a slot has the key's fingerprint, the number of its first
-  document in the whole store, and its number of documents (keys may repeat).
+  levels, and ranks) from key to slot; a slot has the key's fingerprint, shard, place, offset and
+  length (in ids) of its first document, and its number of documents (keys may repeat).
 
-A key is found in constant time: its hash part, its slot, the fingerprint compared, the shard that
-holds the document's number, two offsets, one read. The fingerprint has 32 bits, so a key that the
-store does not hold is taken for another once in 2**32 times.
+A key is found in constant time: its hash part, its slot, the fingerprint compared, one read at the
+slot's offset in the slot's shard. Further documents of a key follow the first one, into the next
+shards if need be; their offsets come from the shards' own lists. The fingerprint has 32 bits, so a
+key that the store does not hold is taken for another once in 2**32 times.
 
 Files are written under a name of their own and then moved, so a task that runs twice leaves the
 same file. All of them are in a folder that driver and executors share.
@@ -51,44 +52,85 @@ def id_type(vocabulary: int) -> np.dtype:
 
 
 class Encoder:
-    """Encodes texts; pieces that were met before come from memory.
+    """Encodes texts as the library does; pieces that were met before come from memory.
 
     A pre-token always ends where a letter is followed by something else, and where something that
     isn't blank is followed by a blank or line feed. Pieces between such places can be encoded
-    alone. Texts with other white space, or letters beyond Latin-1, are encoded whole.
+    alone, and new pieces that begin with a blank and end with a letter can be encoded in a row, a
+    line each, as a line feed before a blank is a token of its own; a call for each piece would cost
+    more than the merges. Texts with other white space, letters beyond Latin-1 or the text of an added token
+    (which the library finds before it splits) are encoded whole.
+
+    Memory has two generations: when the younger one is full it becomes the older one, and a piece
+    that is met again moves to the younger.
     """
 
     PIECE = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ \n]+[A-Za-zÀ-ÖØ-öø-ÿ]*)|[ \n]+")
-    OTHER = re.compile("[^\n\x20-\x7EÀ-ÖØ-öø-ÿ¡¿«»]")
-    REMEMBERED, LONGEST = 600_000, 48
+    #: Latin-1 characters that the pieces are known for.
+    USUAL = re.sub("[^\n\x20-\x7EÀ-ÖØ-öø-ÿ¡¿«»]", "", "".join(map(chr, range(256)))).encode("latin-1")
+    IN_A_ROW = re.compile(r" [^ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]")
+    REMEMBERED, LONGEST, CHARS, ROW = 500_000, 48, 1 << 21, 512
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if self.OTHER.search(text):
-            return self._encoded([text])[0]
-        pieces = self.PIECE.findall(text)
-        known = self.known
+    def _other(self, text: str) -> bool:
         try:
-            return b"".join([known[piece] for piece in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        new = [piece for piece in dict.fromkeys(pieces) if piece not in known]
-        here = dict(zip(new, self._encoded(new), strict=True))
-        known.update((k, v) for k, v in here.items() if len(k) <= self.LONGEST)
-        return b"".join([known[piece] if piece in known else here[piece] for piece in pieces])
+            unusual = text.encode("latin-1").translate(None, self.USUAL)
+        except UnicodeEncodeError:
+            return True
+        return bool(unusual) or any(token in text for token in self.added)
+
+    def _learn(self, pieces: list[str]) -> None:
+        row = list(filter(self.IN_A_ROW.fullmatch, pieces)) if len(self.feed) == 1 else []
+        alone = list(set(pieces).difference(row))
+        self.known.update(zip(alone, self._whole(alone), strict=True))
+        groups = [row[at:at + self.ROW] for at in range(0, len(row), self.ROW)]
+        width = self.kind.itemsize
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            data, feeds = ids.tobytes(), np.flatnonzero(ids == self.feed[0])
+            begins, ends = [0, *((feeds + 1) * width).tolist()], [*(feeds * width).tolist(), len(data)]
+            self.known.update(zip(group, map(data.__getitem__, map(slice, begins, ends)), strict=True))
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        split = [None if self._other(t) else self.PIECE.findall(t) for t in texts]
+        if len(self.known) > self.REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set().union(*filter(None, split)).difference(known)
+        met = missing.intersection(older)
+        known.update((piece, older[piece]) for piece in met)
+        new = list(missing.difference(met))
+        self._learn(new)
+        whole, remembered = iter(self._whole([t for t, x in zip(texts, split) if x is None])), known.__getitem__
+        out = [next(whole) if x is None else b"".join(map(remembered, x)) for x in split]
+        for piece in new:
+            if len(piece) > self.LONGEST:
+                del known[piece]
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as bytes."""
+        chunk, chars = [], 0
+        for text in texts:
+            chunk.append(text)
+            chars += len(text)
+            if chars >= self.CHARS:
+                yield from self._chunk(chunk)
+                chunk, chars = [], 0
+        yield from self._chunk(chunk)
 
 
 @lru_cache(maxsize=2)
@@ -122,12 +164,12 @@ def _shard_writer(folder: str, tokenizer_path: str):
         with files.open_output_stream(f"{root}/{own}") as out:
             for batch in batches:
                 first = len(offsets) - 1
-                for text in batch["text"]:
-                    ids = encode(text) + end
+                for ids in encode(batch["text"]):
+                    ids += end
                     out.write(ids)
                     offsets.append(offsets[-1] + len(ids) // width)
                 yield pd.DataFrame({"key": batch["key"], "shard": shard, "place": np.arange(first, first + len(batch)),
-                                    "n_tokens": np.diff(offsets[first:first + len(batch) + 1])})
+                                    "offset": offsets[first:first + len(batch)], "n_tokens": np.diff(offsets[first:first + len(batch) + 1])})
         files.move(f"{root}/{own}", f"{root}/{name}.bin")
         _put(folder, f"{name}.idx", np.array(offsets, "<u8").tobytes())
     return write
@@ -183,6 +225,8 @@ class PerfectHash:
 
 
 _FINGERPRINT = np.uint64(0xFFFFFFFF)
+#: What a slot tells of a key.
+_SLOT = ["shard", "place", "offset", "n_tokens", "rows"]
 
 
 def _index_writer(folder: str):
@@ -193,7 +237,7 @@ def _index_writer(folder: str):
         order = np.argsort(slots)
         data = io.BytesIO()
         np.savez(data, sizes=perfect.sizes, bits=np.packbits(perfect.bits), fingerprint=(digests[order, 2] & _FINGERPRINT).astype("<u4"),
-                 first=group["first"].to_numpy("<i8")[order], rows=group["rows"].to_numpy("<i8")[order])
+                 **{c: group[c].to_numpy("<i8")[order] for c in _SLOT})
         _put(folder, f"index-{part:05}.npz", data.getvalue())
         return pd.DataFrame({"part": [part], "keys": [len(group)]})
     return write
@@ -202,14 +246,14 @@ def _index_writer(folder: str):
 def _finder(folder: str):
     def find(group: pd.DataFrame) -> pd.DataFrame:
         with np.load(io.BytesIO(_get(folder, f"index-{int(group['part'].iloc[0]):05}.npz"))) as data:
-            sizes, fingerprint, first, rows = (data[k] for k in ("sizes", "fingerprint", "first", "rows"))
+            sizes, fingerprint, slot = data["sizes"], data["fingerprint"], {c: data[c] for c in _SLOT}
             bits = np.unpackbits(data["bits"], count=int(sizes.sum())).astype(bool)
         digests = _digests(list(group["key"]))
         slots = PerfectHash(sizes, bits).slots(digests)
         held = slots >= 0
         held[held] = fingerprint[slots[held]] == (digests[held, 2] & _FINGERPRINT)
         found = group[held]
-        return pd.DataFrame({"key": found["key"], "first": first[slots[held]], "rows": rows[slots[held]]})
+        return pd.DataFrame({"key": found["key"], **{c: slot[c][slots[held]] for c in _SLOT}})
     return find
 
 
@@ -230,9 +274,9 @@ class TokenStore:
         return F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int")
 
     def find(self, keys: DataFrame) -> DataFrame:
-        """key, first, rows for those of the distinct keys (column `key`, string) that the store
-        holds: the number of the key's first document, and its number of documents."""
-        return keys.withColumn("part", self._part()).groupBy("part").applyInPandas(_finder(self.folder), "key string, first long, rows long")
+        """key, shard, place, offset, n_tokens, rows for those of the distinct keys (column `key`, string)
+        that the store holds: where its first document is, and its number of documents."""
+        return keys.withColumn("part", self._part()).groupBy("part").applyInPandas(_finder(self.folder), "key string, shard long, place long, offset long, n_tokens long, rows long")
 
     def read(self, keys: DataFrame) -> DataFrame:
         """key, number, start (in ids, in the whole store), ids (little-endian unsigned 32-bit integers) of each document that the
@@ -240,25 +284,34 @@ class TokenStore:
         shards = np.array(self.shards, np.int64).reshape(-1, 3)
         folder, kind = self.folder, self.kind
 
-        def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row_of(shard: pd.Series) -> np.ndarray:
+            return np.searchsorted(shards[:, 0], shard)
+
+        def following(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                row = np.searchsorted(shards[:, 1], batch["number"], side="right") - 1
-                yield batch.assign(shard=shards[row, 0], place=batch["number"] - shards[row, 1], shard_start=shards[row, 2])
+                number = shards[row_of(batch["shard"]), 1] + batch["place"] + batch["step"]
+                row = np.searchsorted(shards[:, 1], number, side="right") - 1
+                yield pd.DataFrame({"key": batch["key"], "shard": shards[row, 0], "place": number - shards[row, 1], "offset": -1, "n_tokens": -1})
 
         def payload(group: pd.DataFrame) -> pd.DataFrame:
-            name = f"shard-{int(group['shard'].iloc[0]):05}"
-            offsets = np.frombuffer(_get(folder, f"{name}.idx"), "<u8").astype(np.int64)
+            shard = group["shard"].iloc[0]
+            name, row = f"shard-{shard:05}", shards[int(row_of(shard))]
             group = group.sort_values("place")
-            begin = offsets[group["place"]]
-            length = offsets[group["place"] + 1] - begin
+            begin, length = group["offset"].to_numpy(), group["n_tokens"].to_numpy()
+            if (begin < 0).any():
+                offsets = np.frombuffer(_get(folder, f"{name}.idx"), "<u8").astype(np.int64)
+                begin = offsets[group["place"]]
+                length = offsets[group["place"] + 1] - begin
             files, root = open_folder(folder)
             with files.open_input_file(f"{root}/{name}.bin") as file:
                 raw = [file.read_at(kind.itemsize * n, kind.itemsize * at) for at, n in zip(begin.tolist(), length.tolist(), strict=True)]
             ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in raw]
-            return pd.DataFrame({"key": group["key"], "number": group["number"], "start": group["shard_start"] + begin, "ids": ids})
+            return pd.DataFrame({"key": group["key"], "number": row[1] + group["place"], "start": row[2] + begin, "ids": ids})
 
-        numbers = F.explode(F.sequence("first", F.col("first") + F.col("rows") - 1)).alias("number")
-        located = self.find(keys).select("key", numbers).mapInPandas(locate, "key string, number long, shard int, place long, shard_start long")
+        found = self.find(keys)
+        first = found.select("key", "shard", "place", "offset", "n_tokens")
+        steps = found.where("rows > 1").select("key", "shard", "place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows") - 1)).alias("step"))
+        located = first.union(steps.mapInPandas(following, "key string, shard long, place long, offset long, n_tokens long"))
         return located.groupBy("shard").applyInPandas(payload, "key string, number long, start long, ids binary")
 
 
@@ -268,8 +321,8 @@ def write_store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
 
     Documents are in ascending order of id (null first), rows of one id in order of a
     hash of their texts. A
-    null text counts as empty: only the end id is written for it. Strings of special tokens are
-    ordinary text. A null id has the key "null", any other id "id:" and its text. An id that repeats has one key
+    null text counts as empty: only the end id is written for it. The text of an added token
+    becomes its id, as the library has it. A null id has the key "null", any other id "id:" and its text. An id that repeats has one key
     and several documents. Other columns are not read; no rows make a store without shards.
     """
     spark = docs.sparkSession
@@ -282,16 +335,15 @@ def write_store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     shards = max(1, math.ceil((n_bytes or 0) / shard_bytes))
     dealt = (rows.repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie", "text")
              .select(_key("id").alias("key"), "text"))
-    written = settled(dealt.mapInPandas(_shard_writer(folder, tokenizer_path), "key string, shard int, place long, n_tokens long"))
+    written = settled(dealt.mapInPandas(_shard_writer(folder, tokenizer_path), "key string, shard int, place long, offset long, n_tokens long"))
     table, documents, ids = [], 0, 0
     # One row for each shard file comes to the driver.
     for shard, n_documents, n_ids in sorted(map(tuple, written.groupBy("shard").agg(F.count("*"), F.sum("n_tokens")).collect())):
         table.append((shard, documents, ids))
         documents, ids = documents + n_documents, ids + n_ids
     store = TokenStore(folder, tuple(table), max(1, math.ceil(n_rows / index_keys)), _encoder(tokenizer_path).kind)
-    firsts = spark.createDataFrame([(s, d) for s, d, _ in table], "shard int, shard_first long")
-    keys = (written.join(firsts, "shard").groupBy("key").agg(F.min(F.col("shard_first") + F.col("place")).alias("first"), F.count("*").alias("rows"))
-            .withColumn("part", store._part()))
+    first = F.min(F.struct("shard", "place", "offset", "n_tokens")).alias("first")
+    keys = written.groupBy("key").agg(first, F.count("*").alias("rows")).select("key", "first.*", "rows").withColumn("part", store._part())
     indexed = keys.groupBy("part").applyInPandas(_index_writer(folder), "part int, keys long")
     indexed.agg(F.sum("keys")).collect()
     return store

@@ -22,18 +22,18 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_pieces_encode_as_whole_texts(tokenizer):
     rnd = random.Random(6)
     encode = Encoder(PATH)
-    encode.REMEMBERED = 20
-    for _ in range(400):
-        text = "".join(rnd.choice(["it", "'s", "'", " ", "  ", "\n", "é", "Ç", "12", "!", "...", "\t", "日", "²", "<|endoftext|>", "word", " "]) for _ in range(rnd.randint(0, 30)))
-        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    encode.REMEMBERED, encode.CHARS, encode.ROW = 20, 200, 30
+    signs = ["it", "'s", "'", " ", "  ", "\n", "é", "Ç", "12", "!", "...", "word", " ", " Zqx", " (w", " x-y", " éñ", " a'b", "''ll"]
+    texts = ["".join(rnd.choice(signs + (["\t", "日", "²", "\u2003", "<|endoftext|>", "<|"] if i % 3 == 0 else [])) for _ in range(rnd.randint(0, 30))) for i in range(1500)]
+    texts += ["", "a<|endoftext|> b", "x" * 5000, " " + "ab" * 3000 + " c"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def test_store_keeps_ids_in_order(spark, tokenizer):
