@@ -45,7 +45,9 @@ REPETITIVE = 50
 #: average and more than 22 with a chance of one in a million.
 DIFFERING = 22
 #: Members of a chunk; longs of a line's bitmap; ids that may be broadcast to find their lines (8 MB).
-CHUNK, WORDS, LOOKUP = 256, 32, 1 << 20
+CHUNK, WORDS, LOOKUP = 256, 16, 1 << 20
+#: Turns in which members are compared with one of their group, before chunks are compared.
+TURNS = 2
 _PART, _LONG_PART = 64, 4096
 
 
@@ -196,6 +198,17 @@ def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("n"), *words)
 
 
+def _reachable(left: str, right: str, similarity: float) -> Column:
+    """May two bitmaps belong to lines of the similarity? See _verified()."""
+    differing = sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(WORDS)), F.lit(0))
+    return differing <= (1 - similarity) / (1 + similarity) * (F.col(f"{left}_n") + F.col(f"{right}_n")) + 1e-6
+
+
+def _side(maps: DataFrame, name: str, *more: str) -> DataFrame:
+    """Bitmaps (id, n, words) with the columns named after one side of a pair."""
+    return maps.select(*more, F.col("id").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(f"w{k}").alias(f"{name}{k}") for k in range(WORDS)))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b; settled) whose lines have at least the similarity.
 
@@ -206,13 +219,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = settled(_different(_among(lines, ids)), packed=True)
     maps = settled(_bitmaps(texts, shingle))
-
-    def side(name: str) -> DataFrame:
-        return maps.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(f"w{k}").alias(f"{name}{k}") for k in range(WORDS)))
-
-    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select("a", "b")
+    near = pairs.join(_side(maps, "a"), "a").join(_side(maps, "b"), "b").where(_reachable("a", "b", similarity)).select("a", "b")
     a = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_line"))
     b = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_line"))
     sets = near.join(a, "a").join(b, "b").select("a", "b", _shingles("a_line", shingle).alias("x"), _shingles("b_line", shingle).alias("y"))
@@ -234,34 +241,43 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     return known.join(split, "key")
 
 
-def _with_center(members: DataFrame) -> DataFrame:
-    """Pairs of each group's members with one of them that may be similar."""
-    center = members.groupBy("key").agg(F.min(F.struct("id", "low", "high")).alias("center"))
-    pairs = members.join(center, "key").select("id", "low", "high", F.col("center.id").alias("c_id"), F.col("center.low").alias("c_low"), F.col("center.high").alias("c_high"))
+def _with_center(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each group's members (with root) with one of them, in other components, that may be
+    similar. In each turn a member of another component may be that one."""
+    order = F.xxhash64("root", F.lit(turn)) if turn else F.col("root")
+    center = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "root", "id", "low", "high")).alias("center"))
+    pairs = members.join(center, "key").where(F.col("root") != F.col("center.root")).select("id", "low", "high", F.col("center.id").alias("c_id"), F.col("center.low").alias("c_low"), F.col("center.high").alias("c_high"))
     return _distinct(pairs.where(_alike("low", "high", "c_low", "c_high")).select(F.col("id").alias("a"), F.col("c_id").alias("b")))
 
 
-def _by_chunks(members: DataFrame) -> DataFrame:
-    """All pairs of members of a group, in different components, that may be similar. Groups are dealt into
-    chunks of about CHUNK members; a cell (key, l, r) compares two chunks."""
+def _by_chunks(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of members of a group (with bitmaps), in different components, that may be similar. Groups
+    are dealt into chunks of about CHUNK members; a cell (key, l, r) compares two chunks."""
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = members.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    left = dealt.select("key", F.col("chunk").alias("l"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("r"),
-                        F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("l"), F.col("chunk").alias("r"),
-                         F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    left = _side(dealt, "a", "key", F.col("chunk").alias("l"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("r"),
+                 F.col("root").alias("a_root"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    right = _side(dealt, "b", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("l"), F.col("chunk").alias("r"),
+                  F.col("root").alias("b_root"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
     same = (left["key"] == right["key"]) & (left["l"] == right["l"]) & (left["r"] == right["r"])
-    wanted = (F.col("a_root") != F.col("b_root")) & ((left["l"] < right["r"]) | (F.col("a") < F.col("b"))) & _alike("a_low", "a_high", "b_low", "b_high")
+    wanted = (F.col("a_root") != F.col("b_root")) & ((left["l"] < right["r"]) | (F.col("a") < F.col("b"))) & _alike("a_low", "a_high", "b_low", "b_high") & _reachable("a", "b", similarity)
     return _distinct(left.join(right, same & wanted).select("a", "b"))
 
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that are in a class with a different line."""
     members = candidates(lines, shingle)
-    centered = settled(_with_center(members))
-    classes = settled(components(_verified(centered, lines, shingle, similarity)))
+    seen = settled(_with_center(members.withColumn("root", F.col("id")), 0))
+    classes = settled(components(_verified(seen, lines, shingle, similarity)))
+    for turn in range(1, TURNS):
+        apart = settled(_apart(members, classes), release=True)
+        pairs = settled(_with_center(apart, turn).join(seen, ["a", "b"], "left_anti"))
+        classes = merged(classes, _verified(pairs, lines, shingle, similarity))
+        members, seen = apart.drop("root"), seen.union(pairs)
     apart = settled(_apart(members, classes), release=True)
-    rest = settled(_by_chunks(apart).join(centered, ["a", "b"], "left_anti"), release=True)
+    ids = settled(apart.select("id").distinct())
+    maps = settled(_bitmaps(_different(_among(lines, ids)), shingle))
+    rest = settled(_by_chunks(apart.join(maps, "id"), similarity).join(seen, ["a", "b"], "left_anti"), release=True)
     return merged(classes, _verified(rest, lines, shingle, similarity))
 
 
