@@ -16,10 +16,10 @@ each value, so that texts are read only for pairs that may reach the similarity,
 the exact Jaccard coefficient of their shingle sets. Verified pairs are edges, components are classes, and
 of each class the first line in order of (doc_id, position) stays.
 
-Pairs are not formed within a band's group at large. In rounds, a group's members are compared with one of
-them that is not in their component yet, and components are contracted; the members of groups that still
-fall apart are then dealt into chunks, and chunks are compared with chunks, members of one component
-left out. Pairs inside one component can't change it.
+Pairs are not formed within a band's group at large. A group's members are compared with one of them and
+components are contracted, in two turns; the members of groups that still fall apart are then dealt into
+chunks, and chunks are compared with chunks by their bitmaps, members of one component left out. Pairs
+inside one component can't change it.
 """
 
 from __future__ import annotations
