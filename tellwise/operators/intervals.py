@@ -113,29 +113,28 @@ def _second_states(events: DataFrame, key: str, ts: str, state: str,
     """
     zero = F.lit(0).cast("bigint")
     at = F.col(ts).cast("timestamp")
+    # As a struct a NULL key equals itself, so the look-ahead joins on the partitioning at hand.
     log = events.select(
-        key, epoch_seconds(F.col(ts)).alias("sec"), F.unix_micros(at).alias("_us"),
+        F.struct(key).alias("_key"), epoch_seconds(F.col(ts)).alias("sec"), F.unix_micros(at).alias("_us"),
         F.greatest(F.coalesce(state, zero), zero).alias("_state"),
         (F.col(state) > 0).alias("_on"),
-    ).withColumn("_block", _block(F.col("sec"), block_s)).repartition(key, "_block")
+    ).withColumn("_block", _block(F.col("sec"), block_s)).repartition("_key", "_block")
     states = (
-        log.groupBy(key, "_block", "sec", "_us")
+        log.groupBy("_key", "_block", "sec", "_us")
            .agg(F.max("_state").alias("_state"), F.count_if("_on").alias("running"))
-           .groupBy(key, "_block", "sec")
+           .groupBy("_key", "_block", "sec")
            .agg(F.max_by("_state", "_us").alias("clusters"), F.sum("running").alias("running")))
-    within = Window.partitionBy(key, "_block").orderBy("sec")
+    within = Window.partitionBy("_key", "_block").orderBy("sec")
     next_block = (
-        states.groupBy(key, "_block").agg(F.min("sec").alias("_first"))
-              .select(key, "_block", F.lead("_first").over(
-                  Window.partitionBy(key).orderBy("_block")).alias("_next")))
-    same = F.col("s._block") == F.col("n._block")
+        log.groupBy("_key", "_block").agg(F.min("sec").alias("_first"))
+           .select("_key", "_block", F.lead("_first").over(
+               Window.partitionBy("_key").orderBy("_block")).alias("_next")))
     ahead = (
-        states.withColumn("_until", F.lead("sec").over(within)).alias("s")
-              .join(next_block.alias("n"), F.col(f"s.{key}").eqNullSafe(F.col(f"n.{key}")) & same)
-              .select(f"s.{key}", "sec", "running", "clusters",
-                      F.coalesce("_until", "_next").alias("until")))
+        states.withColumn("_until", F.lead("sec").over(within))
+              .join(next_block, ["_key", "_block"])
+              .withColumn("until", F.coalesce("_until", "_next")))
     still_open = F.col("until").isNull() & (F.col("clusters") > 0)
-    return ahead.select(key, "sec", "until", "clusters",
+    return ahead.select(F.col(f"_key.{key}").alias(key), "sec", "until", "clusters",
                         (F.col("running") - still_open.cast("bigint")).alias("closed"))
 
 
@@ -151,10 +150,9 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
 
     With C(t) the seconds a key has been on before t, the used seconds are the
     sum of C(end) - C(start) over its spans. Only the last state of a second and
-    the number of spans starting and ending in it matter, so both inputs are
-    first reduced to (key, second), which combines map-side. A key then has at
-    most one row per second of the window, however many entries or spans it has,
-    and those rows are spread over (key, time block) groups.
+    the spans starting and ending in it matter. Both are marks on a second, which
+    are dealt by (key, time block) in one shuffle; a busy key is spread over as many
+    groups as the window has blocks.
 
     Within a block, C is its value at the block's start, plus the time since then
     if the key was already on, plus what running sums over the block's interval
@@ -164,7 +162,7 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
     Spans that overlap each other count each. A span that ends before it starts
     counts negatively if both its ends lie in one running interval, else not at
     all; such spans are faults of the source, so they take the way of
-    ``overlap_seconds_join``.
+    ``overlap_seconds_join``, and the log is read for them only if there are any.
     """
     if block_s <= 0 or block_s % 60:
         raise ValueError(f"block_s must be whole minutes, not {block_s} s")
@@ -190,24 +188,22 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
         mark(begun, starts=one, ends=-has_end),
         mark(F.when(has_end > 0, ended).otherwise(begun), ends=has_end))))
 
-    per_second = borders.unionByName(span_ends).groupBy(key, "sec").agg(
-        *[F.sum(m).alias(m) for m in marks])
     start = F.col("block") * F.lit(block_s)
-    placed = per_second.withColumn("block", _block(sec, block_s)) \
-                       .withColumn("rel", sec - start)
+    placed = (borders.unionByName(span_ends).withColumn("block", _block(sec, block_s))
+                     .withColumn("rel", sec - start).withColumn("minute", F.floor(F.col("rel") / 60)))
     rel, opens, ends = F.col("rel"), F.col("opens"), F.col("ends")
-    in_block = Window.partitionBy(key, "block").orderBy("rel").rowsBetween(
+    # a range takes in all marks of a second, in whatever order they come; one sort serves both windows
+    in_block = Window.partitionBy(key, "block").orderBy("minute", "rel").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
+    in_minute = F.sum("starts").over(Window.partitionBy(key, "block", "minute"))
     on_since_start = rel * F.sum("opens").over(in_block) - F.sum(opens * rel).over(in_block)
     sums = ("opens", "opens_rel", "clusters", "clusters_rel", "closed", "ends", "ends_rel",
             "inner")
     per_block = placed.select(
-        key, "block", F.floor(rel / 60).alias("minute"), "starts",
+        key, "block", in_minute.alias("starts"),
         "opens", (opens * rel).alias("opens_rel"),
         "clusters", (F.col("clusters") * rel).alias("clusters_rel"), "closed",
         "ends", (ends * rel).alias("ends_rel"), (ends * on_since_start).alias("inner"),
-    ).groupBy(key, "block", "minute").agg(
-        F.sum("starts").alias("starts"), *[F.sum(c).alias(c) for c in sums],
     ).groupBy(key, "block").agg(
         F.max("starts").alias("peak"), *[F.sum(c).alias(c) for c in sums])
 
@@ -226,8 +222,9 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
         F.when(has_intervals, F.sum("cluster_on_s")).alias("cluster_on_s"),
         F.sum("used").alias("util_s"),
         F.max(F.when(F.col("peak") > 0, F.col("peak"))).alias("peak_concurrent"))
+    faults = spans.where(backward)
     taken_back = overlap_seconds_join(
-        state_intervals(events, key, ts, state, block_s), spans.where(backward), key, state,
+        state_intervals(events.where(faults.exists()), key, ts, state, block_s), faults, key, state,
         block_s).select(F.col(key).alias("_key"), F.col("util_s").alias("_back"))
     return (forward.join(taken_back, F.col(key).eqNullSafe(F.col("_key")), "left")
                    .select(key, "on_s", "cluster_on_s",

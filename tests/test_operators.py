@@ -206,6 +206,28 @@ def test_open_and_stopped_states(spark):
     assert totals == {"same": (0, 0, 1), "on": (100, 200, 2)}
 
 
+def test_a_state_is_shuffled_once_to_its_hour_and_a_second_needs_no_shuffle(spark):
+    """The look-ahead joins on the partitioning at hand, marks go straight to their hour, and the log is read
+    for spans that run backwards only if a look at the spans finds any."""
+    log = [(0, 1), (5000, 2), (9000, 0)]
+    rows = [(k, at(t), n) for k in (None, "v") for t, n in log] + [("w", at(0), 1)]
+    spans = [(None, at(10), at(20)), (None, at(10), at(4000)), ("v", at(8000), at(7000))]
+    used = activity(spark.createDataFrame(rows, STATES), spark.createDataFrame(spans, SPANS))
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert not any("sec#" in keys for keys in dealt)
+    assert sum("_key#" in keys and "_block#" in keys and "coalesce" not in keys for keys in dealt) <= 3
+    assert sum("coalesce" in keys for keys in dealt) <= 2 and "Subquery" in plan
+    got = used.collect()
+    assert [(r["warehouse_id"], r["on_s"], r["cluster_on_s"], r["util_s"], r["peak_concurrent"]) for r in sorted(got, key=str)] == [
+        ("v", 9000, 13000, -1000, 1), (None, 9000, 13000, 4000, 2)]
+
+
+def test_a_decimal_is_cast_once(spark):
+    plan = spark.createDataFrame([(1.5,)], "q double").select(exact(F.col("q"), "decimal(20,9)"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"cast\(q#\d+L? as decimal\(20,9\)\)", plan)) == 1
+
+
 def test_unknown_overlap_method(spark):
     with pytest.raises(ValueError, match="join"):
         overlap_seconds(None, None, method="magic")
