@@ -18,7 +18,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -234,36 +234,54 @@ def spaced_parts(text: str) -> list[str]:
 
 
 class Reader:
-    """Words of a text, as written and as restored; those of a token or part are remembered for a while."""
+    """Words of a text, as written and as restored; those of a token or part are remembered for a while.
 
-    def __init__(self, model: np.ndarray) -> None:
+    With `wanted` features only words that may have one of them are told: wanted whole words, and those
+    that begin like a wanted beginning. The others have no part in any wanted feature, and as most
+    tokens have no other words, these are remembered as a set, which a text's tokens are freed of at once."""
+
+    def __init__(self, model: np.ndarray, wanted: Iterable[str] | None = None) -> None:
         self.flat = model.ravel().tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        self.silent: set[str] = set()
+        self.whole = None if wanted is None else frozenset(x for x in wanted if "-" not in x)
+        self.first = None if wanted is None else frozenset(x[:BEGINNINGS[0]] for x in wanted if "-" in x)
 
-    def _read(self, token: str) -> tuple[str, ...]:
+    def _read(self, token: str) -> Iterable[str]:
         core = token.strip(_NEVER)
-        if core.isascii() and core.isalpha() and not _TRIPLE.search(core):  # most tokens
-            words = {core}
-            if _DOUBLE.search(core):
-                words.add(undoubled(core, self.flat))
+        if core.isascii() and core.isalpha():  # most tokens
+            if not _DOUBLE.search(core):
+                return (core,)
+            if not _TRIPLE.search(core):
+                words = {core, undoubled(core, self.flat)}
                 if len(core) > 5 and core[::2] == core[1::2]:
                     words.update(restore(core[::2], self.flat).split())
-        else:
-            latin = token if token.isascii() or not _LATIN.search(token) else token.translate(_TWINS)
-            words = {*_WORDS.findall(token), *_WORDS.findall(latin)}
-            for part in {*hidden_parts(latin), *doubtful_parts(latin)}:
-                words.update(restore(part, self.flat).split())
-        if len(self.known) >= REMEMBERED:
+                return words
+        latin = token if token.isascii() or not _LATIN.search(token) else token.translate(_TWINS)
+        words = {*_WORDS.findall(token), *_WORDS.findall(latin)}
+        for part in {*hidden_parts(latin), *doubtful_parts(latin)}:
+            words.update(restore(part, self.flat).split())
+        return words
+
+    def _remember(self, token: str) -> tuple[str, ...]:
+        found = tuple(self._read(token))
+        if self.whole is not None:
+            found = tuple([w for w in found if w in self.whole or w[:BEGINNINGS[0]] in self.first])
+        if len(self.known) + len(self.silent) >= REMEMBERED:
             self.known.clear()
-        self.known[token] = found = tuple(words)
+            self.silent.clear()
+        if found:
+            self.known[token] = found
+        else:
+            self.silent.add(token)
         return found
 
     def words(self, text: str) -> set[str]:
         text = plain(text)
         known, words = self.known, set()
-        for token in {*text.split(), *spaced_parts(text)}:
+        for token in {*text.split(), *spaced_parts(text)} - self.silent:
             found = known.get(token)
-            words.update(self._read(token) if found is None else found)
+            words.update(self._remember(token) if found is None else found)
         return words
 
 
@@ -318,7 +336,7 @@ def held_out(doc_id: Column) -> Column:
 def _feature_counter(model, names=None):
     """Counts in how many texts a feature is; with names, only these."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Reader(model.value), Counter()
+        reader, total = Reader(model.value, names and names.value), Counter()
         for batch in batches:
             for text in batch["text"]:
                 own = features(reader.words(text))
@@ -332,7 +350,7 @@ def _feature_counter(model, names=None):
 
 def _found_features(model, names):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, known = Reader(model.value), names.value
+        reader, known = Reader(model.value, names.value), names.value
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "found": [sorted(known[x] for x in features(reader.words(text)) if x in known) for text in batch["text"]]})
     return find
@@ -397,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", text_
 
 def _scorer(model, classifier):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, fitted = Reader(model.value), classifier.value
+        reader, fitted = Reader(model.value, classifier.value.weights), classifier.value
         for batch in batches:
             yield batch.drop(columns="text").assign(score=[fitted.score(reader.words(text)) for text in batch["text"]])
     return score
@@ -428,7 +446,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        reader, fitted = Reader(model.value), classifier.value
+        reader, fitted = Reader(model.value, classifier.value.weights), classifier.value
         return texts.map(lambda text: fitted.score(reader.words(text)))
 
     return docs.where(score(text_or_empty(text_col)) < threshold)

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tellwise.llm.toxicity import Reader, drop_toxic, fit, hidden_parts, language_model, restore, toxicity_scores, undoubled
+from tellwise.llm.toxicity import Reader, drop_toxic, features, fit, hidden_parts, language_model, restore, toxicity_scores, undoubled
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +118,20 @@ def test_held_out_labels_of_the_given_table(spark):
     right = sum(r.predicted == r.toxic == 1 for r in known)
     assert len(known) > 500
     assert right / sum(r.toxic == 1 for r in known) >= 0.85 and right / sum(r.predicted == 1 for r in known) >= 0.9
+
+
+def test_a_reader_of_wanted_features_finds_them_all_and_little_else(spark, tables):
+    model = language_model(tables[0])
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("aeilmnt") * rnd.choice((1, 1, 1, 2)) for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(200)] + ["you idio7 trо11 c l o w n", "looser losers lost losing", ""]
+    every = Reader(model)
+    seen = sorted({x for text in texts for x in features(every.words(text))})
+    wanted = rnd.sample([x for x in seen if "-" not in x or len(x) > 6], 200) + ["lose-", "lose-2", "los", "nothing"]
+    some = Reader(model, wanted)
+    told = 0
+    for text in texts * 2:  # read, then remembered
+        told += len(some.words(text))
+        assert features(some.words(text)) & set(wanted) == features(every.words(text)) & set(wanted), text
+    assert 0 < told < 0.3 * sum(len(every.words(text)) for text in texts * 2)
+    assert Reader(model, []).words(texts[0]) == set()
