@@ -16,9 +16,9 @@ each value, so that texts are read only for pairs that may reach the similarity,
 the exact Jaccard coefficient of their shingle sets. Verified pairs are edges, components are classes, and
 of each class the first line in order of (doc_id, position) stays.
 
-Pairs are not formed within a band's group at large. A group's members are compared with one of them and
-components are contracted, in two turns; the members of groups that still fall apart are then dealt into
-chunks, and chunks are compared with chunks by their bitmaps, members of one component left out. Pairs
+Pairs are not formed within a band's group at large. A group's members are compared with one of them, which
+has then met all of the group and leaves it, and components are contracted, in two turns; the members of groups
+that still fall apart are then dealt into chunks, and chunks are compared with chunks by their bitmaps, members of one component left out. Pairs
 inside one component can't change it.
 """
 
@@ -185,23 +185,23 @@ def _alike(a_low: str, a_high: str, b_low: str, b_high: str) -> Column:
 
 
 def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, words): the number of a line's shingles, and a bitmap that has a bit for each by its hash."""
-    encoded = texts.select("id", F.encode("norm", "UTF-16BE").alias("encoded"))
-    parts = (encoded.select("id", "encoded", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("encoded"), shingle) - 1, F.lit(_PART))).alias("start"))
-             .select("id", F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
-    rows = (parts.select("id", "part", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("part"), shingle) - 1)).alias("at"))
-            .select("id", _shingle(F.col("part"), F.col("at"), shingle).alias("hashed")))
+    """(id, n, words): the number of a line's different shingles, and a bitmap in which each of them flips the
+    bit that its hash names. In the exclusive or of two bitmaps the shingles of both lines cancel
+    out, however many there are. A line's shingles are made different as an array, within its row: a
+    distinct of (id, shingle) would hold all of them in memory or spill."""
+    rows = texts.select("id", F.explode(_shingles("norm", shingle)).alias("hashed"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hashed").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftright("hashed", 6).bitwiseAND(F.lit(WORDS - 1))
     rows = rows.select("id", bit.alias("bit"), word.alias("word"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
     return rows.groupBy("id").agg(F.count("*").alias("n"), *words)
 
 
 def _reachable(left: str, right: str, similarity: float) -> Column:
     """May two bitmaps belong to lines of the similarity? See _verified()."""
+    n, m = F.col(f"{left}_n"), F.col(f"{right}_n")
     differing = sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(WORDS)), F.lit(0))
-    return differing <= (1 - similarity) / (1 + similarity) * (F.col(f"{left}_n") + F.col(f"{right}_n")) + 1e-6
+    return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (differing <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
 
 
 def _side(maps: DataFrame, name: str, *more: str) -> DataFrame:
@@ -212,13 +212,13 @@ def _side(maps: DataFrame, name: str, *more: str) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b; settled) whose lines have at least the similarity.
 
-    A bit that one line's bitmap has and the other's lacks stands for a shingle of one line only, so
+    A bit that differs in two bitmaps stands for at least one shingle of one line only, so
     pairs with too many of those can't reach the similarity: with D shingles that are in one of two
-    sets, the coefficient is (|A| + |B| - D) / (|A| + |B| + D). The sets themselves are compared for the
-    others."""
+    sets, the coefficient is (|A| + |B| - D) / (|A| + |B| + D). Nor can pairs of too different numbers.
+    The sets themselves are compared for the others."""
     ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = settled(_different(_among(lines, ids)), packed=True)
-    maps = settled(_bitmaps(texts, shingle))
+    maps = settled(_bitmaps(texts.repartition("id"), shingle))
     near = pairs.join(_side(maps, "a"), "a").join(_side(maps, "b"), "b").where(_reachable("a", "b", similarity)).select("a", "b")
     a = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_line"))
     b = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_line"))
@@ -241,43 +241,61 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     return known.join(split, "key")
 
 
-def _with_center(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each group's members (with root) with one of them, in other components, that may be
-    similar. In each turn a member of another component may be that one."""
+def _centers(members: DataFrame, turn: int) -> DataFrame:
+    """(key, c_id, c_root, c_low, c_high): one member (with root) of each group. In each turn a member of
+    another component may be that one."""
     order = F.xxhash64("root", F.lit(turn)) if turn else F.col("root")
-    center = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "root", "id", "low", "high")).alias("center"))
-    pairs = members.join(center, "key").where(F.col("root") != F.col("center.root")).select("id", "low", "high", F.col("center.id").alias("c_id"), F.col("center.low").alias("c_low"), F.col("center.high").alias("c_high"))
-    return _distinct(pairs.where(_alike("low", "high", "c_low", "c_high")).select(F.col("id").alias("a"), F.col("c_id").alias("b")))
+    center = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "root", "id", "low", "high")).alias("c"))
+    return center.select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "root", "low", "high")))
+
+
+def _with_center(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """Pairs of each group's members with its center, in other components, that may be similar."""
+    near = members.join(centers, "key").where((F.col("root") != F.col("c_root")) & _alike("low", "high", "c_low", "c_high"))
+    return _distinct(near.select(F.col("id").alias("a"), F.col("c_id").alias("b")))
+
+
+def _others(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """members (without root) but the centers, which have been compared with all of their group."""
+    return members.join(centers.select("key", "c_id"), "key").where("id <> c_id").drop("c_id", "root")
 
 
 def _by_chunks(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of members of a group (with bitmaps), in different components, that may be similar. Groups
+    """All pairs of members of a group (with bitmaps, and the keys of all groups that an id is a member
+    of), in different components, that may be similar; each in the first group that both are in. Groups
     are dealt into chunks of about CHUNK members; a cell (key, l, r) compares two chunks."""
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = members.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     left = _side(dealt, "a", "key", F.col("chunk").alias("l"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("r"),
-                 F.col("root").alias("a_root"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+                 F.col("root").alias("a_root"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.col("keys").alias("a_keys"))
     right = _side(dealt, "b", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("l"), F.col("chunk").alias("r"),
-                  F.col("root").alias("b_root"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+                  F.col("root").alias("b_root"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("keys").alias("b_keys"))
     same = (left["key"] == right["key"]) & (left["l"] == right["l"]) & (left["r"] == right["r"])
     wanted = (F.col("a_root") != F.col("b_root")) & ((left["l"] < right["r"]) | (F.col("a") < F.col("b"))) & _alike("a_low", "a_high", "b_low", "b_high") & _reachable("a", "b", similarity)
-    return _distinct(left.join(right, same & wanted).select("a", "b"))
+    first = left["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    return _distinct(left.join(right, same & wanted & first).select("a", "b"))
 
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that are in a class with a different line."""
-    members = candidates(lines, shingle)
-    seen = settled(_with_center(members.withColumn("root", F.col("id")), 0))
+    found = candidates(lines, shingle)
+    members = found.withColumn("root", F.col("id"))
+    centers = settled(_centers(members, 0))
+    seen = settled(_with_center(members, centers))
     classes = settled(components(_verified(seen, lines, shingle, similarity)))
-    for turn in range(1, TURNS):
-        apart = settled(_apart(members, classes), release=True)
-        pairs = settled(_with_center(apart, turn).join(seen, ["a", "b"], "left_anti"))
-        classes = merged(classes, _verified(pairs, lines, shingle, similarity))
-        members, seen = apart.drop("root"), seen.union(pairs)
-    apart = settled(_apart(members, classes), release=True)
-    ids = settled(apart.select("id").distinct())
-    maps = settled(_bitmaps(_different(_among(lines, ids)), shingle))
+    for turn in range(1, TURNS + 1):
+        apart = settled(_apart(_others(members, centers), classes), release=True)
+        discard(found)
+        if turn < TURNS:
+            found, members, centers = apart, apart, settled(_centers(apart, turn))
+            pairs = settled(_with_center(apart, centers).join(seen, ["a", "b"], "left_anti"))
+            classes = merged(classes, _verified(pairs, lines, shingle, similarity))
+            seen = seen.union(pairs)
+    ids = settled(apart.groupBy("id").agg(F.collect_list("key").alias("keys")))
+    maps = settled(_bitmaps(_different(_among(lines, ids.select("id"))), shingle).join(ids, "id"))
     rest = settled(_by_chunks(apart.join(maps, "id"), similarity).join(seen, ["a", "b"], "left_anti"), release=True)
+    for table in (apart, ids, maps):
+        discard(table)
     return merged(classes, _verified(rest, lines, shingle, similarity))
 
 

@@ -142,3 +142,51 @@ def test_any_column_names(spark):
     docs = spark.createDataFrame([(1, "same line here\nsame line here", 5, 6, "x.y")], "doc_id long, text string, gone int, gone_id int, `a.b` string")
     cut = drop_repeated_lines(docs)
     assert cut.columns == docs.columns and tuple(cut.first()) == (1, "same line here", 5, 6, "x.y")
+
+
+def _in_groups(spark, norms, keys):
+    """Members of all groups (keys), each a component of its own, with bitmaps; signatures that agree."""
+    texts = spark.createDataFrame(list(enumerate(norms)), "id long, norm string")
+    maps = line_dedup._bitmaps(texts.repartition("id"), SHINGLE)
+    keyed = F.array(*map(F.lit, keys)).cast("array<long>")
+    members = texts.select("id", F.explode(keyed).alias("key"), F.col("id").alias("root"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    return members.join(maps, "id").withColumn("keys", keyed)
+
+
+def test_bits_that_differ_are_no_more_than_shingles_that_do(spark):
+    rnd = random.Random(21)
+    norms = ["".join(rnd.choice("ab") for _ in range(rnd.randint(7, 4000))) for _ in range(12)] + ["abc" * 300, "abc" * 301 + "d"]
+    norms += [n[:-3] + "xyz" for n in norms]
+    rows = {r.id: r for r in line_dedup._bitmaps(spark.createDataFrame(list(enumerate(norms)), "id long, norm string").repartition("id"), SHINGLE).collect()}
+    for i, a in enumerate(norms):
+        assert rows[i].n == len(_set(a))
+        for j, b in enumerate(norms):
+            differing = sum(((rows[i][f"w{k}"] ^ rows[j][f"w{k}"]) & (2 ** 64 - 1)).bit_count() for k in range(line_dedup.WORDS))
+            assert differing <= len(_set(a) ^ _set(b))
+
+
+def test_long_lines_below_the_similarity_make_no_pairs(spark):
+    """Two thirds in common, in one large group: a bitmap that only fills up can't tell them apart."""
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(9))
+    common = " ".join(word() for _ in range(80))
+    norms = [common + " " + " ".join(word() for _ in range(40)) for _ in range(60)] + [common + " tail one", common + " tail two"]
+    pairs = {(r.a, r.b) for r in line_dedup._by_chunks(_in_groups(spark, norms, [1]), 0.8).collect()}
+    assert pairs == {(60, 61)}
+
+
+def test_a_pair_comes_in_the_first_of_its_groups(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_distinct", lambda pairs: pairs)
+    members = _in_groups(spark, ["the same line but for one", "the same line but for two", "nothing like the others"], [5, -3, 9, 12])
+    assert [tuple(r) for r in line_dedup._by_chunks(members, 0.7).collect()] == [(0, 1)]
+
+
+def test_a_center_has_met_its_group_and_leaves_it(spark):
+    rows = [(1, i, 0, 0, i) for i in (4, 2, 7)] + [(2, i, 0, 0, i) for i in (5, 9)]
+    members = spark.createDataFrame(rows, "key long, id long, low long, high long, root long")
+    centers = line_dedup._centers(members, 0)
+    assert {(r.a, r.b) for r in line_dedup._with_center(members, centers).collect()} == {(2, 4), (2, 7), (5, 9)}
+    left = line_dedup._others(members, centers)
+    assert {(r.key, r.id) for r in left.collect()} == {(1, 4), (1, 7), (2, 9)}
+    classes = spark.createDataFrame([], "id long, root long")
+    assert {(r.key, r.id, r.root) for r in line_dedup._apart(left, classes).collect()} == {(1, 4, 4), (1, 7, 7)}
