@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellwise.functions import epoch_seconds
+from tellwise.functions import epoch_seconds, once
 
 BLOCK_S = 3600
 
@@ -114,11 +114,12 @@ def _second_states(events: DataFrame, key: str, ts: str, state: str,
     zero = F.lit(0).cast("bigint")
     at = F.col(ts).cast("timestamp")
     # As a struct a NULL key equals itself, so the look-ahead joins on the partitioning at hand.
-    log = events.select(
+    # An entry without an instant has no second; left out here, both readers want the same rows.
+    log = once(events.select(
         F.struct(key).alias("_key"), epoch_seconds(F.col(ts)).alias("sec"), F.unix_micros(at).alias("_us"),
         F.greatest(F.coalesce(state, zero), zero).alias("_state"),
         (F.col(state) > 0).alias("_on"),
-    ).withColumn("_block", _block(F.col("sec"), block_s)).repartition("_key", "_block")
+    ).withColumn("_block", _block(F.col("sec"), block_s)).where("_block IS NOT NULL"), "_key", "_block")
     states = (
         log.groupBy("_key", "_block", "sec", "_us")
            .agg(F.max("_state").alias("_state"), F.count_if("_on").alias("running"))
@@ -167,30 +168,43 @@ def activity(events: DataFrame, spans: DataFrame, key: str = "warehouse_id",
     if block_s <= 0 or block_s % 60:
         raise ValueError(f"block_s must be whole minutes, not {block_s} s")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    sec, marks = F.col("sec"), ("opens", "clusters", "closed", "starts", "ends")
+    marks = ("opens", "clusters", "closed", "starts", "ends")
 
-    def mark(second: Column, **counts: Column) -> Column:
-        return F.struct(second.alias("sec"), *[counts.get(m, zero).alias(m) for m in marks])
+    def dealt(rows: DataFrame, first: Column, last: Column, **counts: Column) -> DataFrame:
+        """A row for both marks of a row if they lie in one block, else a row for each. A NULL
+        ``last`` has no mark."""
+        first_block, last_block = _block(first, block_s), _block(last, block_s)
+        none = F.lit(None).cast("bigint")
+
+        def piece(block: Column, has_first: bool, second: Column) -> Column:
+            return F.struct(F.col(key), block.alias("block"), F.lit(has_first).alias("has_first"), (first if has_first else none).alias("first"),
+                            second.alias("last"), *[counts.get(m, zero).alias(m) for m in marks])
+
+        # The key comes out of the generator as well: a filter on it would tell the readers of the log apart.
+        return rows.select(F.inline(
+            F.when(last.isNull(), F.array(piece(first_block, True, none)))
+             .when(first_block == last_block, F.array(piece(first_block, True, last)))
+             .otherwise(F.array(piece(first_block, True, none), piece(last_block, False, last)))))
 
     on = ((F.col("clusters") > 0) & F.col("until").isNotNull()).cast("bigint")
-    size = on * F.col("clusters")
-    borders = (
-        _second_states(events, key, ts, state, block_s).where("closed > 0")
-        .select(key, F.inline(F.array(
-            mark(sec, opens=on, clusters=size, closed=F.col("closed")),
-            mark(F.coalesce("until", "sec"), opens=-on, clusters=-size)))))
+    borders = dealt(_second_states(events, key, ts, state, block_s).where("closed > 0"), F.col("sec"),
+                    F.when(on > 0, F.col("until")), opens=on, clusters=on * F.col("clusters"), closed=F.col("closed"))
 
     begun, ended = epoch_seconds(F.col("start_time")), epoch_seconds(F.col("end_time"))
     backward = F.col("end_time") < F.col("start_time")
     # a span without an end, or with one before its start, is a start that weighs nothing
-    has_end = (ended.isNotNull() & ~F.coalesce(backward, F.lit(False))).cast("bigint")
-    span_ends = spans.select(key, F.inline(F.array(
-        mark(begun, starts=one, ends=-has_end),
-        mark(F.when(has_end > 0, ended).otherwise(begun), ends=has_end))))
+    has_end = ended.isNotNull() & ~F.coalesce(backward, F.lit(False))
+    span_ends = dealt(spans, begun, F.when(has_end, ended), starts=one, ends=has_end.cast("bigint"))
 
+    # What moves is narrow; marks are taken apart, and their products formed, behind the shuffle.
     start = F.col("block") * F.lit(block_s)
-    placed = (borders.unionByName(span_ends).withColumn("block", _block(sec, block_s))
-                     .withColumn("rel", sec - start).withColumn("minute", F.floor(F.col("rel") / 60)))
+    halves = F.array(
+        F.struct(F.col("has_first").alias("here"), (F.col("first") - start).alias("rel"), "opens", "clusters", "closed",
+                 "starts", (-F.col("ends")).alias("ends")),
+        F.struct(F.col("last").isNotNull().alias("here"), (F.col("last") - start).alias("rel"), (-F.col("opens")).alias("opens"),
+                 (-F.col("clusters")).alias("clusters"), zero.alias("closed"), zero.alias("starts"), F.col("ends").alias("ends")))
+    placed = (borders.unionByName(span_ends).repartition(key, "block").select(key, "block", F.inline(halves)).where("here")
+                     .withColumn("minute", F.floor(F.col("rel") / 60)))
     rel, opens, ends = F.col("rel"), F.col("opens"), F.col("ends")
     # a range takes in all marks of a second, in whatever order they come; one sort serves both windows
     in_block = Window.partitionBy(key, "block").orderBy("minute", "rel").rangeBetween(

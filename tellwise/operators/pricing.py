@@ -39,10 +39,11 @@ def priced_usage(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds,
     return usage.join(card, matches).drop("_sku", "_unit", "_from", "_until")
 
 
-def hourly(billed: DataFrame, *keys: str) -> DataFrame:
-    """Usage summed by key, SKU, unit and end, all that a price depends on. Usage is
-    metered by the hour, so this shrinks it before the price list is joined."""
-    return billed.groupBy(*keys, "sku_name", "usage_unit", "usage_end_time").agg(
+def by_price(billed: DataFrame, prices: DataFrame, *keys: str, cfg: Thresholds) -> DataFrame:
+    """Usage summed by key, SKU and list price, which is all that an amount depends on. The price
+    list is short next to the usage, so the rows are summed where they were read and only these
+    few sums move; quantities are multiplied once, by their sum, which is exact."""
+    return priced_usage(billed, prices, cfg=cfg).groupBy(*keys, "sku_name", "list_price").agg(
         exact(F.sum("usage_quantity"), QUANTITY).alias("usage_quantity"))
 
 
@@ -52,19 +53,19 @@ def _amount() -> Column:
 
 def warehouse_cost(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Units and list dollars per warehouse inside the window."""
-    billed = hourly(warehouse_usage(usage, cfg=cfg), "warehouse_id")
-    return priced_usage(billed, prices, cfg=cfg).groupBy("warehouse_id").agg(
+    billed = by_price(warehouse_usage(usage, cfg=cfg), prices, "warehouse_id", cfg=cfg)
+    return billed.groupBy("warehouse_id").agg(
         F.sum("usage_quantity").alias("dbus_30d"),
         F.sum(_amount()).alias("dollars_30d"))
 
 
 def job_billing(usage: DataFrame, prices: DataFrame, *, cfg: Thresholds) -> DataFrame:
     """Classic and serverless units, and classic list dollars, per job."""
-    billed = hourly(job_usage(usage, cfg=cfg), "workspace_id", "job_id")
+    billed = by_price(job_usage(usage, cfg=cfg), prices, "workspace_id", "job_id", cfg=cfg)
     quantity = F.col("usage_quantity")
     serverless = F.col("sku_name").ilike("%SERVERLESS%")
     zero = F.lit(0).cast(QUANTITY)
-    return priced_usage(billed, prices, cfg=cfg).groupBy("workspace_id", "job_id").agg(
+    return billed.groupBy("workspace_id", "job_id").agg(
         F.sum(F.when(serverless, zero).otherwise(quantity)).alias("classic_dbus_30d"),
         F.sum(F.when(serverless, quantity).otherwise(zero)).alias("serverless_dbus_30d"),
         F.sum(F.when(serverless, F.lit(0).cast(AMOUNT)).otherwise(_amount()))

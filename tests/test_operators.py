@@ -223,6 +223,21 @@ def test_a_state_is_shuffled_once_to_its_hour_and_a_second_needs_no_shuffle(spar
         ("v", 9000, 13000, -1000, 1), (None, 9000, 13000, 4000, 2)]
 
 
+def test_the_log_and_the_marks_move_once_and_narrow(spark, tmp_path):
+    """Both readers of the log share one shuffle; the two marks of a span in one hour move as one row, and
+    what is derived from marks is formed behind the shuffle."""
+    log = [("v", at(t), n) for t, n in ((0, 1), (5000, 2), (9000, 0))]
+    spans = [("v", at(10 * i), at(10 * i + 5)) for i in range(90)] + [("v", at(3000), at(4000)), ("v", at(1), None)]
+    spark.createDataFrame(log, STATES).write.parquet(f"{tmp_path}/log")
+    used = activity(spark.read.parquet(f"{tmp_path}/log"), spark.createDataFrame(spans, SPANS).coalesce(1))
+    used = used.join(spark.createDataFrame([("v",)], "warehouse_id string"), "warehouse_id")
+    assert [r["util_s"] for r in used.collect()] == [90 * 5 + 1000]
+    plan = used._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[_key#", plan)
+    marks = plan[plan.index("Exchange hashpartitioning(warehouse_id", plan.index("Generate inline(array(struct(here")):]
+    assert "minute" not in marks.split("Union")[0] and "has_first" in plan
+
+
 def test_a_decimal_is_cast_once(spark):
     plan = spark.createDataFrame([(1.5,)], "q double").select(exact(F.col("q"), "decimal(20,9)"))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"cast\(q#\d+L? as decimal\(20,9\)\)", plan)) == 1
@@ -272,6 +287,21 @@ def test_price_validity(spark):
     assert got == [("border", 1.0), ("border", 2.0), ("first", 1.0), ("open", 2.0)]
 
 
+def test_usage_is_summed_where_it_is_read(spark):
+    """A price is looked up first, so no sum by hour of use moves."""
+    usage = spark.range(500).selectExpr(
+        "'w' as warehouse_id", "'S' as sku_name", "'DBU' as usage_unit", "cast(id as decimal(20,9)) as usage_quantity",
+        "timestamp'2024-01-02 00:00:00' + make_dt_interval(0, cast(id as int)) as usage_start_time",
+        "timestamp'2024-01-02 01:00:00' + make_dt_interval(0, cast(id as int)) as usage_end_time")
+    prices = spark.sql("""select 'S' as sku_name, 'DBU' as usage_unit, 'USD' as currency_code,
+        timestamp'2023-01-01 00:00:00' as price_start_time, cast(null as timestamp) as price_end_time,
+        cast(0.25 as decimal(17,9)) as list_price""")
+    cost = warehouse_cost(usage, prices, cfg=CFG)
+    plan = cost._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*usage_end_time", plan)
+    assert [(float(r["dbus_30d"]), float(r["dollars_30d"])) for r in cost.collect()] == [(124750.0, 31187.5)]
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_amounts_on_half_cents_do_not_depend_on_the_layout(spark, partitions):
     rng = random.Random(9)
