@@ -48,6 +48,9 @@ DIFFERING = 22
 CHUNK, WORDS, LOOKUP = 256, 16, 1 << 20
 #: Turns in which members are compared with one of their group, before chunks are compared.
 TURNS = 2
+#: Bits of a band's key (the last one is the kind). Each line moves with eighteen keys, so they are kept short;
+#: a key that two bands share by chance makes candidates that the values tell apart.
+KEY = (1 << 48) - 2
 _PART, _LONG_PART = 64, 4096
 
 
@@ -65,10 +68,10 @@ def normalised(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, pos, norm, id, check) of every line that isn't blank."""
+    """(doc_id, text_hash, pos, norm, id) of every line that isn't blank."""
     cut = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_hash"), F.posexplode(F.split(text_or_empty(quoted(text_col)), "\n")).alias("pos", "line"))
     lines = cut.select("doc_id", "text_hash", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''")
-    return lines.withColumn("id", F.xxhash64("norm")).withColumn("check", F.xxhash64(F.lit(1), "norm"))
+    return lines.withColumn("id", F.xxhash64("norm"))
 
 
 def told_apart(lines: DataFrame) -> DataFrame:
@@ -129,7 +132,7 @@ def signatures(different: DataFrame, shingle: int = SHINGLE, small: int = SMALL,
         values = [F.col(f"v{g}_{used[g]}") for g in band]
         for g in band:
             used[g] += 1
-        key = F.xxhash64(F.lit(b), *values).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind").cast("long"))
+        key = F.xxhash64(F.lit(b), *values).bitwiseAND(F.lit(KEY)).bitwiseOR(F.col("kind").cast("long"))
         keys.append(F.when(values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull(), key))
     names = [f"v{g}_{j}" for g in range(GROUPS) for j in range(VALUES)]
 
@@ -301,7 +304,8 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of the lines that go, for documents with any."""
-    lines = told_apart(settled(_lines(docs, id_col, text_col), packed=True))
+    # The second hash isn't kept, as it is read only once, with the lines.
+    lines = told_apart(settled(_lines(docs, id_col, text_col), packed=True).withColumn("check", F.xxhash64(F.lit(1), "norm")))
     classes = line_classes(lines, **how)
     places = lines.select("id", "doc_id", "text_hash", "pos")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "pos")

@@ -190,3 +190,12 @@ def test_a_center_has_met_its_group_and_leaves_it(spark):
     assert {(r.key, r.id) for r in left.collect()} == {(1, 4), (1, 7), (2, 9)}
     classes = spark.createDataFrame([], "id long, root long")
     assert {(r.key, r.id, r.root) for r in line_dedup._apart(left, classes).collect()} == {(1, 4, 4), (1, 7, 7)}
+
+
+def test_keys_are_short_and_the_second_hash_is_not_kept(spark):
+    rnd = random.Random(7)
+    lines = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (20, 50, 90)]
+    signed = line_dedup.signatures(spark.createDataFrame(list(enumerate(lines)), "id long, norm string")).collect()
+    assert all(0 <= key < 1 << 48 and key & 1 == r.kind for r in signed for key in r["keys"])
+    assert {len(r["keys"]) for r in signed} == {18} and {r.kind for r in signed} == {0, 1}
+    assert "check" not in line_dedup._lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text").columns
