@@ -24,6 +24,12 @@ def _mask(turn: int) -> int:
     return (_MASKS[turn % len(_MASKS)] * (2 * (turn // len(_MASKS)) + 1)) & 0x7FFFFFFFFFFFFFFF
 
 
+def _together(df: DataFrame) -> DataFrame:
+    """A table of bounded size in one partition, so that sums and joins of such tables need no
+    shuffles (each would have as many tasks as there are shuffle partitions); others as they are."""
+    return df.coalesce(1) if df.count() <= SMALL else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every vertex of edges (a, b: long): vertices of one component have the same
     root, its smallest id. Edges may repeat and have any direction; loops count for nothing; a null
@@ -47,23 +53,26 @@ def components(edges: DataFrame) -> DataFrame:
         left = settled(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
     if not moves:
         return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    labels = moves[0]
+    # Each vertex moves once in the first round, and fewer do in each later one.
+    labels = _together(moves[0])
     for move in moves[1:]:
-        step = move.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        step = _together(move).select(F.col("id").alias("to"), F.col("to").alias("next"))
         labels = labels.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    labels = settled(labels) if len(moves) > 1 else labels
+    labels = _together(settled(labels)) if len(moves) > 1 else labels
     smallest = labels.groupBy("to").agg(F.min("id").alias("root"))
     return labels.join(smallest, "to").select("id", "root")
 
 
 def merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """classes (id, root) of a graph, with more edges (a, b) added to it."""
+    """classes (id, root; settled) of a graph, with more edges (a, b; settled) added to it."""
+    classes, edges = _together(classes), _together(edges)
+
     def end(name: str) -> DataFrame:
         return classes.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
 
     lifted = (edges.join(end("a"), "a", "left").join(end("b"), "b", "left")
               .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    moved = settled(components(lifted))
+    moved = _together(settled(components(lifted)))
     to = moved.select(F.col("id").alias("root"), F.col("root").alias("new"))
     old = classes.join(to, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
     return settled(old.union(moved.join(classes, "id", "left_anti").select("id", "root")))

@@ -192,6 +192,43 @@ def test_a_center_has_met_its_group_and_leaves_it(spark):
     assert {(r.key, r.id, r.root) for r in line_dedup._apart(left, classes).collect()} == {(1, 4, 4), (1, 7, 7)}
 
 
+def test_edges_are_put_onto_small_classes_without_shuffles(spark, monkeypatch):
+    """Each shuffle has as many tasks as there are shuffle partitions, and the driver keeps a record of each task."""
+    from tellwise.llm import components as graphs
+
+    rnd = random.Random(6)
+    name = [rnd.getrandbits(62) for _ in range(300)]
+    first = [(i, i + 1) for i in range(0, 200, 2)]
+    more = [(i, i + 2) for i in range(0, 100, 2)] + [(250, 251), (251, 252), (7, 250), (150, 150)]
+    settled, plans = graphs.settled, []
+
+    def watched(df, *how, **more_of_it):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df, *how, **more_of_it)
+
+    def edges(pairs):
+        return settled(spark.createDataFrame([(name[a], name[b]) for a, b in pairs], "a long, b long").repartition(3))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classes, added = settled(components(edges(first))), edges(more)
+        monkeypatch.setattr(graphs, "settled", watched)
+        got = {r.id: r.root for r in graphs.merged(classes, added).collect()}
+        # The first plan puts edges onto the classes they join.
+        assert plans[0].count("LeftOuter") == 2 and "Exchange" not in plans[0]
+        monkeypatch.setattr(graphs, "SMALL", 0)
+        assert got == {r.id: r.root for r in graphs.merged(classes, added).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    top = {i: i for pair in first + more for i in pair}
+    for _ in range(300):
+        for a, b in first + more:
+            top[a] = top[b] = min(top[a], top[b])
+    least = {t: min(name[i] for i in top if top[i] == t) for t in set(top.values())}
+    assert got == {name[i]: least[t] for i, t in top.items()}
+
+
 def test_keys_are_short_and_the_second_hash_is_not_kept(spark):
     rnd = random.Random(7)
     lines = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (20, 50, 90)]
