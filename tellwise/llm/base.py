@@ -36,10 +36,10 @@ def settled(df: DataFrame, release: bool = False, packed: bool = False) -> DataF
     there, so a lost executor costs a read; so does what the optimizer has inferred about its
     columns, which in a loop would grow from turn to turn. release lets go of the shuffle files that
     led to it at once: Spark deletes them when the driver's garbage is collected, which may be long
-    after a large step. packed is for large texts."""
+    after a large step. packed is for large texts, nearly all different: no dictionary is tried for them."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd" if packed else "snappy").parquet(folder)
+    df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"} if packed else {"compression": "snappy"}).parquet(folder)
     for _ in range(2 * release):  # what the first collection frees holds the files for the second
         gc.collect()
         spark.sparkContext._jvm.System.gc()

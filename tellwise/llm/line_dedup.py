@@ -24,6 +24,7 @@ inside one component can't change it.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,7 @@ TURNS = 2
 #: Bits of a band's key (the last one is the kind). Each line moves with eighteen keys, so they are kept short;
 #: a key that two bands share by chance makes candidates that the values tell apart.
 KEY = (1 << 48) - 2
-_PART, _LONG_PART = 64, 4096
+_PART, _LONG_PART = 256, 4096
 
 
 def _constants(n: int) -> list[int]:
@@ -84,8 +85,13 @@ def told_apart(lines: DataFrame) -> DataFrame:
     return lines.join(shared, F.col("id") == F.col("twin"), "left").withColumn("id", own).drop("twin")
 
 
-def _shingle(encoded: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.substring(encoded, 2 * at + 1, F.lit(2 * size)))
+def _shingle(encoded: Column, byte: Column, size: int) -> Column:
+    return F.xxhash64(F.substring(encoded, byte, F.lit(2 * size)))
+
+
+def _bytes(encoded: Column, size: int) -> Column:
+    """The first byte (from 1) of each shingle of an encoded line, of the line if it is shorter."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(encoded) - (2 * size - 1)), F.lit(2))
 
 
 def _n_shingles(encoded: Column, size: int) -> Column:
@@ -97,8 +103,7 @@ def _shingles(norm: str, size: int) -> Column:
     line is cut into parts first, as a lambda evaluates what it reads from outside for each element."""
     line = F.encode(norm, "UTF-16BE")
     parts = F.transform(F.sequence(F.lit(0), _n_shingles(line, size) - 1, F.lit(_LONG_PART)), lambda at: F.substring(line, 2 * at + 1, F.lit(2 * (_LONG_PART + size - 1))))
-    hashed = F.transform(parts, lambda part: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(part) / 2).cast("int") - size)), lambda at: _shingle(part, at, size)))
+    hashed = F.transform(parts, lambda part: F.transform(_bytes(part, size), lambda byte: _shingle(part, byte, size)))
     return F.array_distinct(F.flatten(hashed))
 
 
@@ -111,22 +116,36 @@ def signatures(different: DataFrame, shingle: int = SHINGLE, small: int = SMALL,
     fewer than `small`; the keys of the bands (the last bit is the kind), two bits of each value in two
     longs, and in kind 0 an estimate of the number of different shingles. Lines shorter than a
     shingle are like no other line and have no row."""
-    encoded = different.select("id", F.encode("norm", "UTF-16BE").alias("encoded")).where(F.length("encoded") >= 2 * shingle)
+    # A line of so many characters has as many units at least; only others are encoded to see.
+    long_enough = (F.length("norm") >= shingle) | (F.length(F.encode("norm", "UTF-16BE")) >= 2 * shingle)
+    encoded = different.where(long_enough).select("id", F.encode("norm", "UTF-16BE").alias("encoded"))
     n = _n_shingles(F.col("encoded"), shingle)
     each = [F.lit(k) for k in range(1, GROUPS + 1)]
     copies = F.when(n >= small, F.array(F.lit(0))).when(n >= few, F.array(F.lit(0), *each)).otherwise(F.array(*each))
     # A row for each part of a line, then for every shingle of a part: a row's line is copied whenever
-    # it is read.
-    parts = (encoded.select("id", "encoded", copies.alias("copies"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(_PART))).alias("start"))
-             .select("id", F.explode("copies").alias("copy"), F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
-    rows = (parts.select("id", "copy", "part", F.explode(F.sequence(F.lit(0), _n_shingles(F.col("part"), shingle) - 1)).alias("at"))
-            .select("id", "copy", _shingle(F.col("part"), F.col("at"), shingle).alias("hashed")))
+    # it is read. No array is empty; an explode that allows for it has no filter put before it, which
+    # would encode each line again.
+    parts = (encoded.select("id", "encoded", copies.alias("copies"), F.explode_outer(F.sequence(F.lit(0), n - 1, F.lit(_PART))).alias("start"))
+             .select("id", F.explode_outer("copies").alias("copy"), F.substring("encoded", 2 * F.col("start") + 1, F.lit(2 * (_PART + shingle - 1))).alias("part")))
+    rows = (parts.select("id", "copy", "part", F.explode_outer(_bytes(F.col("part"), shingle)).alias("byte"))
+            .select("id", "copy", _shingle(F.col("part"), F.col("byte"), shingle).alias("hashed")))
     slot = F.when(F.col("copy") == 0, F.pmod("hashed", F.lit(GROUPS))).otherwise(F.col("copy") + (GROUPS - 1)).cast("int")
     dealt = rows.select("id", slot.alias("slot"), "hashed").select("id", "slot", F.xxhash64("hashed", "slot").alias("hashed"))
     least = dealt.groupBy("id", "slot").agg(*(F.min(F.xxhash64(F.col("hashed").bitwiseXOR(F.lit(c)))).alias(f"m{j}") for j, c in enumerate(_constants(VALUES))))
     group = F.col("slot") % GROUPS
     kind = F.when(F.col("slot") < GROUPS, F.lit(0)).otherwise(F.lit(1)).alias("kind")
-    whole = least.groupBy("id", kind).agg(*(F.min(F.when(group == g, F.col(f"m{j}"))).alias(f"v{g}_{j}") for g in range(GROUPS) for j in range(VALUES)))
+    own = [F.col(f"m{j}") for j in range(VALUES)]
+    # Two bits of each value, in the place of the group, and an estimate of its number of shingles: the sum of its
+    # least values, as parts of the whole range, tells that. Both are made here, group by group: over all values
+    # of a line they would be one method too large for the JVM to compile.
+    bits = functools.reduce(Column.bitwiseOR, (F.shiftleft(m.bitwiseAND(F.lit(3)), 2 * j) for j, m in enumerate(own)))
+    place = (2 * VALUES * (group % (GROUPS // 2))).cast("int")
+    counted = (VALUES - 1) / sum((m.cast("double") / 2.0 ** 64 + 0.5 for m in own), F.lit(0.0))
+    least = least.select("*", F.call_function("shiftleft", bits, place).alias("bits"), counted.alias("counted"))
+    half = group < GROUPS // 2
+    low, high = (F.coalesce(F.bit_or(F.when(side, F.col("bits"))), F.lit(0).cast("long")) for side in (half, ~half))
+    whole = least.groupBy("id", kind).agg(*(F.min(F.when(group == g, F.col(f"m{j}"))).alias(f"v{g}_{j}") for g in range(GROUPS) for j in range(VALUES)),
+                                          low.alias("low"), high.alias("high"), F.sum("counted").alias("shingles"))
     used, keys = [0] * GROUPS, []
     for b, band in enumerate(BANDS):
         values = [F.col(f"v{g}_{used[g]}") for g in band]
@@ -134,22 +153,8 @@ def signatures(different: DataFrame, shingle: int = SHINGLE, small: int = SMALL,
             used[g] += 1
         key = F.xxhash64(F.lit(b), *values).bitwiseAND(F.lit(KEY)).bitwiseOR(F.col("kind").cast("long"))
         keys.append(F.when(values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull(), key))
-    names = [f"v{g}_{j}" for g in range(GROUPS) for j in range(VALUES)]
-
-    def bits(part: list[str]) -> Column:
-        out = F.lit(0).cast("long")
-        for k, name in enumerate(part):
-            out = out.bitwiseOR(F.shiftleft(F.coalesce(F.col(name), F.lit(0)).bitwiseAND(F.lit(3)).cast("long"), 2 * k))
-        return out
-
-    # The sum of a group's least values, as parts of the whole range, tells its number of shingles.
-    def counted(g: int) -> Column:
-        total = sum((F.col(f"v{g}_{j}").cast("double") / 2.0 ** 64 + 0.5 for j in range(VALUES)), F.lit(0.0))
-        return F.coalesce((VALUES - 1) / total, F.lit(0.0))
-
-    estimate = sum((counted(g) for g in range(GROUPS)), F.lit(0.0))
-    half = len(names) // 2
-    return whole.select("id", "kind", F.array_compact(F.array(*keys)).alias("keys"), bits(names[:half]).alias("low"), bits(names[half:]).alias("high"), estimate.alias("shingles"))
+    # array_except and not array_compact, which is a lambda: the hashes in it would not be compiled.
+    return whole.select("id", "kind", F.array_except(F.array(*keys), F.array(F.lit(None).cast("long"))).alias("keys"), "low", "high", "shingles")
 
 
 def candidates(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -236,3 +236,13 @@ def test_keys_are_short_and_the_second_hash_is_not_kept(spark):
     assert all(0 <= key < 1 << 48 and key & 1 == r.kind for r in signed for key in r["keys"])
     assert {len(r["keys"]) for r in signed} == {18} and {r.kind for r in signed} == {0, 1}
     assert "check" not in line_dedup._lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text").columns
+
+
+def test_signatures_encode_a_line_once_and_compile_their_keys(spark):
+    """A filter before an explode would encode each line again, and what a lambda reads is not compiled."""
+    lines = spark.createDataFrame([(1, "a line of some length"), (2, "\U0001F600" * 4), (3, "short"), (4, "\U0001F600" * 3)], "id long, norm string")
+    signed = line_dedup.signatures(lines)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    # Once to be cut, and once for lines that may be too short.
+    assert plan.count("UTF-16BE") == 2 and "lambda" not in plan
+    assert {r.id for r in signed.collect()} == {1, 2}
